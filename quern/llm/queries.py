@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, media, packing, quality, sharding, toxicity
+from quern.llm import decontamination, line_dedup, lm, media, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,8 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sharding.op1_hilbert_shards,
         decontamination.op2_decontamination,
         toxicity.op3_toxicity,
+        suffix_dedup.op4_suffix_dedup,
         quality.op5_quality,
+        lm.op6_lm_scores,
+        line_dedup.op7_line_dedup,
         packing.op8_curve_packing,
+        ngram_join.op9_ngram_join,
         media.op10_media,
     )
 }
