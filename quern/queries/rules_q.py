@@ -239,7 +239,7 @@ def d17(spark, d):
 
 
 @R.add("d18_latest_states", """
-    SELECT user_id, event_type, event_id, n FROM (
+    SELECT user_id, event_type, event_id, n AS n_events FROM (
       SELECT user_id, event_type, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r, COUNT(*) OVER (PARTITION BY user_id) AS n FROM events) q WHERE r = 1""")
 def d18(spark, d):
     return latest_states(table(spark, d, "events"), "user_id", "event_type", "event_id")

@@ -83,12 +83,21 @@ def stage(df: DataFrame, base: str, run: str, node: str, attempt: int) -> str:
     return uri
 
 
+def _store(uri: str):
+    """The Arrow file system of an address, and the path in it."""
+    from pyarrow import fs
+
+    if m := re.match(r"(?:file:)?/+(.*)", uri):
+        return fs.LocalFileSystem(), "/" + m[1]
+    return fs.FileSystem.from_uri(uri)
+
+
 def _copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
         for source, target in zip(batch["path"], batch["target"], strict=True):
-            (a, x), (b, y) = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", source)), fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", target))
+            (a, x), (b, y) = _store(source), _store(target)
             b.create_dir(y.rpartition("/")[0], recursive=True)
             fs.copy_files(x, y, source_filesystem=a, destination_filesystem=b)
         yield pd.DataFrame({"n": [len(batch)]})
@@ -138,7 +147,7 @@ def _delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for path in batch["path"]:
-            system, x = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            system, x = _store(path)
             if system.get_file_info(x).type != fs.FileType.NotFound:
                 system.delete_file(x)
         yield pd.DataFrame({"n": [len(batch)]})

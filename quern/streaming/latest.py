@@ -8,8 +8,8 @@ from pyspark.sql.types import StructType
 
 
 def latest_states(events: DataFrame, key: str, state: str, order: str) -> DataFrame:
-    """(key, state, order, n): the newest state of each object. Works on a batch and on a stream alike."""
-    return events.groupBy(key).agg(F.max_by(state, order).alias(state), F.max(order).alias(order), F.count("*").alias("n"))
+    """(key, state, order, n_events): the newest state of each object. Works on a batch and on a stream alike."""
+    return events.groupBy(key).agg(F.max_by(state, order).alias(state), F.max(order).alias(order), F.count("*").alias("n_events"))
 
 
 def stream_latest_states(spark: SparkSession, path: str, schema: StructType, key: str, state: str, order: str, **options: str) -> DataFrame:
@@ -28,10 +28,10 @@ def upsert_latest(target: str, key: str, state: str, order: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select(key, state, order, "n")
+        fresh = batch.select(key, state, order, "n_events")
         if batch_id > 0:
             old = spark.read.parquet(f"{target}/v={batch_id - 1}")
-            fresh = fresh.unionByName(old.join(fresh.select(key), key, "left_anti").select(key, state, order, "n"))
+            fresh = fresh.unionByName(old.join(fresh.select(key), key, "left_anti").select(key, state, order, "n_events"))
         fresh.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
 
     return write
