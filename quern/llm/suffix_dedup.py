@@ -75,10 +75,10 @@ def entries(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, starts in chunks(batch.column(2)):
+            for first, _, data, starts in chunks(batch.column(2)):
                 r = runs(data, starts)
-                ids = batch.slice(first, last - first).take(pa.array(r["row"]))
-                yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(r["first"].astype(np.int32)), pa.array(r["n"].astype(np.int32)), pa.array(r["anchor"].astype(np.int32)), pa.array(r["key"]), pa.array(r["run"])], [x.split()[0] for x in ENTRIES.split(", ")])
+                row = pa.array(r["row"] + first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(r["first"].astype(np.int32)), pa.array(r["n"].astype(np.int32)), pa.array(r["anchor"].astype(np.int32)), pa.array(r["key"]), pa.array(r["run"])], [x.split()[0] for x in ENTRIES.split(", ")])
 
     return docs.mapInArrow(build, ENTRIES)
 
