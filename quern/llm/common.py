@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources import shared
+
 #: Rows of one Arrow batch sent to a Python worker. Texts can be long, so batches are kept short.
 BATCH_ROWS = 512
 #: Bytes of text handled at once by the vectorised functions.
@@ -25,36 +25,12 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables that one run of an operator writes to the shared folder.
-
-    A written table cuts the lineage: executors that are lost later cost no recomputation of what
-    came before. Tables are deleted with `drop` as soon as no plan reads them.
-    """
+class Scratch(shared.Scratch):
+    """Scratch tables of an operator, with the session prepared for it."""
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        super().__init__(spark, name)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,7 +39,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % folds
+    value = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until `df` has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 def sample_of(labels: DataFrame, rows: int) -> DataFrame:
