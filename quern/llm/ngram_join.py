@@ -2,8 +2,9 @@
 
 Two sets of sizes n and m with Jaccard similarity 0.8 share at least 4 (n + m) / 9 tokens. Under any total
 order of all tokens, the first n - 4 (n + m) / 9 + 1 tokens of either therefore have one in common. That
-holds under every order at once: a pair is a candidate by a shared prefix token of the first order, and
-must also share one under each other order before the sets are compared in full.
+holds under every order at once: a pair is a candidate by a shared prefix token of the first order; a short
+array, the prefix under the second order, must agree as well before any text is moved, and the prefixes
+under the third before the sets are compared in full.
 
 Every order puts common tokens last, by a sketch of document counts over all documents (a table of fixed
 size; a wrong count costs time, never a result), and differs from the others in a hash. Documents with
@@ -23,7 +24,7 @@ from quern.llm.common import Scratch, chunks, mix, read, shingles, signed
 from quern.llm.similar import linked
 
 #: Counters of the sketch, in binary digits, and counters in one row of a task's part of it.
-SKETCH_BITS, CHUNK = 16, 1 << 12
+SKETCH_BITS, CHUNK = 18, 1 << 13
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 WIDTH = 5
 
@@ -64,16 +65,6 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
 
-def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the texts that have the set of their class: a repeated doc_id may stand for others too."""
-    for batch in batches:
-        marks = [np.zeros(0, np.int64)]
-        for _, _, data, starts in chunks(batch.column(1)):
-            s, row = shingles(data, starts, WIDTH)
-            marks.append(_marks(s, np.bincount(row, minlength=len(starts) - 1)))
-        yield batch.filter(pa.array(np.concatenate(marks) == batch.column(0).to_numpy(), pa.bool_()))
-
-
 def ranks(s: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
     """Places of tokens under one global order: common ones (by level) last, ties by hash."""
     h = mix(s ^ np.uint64(ORDERS[order])) >> np.uint64(8)
@@ -84,7 +75,7 @@ def _levels(profiles: DataFrame) -> np.ndarray:
     """How common the tokens of each counter are: 0 up to 8 times the median counter, then one more for each doubling. 2 ** SKETCH_BITS numbers."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     parts = profiles.filter("part is not null").select("part", "counts")
-    for part, counts in parts.repartition(1 << SKETCH_BITS - 12, "part").mapInArrow(_add_up, "part int, counts binary").collect():
+    for part, counts in parts.repartition((1 << SKETCH_BITS) // CHUNK, "part").mapInArrow(_add_up, "part int, counts binary").collect():
         sketch[part * CHUNK : (part + 1) * CHUNK] += np.frombuffer(counts, np.int64)
     usual = np.median(sketch) + 4 * np.sqrt(np.median(sketch)) + 8
     return np.clip(np.ceil(np.log2(np.maximum(sketch, 1) / usual)) + 1, 0, 63).astype(np.uint8)
@@ -96,12 +87,33 @@ def _may_link(x: Column, y: Column) -> Column:
     return (x["n"] * 5 >= y["n"] * 4) & (y["n"] * 5 >= x["n"] * 4) & (x["pos"] + need <= x["n"]) & (y["pos"] + need <= y["n"])
 
 
+def first_tokens(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The prefix of a set under the second order, as the upper 32 bits of the tokens' places, sorted and distinct."""
+    r = np.unique((ranks(s, level, 1) >> np.uint64(32)).astype(np.uint32))
+    return r[: len(s) - -(-4 * len(s) // 5) + 1]
+
+
+def may_be_similar(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
+    """Whether the prefixes of two sets (of sizes n and m) under the second order allow similarity 0.8.
+
+    They must share a token. And up to the lesser of their last places both sets are known, so that differences
+    there count against those that the pair may have in all. Places cut to 32 bits can hide differences, never add any.
+    """
+    need = -(-4 * (n + m) // 9)
+    end = min(a[-1] if len(a) < n else 1 << 32, b[-1] if len(b) < m else 1 << 32)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    if not both:
+        return False
+    x, y = a[: np.searchsorted(a, end)], b[: np.searchsorted(b, end)]
+    return len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) <= n + m - 2 * need
+
+
 def similar_sets(a: np.ndarray, b: np.ndarray, level: np.ndarray) -> bool:
-    """Whether two sets of tokens have Jaccard similarity 0.8: first the prefixes of the further orders, then the sets."""
+    """Whether two sets of tokens have Jaccard similarity 0.8: first the prefixes of the last orders, then the sets."""
     need = -(-4 * (len(a) + len(b)) // 9)
     if need > min(len(a), len(b)):
         return False
-    for k in range(1, len(ORDERS)):
+    for k in range(2, len(ORDERS)):
         first = [np.partition(r, p)[: p + 1] if p + 1 < len(r) else r for r, p in ((ranks(s, level, k), len(s) - need) for s in (a, b))]
         if not len(np.intersect1d(*first)):
             return False
@@ -120,7 +132,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = scratch.save(docs.mapInArrow(_profiles, "doc_id long, n long, cls long, part int, counts binary"), "profiles")
     profiles = all_rows.filter("part is null").select("doc_id", "n", "cls")
-    shared = spark.sparkContext.broadcast(_levels(all_rows))  # 64 kB
+    shared = spark.sparkContext.broadcast(_levels(all_rows))  # 256 kB
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
@@ -142,10 +154,29 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     live = rows.join(shared_tokens, "bucket").groupBy("bucket", "id").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     live = scratch.save(live.select("bucket", "id", F.struct("n", "pos").alias("x")), "live")
     scratch.drop("prefixes", "tokens")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Size and second prefix of the texts that have the set of their class: a repeated doc_id may stand for others too."""
+        level, seen = shared.value, set()
+        for batch in batches:
+            for begin, last, data, starts in chunks(batch.column(1)):
+                s, row = shingles(data, starts, WIDTH)
+                n = np.bincount(row, minlength=len(starts) - 1)
+                sets = np.split(s, np.cumsum(n)[:-1])
+                own = [k for k, (i, mark) in enumerate(zip(batch.column(0).slice(begin, last - begin).to_pylist(), _marks(s, n).tolist(), strict=True)) if i == mark and not (i in seen or seen.add(i))]
+                part = batch.slice(begin, last - begin).take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n[own].astype(np.int32)), pa.array([first_tokens(sets[k], level).tobytes() for k in own], pa.binary()), part.column(1)], ["id", "n", "first", "text"])
+
     needed = profiles.join(live.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(needed, "doc_id").select(F.col("cls").alias("id"), "text").mapInArrow(_own_texts, "id long, text string").dropDuplicates(["id"])
+    texts = docs.join(needed, "doc_id").select(F.col("cls").alias("id"), "text").mapInArrow(describe, "id long, n int, first binary, text string")
     texts = scratch.save(texts, "texts")
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [may_be_similar(np.frombuffer(p, np.uint32), i, np.frombuffer(q, np.uint32), j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
@@ -159,11 +190,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             keep = [similar_sets(a, b, level) for a, b in zip(*sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
+    tries = [0]
+
     def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        sizes = texts.select("id", "n", "first")
+        both = pairs.join(sizes.toDF("a", "n", "x"), "a").join(sizes.toDF("b", "m", "y"), "b")
+        tries[0] += 1
+        left = scratch.save(both.select("a", "b", "n", "m", "x", "y").mapInArrow(sift, "a long, b long"), f"sifted-{tries[0]}")
+        whole = texts.select("id", "text")
+        both = left.join(whole.toDF("a", "text_a"), "a").join(whole.toDF("b", "text_b"), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
-    roots = linked(live, alike, _may_link, scratch)
+    # the document with the fewest tokens of its own before the shared one is the likeliest centre of a group
+    roots = linked(live, alike, _may_link, scratch, first=F.col("x.pos"))
     scratch.drop("live", "texts")
     placed = profiles.join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -45,14 +45,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return roots
 
 
-def linked(live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, leaders: int = 2) -> DataFrame:
+def linked(live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, leaders: int = 2, first: Column | None = None) -> DataFrame:
     """All (id, root) of ids that are linked to another.
 
     `live` has (bucket, id, x): an id stands in several buckets, x is what `may_link` looks at before a pair
     is compared. `alike` keeps those of its pairs (a, b) that are alike. Ids are linked when some bucket holds
-    both, `may_link` allows it and they are alike; the components of these links are returned.
+    both, `may_link` allows it and they are alike; the components of these links are returned. A bucket's leader
+    is the row with the least `first`, of equals the one with the least hash.
     """
     found: DataFrame | None = None
+    tried: DataFrame | None = None
     roots: DataFrame | None = None
     for k in range(leaders + 1):
         if roots is None:
@@ -64,12 +66,17 @@ def linked(live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: C
             if rows.isEmpty():
                 break
         if k < leaders:
-            first = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "x", "root"), F.xxhash64(F.lit(k), "id")).alias("to"))
-            pairs = rows.join(first, "bucket").filter((F.col("root") != F.col("to.root")) & may_link(F.col("x"), F.col("to.x"))).select("id", F.col("to.id").alias("to"))
+            order = F.struct(F.lit(0) if first is None else first, F.xxhash64(F.lit(k), "id"))
+            leader = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "x", "root"), order).alias("to"))
+            pairs = rows.join(leader, "bucket").filter((F.col("root") != F.col("to.root")) & may_link(F.col("x"), F.col("to.x"))).select("id", F.col("to.id").alias("to"))
         else:
             other = rows.select("bucket", F.col("id").alias("to"), F.col("x").alias("y"), F.col("root").alias("root2"))
             pairs = rows.join(other, "bucket").filter((F.col("id") < F.col("to")) & (F.col("root") != F.col("root2")) & may_link(F.col("x"), F.col("y"))).select("id", "to")
-        pairs = scratch.save(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), f"pairs-{k}")
+        pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.save(pairs, f"pairs-{k}")
+        tried = pairs if tried is None else tried.unionAll(pairs)
         new = scratch.save(alike(pairs).select("a", "b"), f"links-{k}")
         found = new if found is None else found.unionAll(new)
         roots = components(found, scratch, f"components-{k}")
