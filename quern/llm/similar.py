@@ -45,13 +45,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return roots
 
 
-def linked(live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, leaders: int = 2, first: Column | None = None) -> DataFrame:
+def linked(live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, leaders: int = 2, first: Column | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All (id, root) of ids that are linked to another.
 
     `live` has (bucket, id, x): an id stands in several buckets, x is what `may_link` looks at before a pair
     is compared. `alike` keeps those of its pairs (a, b) that are alike. Ids are linked when some bucket holds
     both, `may_link` allows it and they are alike; the components of these links are returned. A bucket's leader
-    is the row with the least `first`, of equals the one with the least hash.
+    is the row with the least `first`, of equals the one with the least hash. `refine` gives other buckets for ids (id)
+    that are left with several components in a bucket: any rows (bucket, id, x) that keep all alike ids together.
     """
     found: DataFrame | None = None
     tried: DataFrame | None = None
@@ -70,6 +71,8 @@ def linked(live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: C
             leader = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "x", "root"), order).alias("to"))
             pairs = rows.join(leader, "bucket").filter((F.col("root") != F.col("to.root")) & may_link(F.col("x"), F.col("to.x"))).select("id", F.col("to.id").alias("to"))
         else:
+            if refine is not None:
+                rows = refine(rows.select("id").distinct()).join(rows.select("id", "root").distinct(), "id")
             other = rows.select("bucket", F.col("id").alias("to"), F.col("x").alias("y"), F.col("root").alias("root2"))
             pairs = rows.join(other, "bucket").filter((F.col("id") < F.col("to")) & (F.col("root") != F.col("root2")) & may_link(F.col("x"), F.col("y"))).select("id", "to")
         pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
