@@ -193,6 +193,22 @@ def test_line_text_without_blanks(spark, documents):
     assert {(r.doc_id, tuple(r.removed)) for r in got} == {(2, (0,))}
 
 
+def test_short_lines(spark, documents):
+    """Short lines with an edit near an end, of similarity 0.8 at least, are found as often as the bands promise."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for k in range(600):
+        size = rng.randint(20, 39)
+        line = " ".join(word() for _ in range(20))[: size - 1] + "x"
+        depth = (size - 9) // 9 if k % 2 else 1  # characters from the end: so many shingles change
+        at = depth - 1 if k % 4 < 2 else size - depth
+        rows += [(2 * k, line), (2 * k + 1, line[:at] + str(rng.randrange(10)) + line[at + 1 :])]
+    want = brute_lines(rows)
+    got = {(r.doc_id, k) for r in line_dedup.removed_lines(documents(rows), Scratch(spark, "test")).collect() for k in r.removed}
+    assert len(want) == 600 and got <= want and len(got) >= 0.985 * len(want)
+
+
 def test_pipeline_is_its_stages(spark, sf):
     """Each stage keeps what brute force says it should, from its own input; the last packs all that is left."""
     docs = read(spark, sf, "documents")
