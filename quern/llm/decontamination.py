@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of a test item is a seed. One pass over the texts finds all seeds and cuts the passages
-around them. Counts over all documents then tell which seeds of an item are rare: those not above the
-item's own upper quartile of document counts. That is relative, so an item copied into very many
-documents keeps its seeds while phrases that are common by chance lose theirs. A passage with a rare
-seed is aligned with its item by words, which scores edited and paraphrased copies as well.
+Every n-gram of a test item is a seed. One pass over the texts finds all seeds, cuts the passages around
+them and aligns each with its item by words, which scores edited and paraphrased copies as well. Whether a
+passage is aligned depends on itself and its item alone, never on how often its seeds occur elsewhere: a
+passage is left out only if it holds so few of the item's words that no alignment can score enough. That
+takes the place of a choice of rare seeds and loses nothing.
 
 The test items are the stated query set: they are read in blocks of bounded size, each one an index that
 is broadcast and matched against all texts.
@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, chunks, read, words
@@ -60,14 +60,13 @@ class Index:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(np.fromiter(self.where, np.uint64, len(self.where)) >> np.uint64(44)).astype(np.int64)] = True
 
-    def passages(self, h: np.ndarray) -> Iterator[tuple[int, int, list[int], np.ndarray]]:
-        """Item, first word, seeds and words of each passage of a text that holds seeds. Seeds further apart than an item make several passages."""
+    def passages(self, h: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Item, first word and words of each passage of a text that holds seeds. Seeds further apart than an item make several passages."""
         s = _seeds(h)
-        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for j in np.flatnonzero(self.bits[(s >> np.uint64(44)).astype(np.int64)]).tolist():
-            seed = int(s[j])
-            for item, i in self.where.get(seed, ()):
-                hits[item].append((j, i, seed))
+            for item, i in self.where.get(int(s[j]), ()):
+                hits[item].append((j, i))
         for item, found in hits.items():
             m = len(self.words[item])
             slack, group = max(4, m // 4), [found[0]]
@@ -75,12 +74,17 @@ class Index:
                 if hit is not None and hit[0] - group[-1][0] <= m:
                     group.append(hit)
                     continue
-                low = max(0, min(j - i for j, i, _ in group) - slack)
-                high = max(j - i for j, i, _ in group) + m + slack
-                yield item, low, sorted({x for _, _, x in group}), h[low:high]
+                low = max(0, min(j - i for j, i in group) - slack)
+                high = max(j - i for j, i in group) + m + slack
+                yield item, low, h[low:high]
                 group = [hit]
 
 
+def enough(score: int, item: np.ndarray) -> bool:
+    """Whether a score makes a passage a copy of the item."""
+    return score >= MIN_SHARE * MATCH * len(item) or score >= MIN_SCORE
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman score of two word sequences, and the aligned span of the passage."""
     n = len(passage)
@@ -117,7 +121,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
         yield [(r[0], r[1]) for r in rows]
 
 
-FOUND = "doc_id long, item_id long, item binary, first_word long, seeds array<long>, passage binary"
+FOUND = "doc_id long, item_id long, score long, share double, span_start long, span_end long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -138,38 +142,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                ids = batch.column(0)
+                ids, index = batch.column(0), shared.value
                 for first, _, data, starts in chunks(batch.column(1)):
                     h, _, at = words(data, starts)
                     for k in range(len(starts) - 1):
-                        for item, low, seeds, passage in shared.value.passages(h[at[k] : at[k + 1]]):
-                            out.append((ids[first + k].as_py(), shared.value.ids[item], shared.value.words[item].tobytes(), low, np.array(seeds, np.uint64).view(np.int64), passage.tobytes()))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                        for item, low, passage in index.passages(h[at[k] : at[k + 1]]):
+                            a = index.words[item]
+                            if not enough(MATCH * int(np.isin(a, passage).sum()), a):  # each word of the item matches once at most
+                                continue
+                            best, begin, end = align(a, passage)
+                            if enough(best, a):
+                                out.append((ids[first + k].as_py(), index.ids[item], best, best / (MATCH * len(a)), low + begin, low + end))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
         parts.append(docs.mapInArrow(find, FOUND))
-    found = scratch.save(reduce(DataFrame.unionAll, parts), "found")
-    each = found.select("item_id", "doc_id", F.explode("seeds").alias("seed")).distinct()
-    counts = each.groupBy("item_id", "seed").agg(F.count("*").alias("docs"))
-    bound = F.percentile_approx("docs", 0.75).over(Window.partitionBy("item_id"))
-    rare = counts.withColumn("bound", bound).filter("docs <= bound").groupBy("item_id").agg(F.collect_list("seed").alias("rare"))
-    candidates = found.join(rare, "item_id").filter(F.arrays_overlap("seeds", "rare")).select("doc_id", "item_id", "item", "first_word", "passage")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, item, a, first, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a = np.frombuffer(a, np.uint64)
-                best, low, high = align(a, np.frombuffer(b, np.uint64))
-                share = best / (MATCH * len(a))
-                if share >= MIN_SHARE or best >= MIN_SCORE:
-                    out.append((doc, item, best, share, first + low, first + high))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "share", "span_start", "span_end"])
-
-    scored = candidates.mapInArrow(score, "doc_id long, item_id long, score long, share double, span_start long, span_end long")
+    scored = scratch.save(reduce(DataFrame.unionAll, parts), "scored")
     best = F.max(F.struct("score", "share", (-F.col("span_start")).alias("s"), "span_end")).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.share", (-F.col("b.s")).alias("span_start"), "b.span_end")
 

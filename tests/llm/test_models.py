@@ -120,6 +120,14 @@ def test_contaminated(spark, documents):
     assert left.count() == len(rows) - len(got) and "bucket" in left.columns
 
 
+def test_contaminated_by_frequent_edits(spark, documents):
+    """Edited copies that occur in many documents are found beside an exact copy, and whatever seeds other documents hold."""
+    edited = " ".join("changed" if k % 4 == 3 or k == 20 else x for k, x in enumerate(ITEM.split()))
+    rows = [(1, "before " + ITEM), *((10 + k, f"text {k} " + edited) for k in range(30))]
+    got = decontamination.contaminated(documents(rows), spark.createDataFrame([(7, ITEM)], "item_id long, text string")).toPandas()
+    assert sorted(got.doc_id) == [i for i, _ in rows] and got.share.min() >= decontamination.MIN_SHARE
+
+
 def test_contaminated_in_blocks(spark, documents, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 200)
     items = [" ".join(f"t{i}x{k}" for k in range(20)) for i in range(12)]
