@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, chunks, read, words
+from quern.llm.common import Scratch, chunks, mix, read, words
 
 #: Bytes of test items in one block, on average.
 BLOCK_BYTES = 16 << 20
@@ -42,26 +42,44 @@ def item_words(text: str | None) -> np.ndarray:
     return words(data, np.array([0, len(data)]))[0]
 
 
+def _windows(h: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprint of each run of `size` words."""
+    n = max(len(h) - size + 1, 0)
+    return mix(sum((h[j : j + n] * np.uint64(pow(0xC2B2AE3D27D4EB4F, j + 1, 1 << 64)) for j in range(size)), np.zeros(n, np.uint64)))
+
+
 class Index:
-    """Seeds of one block of test items: where each one stands."""
+    """Seeds of one block of test items: where each one stands. Items of fewer than MIN_WORDS words are known by all their words."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.ids, self.words = [], []
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item, text in items:
             h = item_words(text)
+            if not len(h):
+                continue
             if len(h) < MIN_WORDS:
+                self.short[len(h)][int(_windows(h, len(h))[0])].append(len(self.ids))
+                self.ids.append(item)
+                self.words.append(h)
                 continue
             for j, s in enumerate(_seeds(h).tolist()):
                 found[s].append((len(self.ids), j))
             self.ids.append(item)
             self.words.append(h)
         self.where = dict(found)
+        self.short = {size: dict(x) for size, x in self.short.items()}
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(np.fromiter(self.where, np.uint64, len(self.where)) >> np.uint64(44)).astype(np.int64)] = True
 
     def passages(self, h: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """Item, first word and words of each passage of a text that holds seeds. Seeds further apart than an item make several passages."""
+        for size, known in self.short.items():
+            keys, at = np.unique(_windows(h, size), return_index=True)
+            for k in np.flatnonzero(np.isin(keys, np.fromiter(known, np.uint64, len(known)))).tolist():
+                for item in known[int(keys[k])]:
+                    yield item, int(at[k]), h[at[k] : at[k] + size]
         s = _seeds(h)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for j in np.flatnonzero(self.bits[(s >> np.uint64(44)).astype(np.int64)]).tolist():
@@ -113,7 +131,9 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    named = benchmark.filter("item_id is not null")
+    benchmark = named.unionAll(benchmark.filter("item_id is null").distinct().join(named.select("text").distinct(), "text", "left_anti").select("item_id", "text"))
     n_bytes = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-n_bytes // BLOCK_BYTES))
     for k in range(n):
@@ -128,8 +148,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of a document (doc_id, text) and a test item (item_id, text) that it holds.
 
     Columns: doc_id, item_id, score (best alignment), share (of the best possible score), span_start and
-    span_end (words of the document, lower-cased, between white space). Null or empty texts and items of
-    fewer than MIN_WORDS words are never in the result; of repeated ids the best pair is given. Empty
+    span_end (words of the document, lower-cased, between white space). Null or empty texts are
+    never in the result. Items of fewer than MIN_WORDS words are found by exact copies of all their words. An item
+    without an id is known by the ids of items with the same text, else by the null id, which all such items
+    share. Of repeated ids the best pair is given. Empty
     tables give an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession

@@ -128,6 +128,15 @@ def test_contaminated_by_frequent_edits(spark, documents):
     assert sorted(got.doc_id) == [i for i, _ in rows] and got.share.min() >= decontamination.MIN_SHARE
 
 
+def test_short_and_nameless_items(spark, documents):
+    """Items of a few words are found by exact copies, items without an id under the null id."""
+    rows = [(1, "they asked What is\nfire made of then"), (2, "what is a fire made of"), (3, "say " + ITEM), (4, "so why"), (5, "so whyever")]
+    bench = spark.createDataFrame([(1, "what is fire made of"), (None, ITEM), (2, "Why"), (3, " ")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.share, r.span_start, r.span_end) for r in decontamination.contaminated(documents(rows), bench).collect()}
+    assert got == {(1, 1, 1.0, 2, 7), (3, None, 1.0, 1, 1 + len(ITEM.split())), (4, 2, 1.0, 1, 2)}
+    assert {r.doc_id for r in decontamination.without_leaks(documents(rows), bench).collect()} == {2, 5}
+
+
 def test_contaminated_in_blocks(spark, documents, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 200)
     items = [" ".join(f"t{i}x{k}" for k in range(20)) for i in range(12)]
