@@ -124,7 +124,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """Class of each document (doc_id, text): doc_id, n_shingles, component_id (the least doc_id of its component).
 
     Words stand between ASCII white space, A-Z in lower case. A text of one to four words is one shingle; one
-    without words (or null) has none and is linked with nothing. Repeated doc_ids give a row each. An empty
+    without words (or null) has none and is linked with nothing. A document without an id links others like any; a
+    component of such documents alone has a null component_id. Repeated doc_ids give a row each. An empty
     table gives an empty result. Other columns are ignored. Classes are known by 64-bit fingerprints.
     """
     spark = docs.sparkSession
@@ -156,20 +157,25 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     scratch.drop("prefixes", "tokens")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Size and second prefix of the texts that have the set of their class: a repeated doc_id may stand for others too."""
+        """Size and second prefix of the texts that have the set of their class: a repeated doc_id may stand for others too. A null id takes any class."""
         level, seen = shared.value, set()
         for batch in batches:
             for begin, last, data, starts in chunks(batch.column(1)):
                 s, row = shingles(data, starts, WIDTH)
                 n = np.bincount(row, minlength=len(starts) - 1)
                 sets = np.split(s, np.cumsum(n)[:-1])
-                own = [k for k, (i, mark) in enumerate(zip(batch.column(0).slice(begin, last - begin).to_pylist(), _marks(s, n).tolist(), strict=True)) if i == mark and not (i in seen or seen.add(i))]
+                marks = _marks(s, n).tolist()
+                own = [k for k, (i, mark) in enumerate(zip(batch.column(0).slice(begin, last - begin).to_pylist(), marks, strict=True)) if i in (mark, None) and not (mark in seen or seen.add(mark))]
                 part = batch.slice(begin, last - begin).take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n[own].astype(np.int32)), pa.array([first_tokens(sets[k], level).tobytes() for k in own], pa.binary()), part.column(1)], ["id", "n", "first", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([marks[k] for k in own], pa.int64()), pa.array(n[own].astype(np.int32)), pa.array([first_tokens(sets[k], level).tobytes() for k in own], pa.binary()), part.column(1)], ["id", "n", "first", "text"])
 
     needed = profiles.join(live.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(needed, "doc_id").select(F.col("cls").alias("id"), "text").mapInArrow(describe, "id long, n int, first binary, text string")
-    texts = scratch.save(texts, "texts")
+    described = "id long, n int, first binary, text string"
+    texts = docs.join(needed, "doc_id").select(F.col("cls").alias("id"), "text").mapInArrow(describe, described)
+    # classes all of whose documents lack an id are known by their texts alone
+    nameless = docs.filter("doc_id is null").distinct().mapInArrow(describe, described).dropDuplicates(["id"])
+    nameless = nameless.join(needed.filter("doc_id is null").select(F.col("cls").alias("id")), "id", "left_semi")
+    texts = scratch.save(texts.unionAll(nameless), "texts")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

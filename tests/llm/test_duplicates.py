@@ -123,6 +123,15 @@ def test_chain_of_near_copies(documents):
     assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(documents(rows)).collect()} == {i: v[1] for i, v in brute_groups(rows).items()}
 
 
+def test_ngram_join_through_null_ids(documents):
+    """Documents without an id link others, and each other."""
+    words = [f"c{k}" for k in range(100)]
+    rows = [(1, " ".join(words[:60])), (None, " ".join(words[6:66])), (None, " ".join(words[6:66])), (2, " ".join(words[12:72]))]
+    rows += [(None, " ".join(f"d{k}" for k in range(x, x + 60))) for x in (0, 3)]
+    got = ngram_join.similar_documents(documents(rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 1), (0, 1), (1, 1), (2, 1)]
+
+
 @pytest.mark.parametrize("edges", [[], [(k, k + 1) for k in range(70)], [(0, k) for k in range(1, 60)], [(k, (k * 7) % 40) for k in range(40)] + [(100, 101)]])
 def test_components(spark, edges):
     u = Union()
