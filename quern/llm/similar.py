@@ -1,15 +1,18 @@
 """Links between alike things found in buckets, and connected components, as DataFrame jobs.
 
-No pairs within a bucket are listed as a rule. Each bucket has a leader that all its members are compared
-with; members that come out in one component need no further comparison. Only buckets that still hold
-several components are compared pair by pair, across components, so that no link is lost.
+No pairs within a bucket are listed as such. Each bucket has leaders that its members are compared with, one
+in the first round and twice as many in each further one. A member that has led is compared with all of its
+bucket, so it leaves it; buckets whose members are all in one component are left out. What remains in the end
+has been compared with everything it shares a bucket with, so no link is lost.
+
+Tables here are small beside the input, but grow with it: joins merge sorted rows, and none is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch
@@ -20,7 +23,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Union-find by contraction: in each round a vertex moves to the vertex with the least hash within two
     steps, edges follow, and those inside a vertex vanish. Hashes differ by round, so paths shrink by a
-    constant factor as stars do at once. Each round is written to the shared folder.
+    constant factor as stars do at once. Each round is written to the shared folder and takes the place of the last.
     """
     edges = scratch.save(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-edges-0")
     roots, k = edges.select(F.col("a").alias("id"), F.col("a").alias("root")).limit(0), 0
@@ -30,57 +33,73 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         near = both.groupBy("id").agg(F.min(order).alias("h1"), F.min_by("to", order).alias("to1"))
         own = F.xxhash64(F.lit(k), "id")
         near = near.select("id", F.least("h1", own).alias("h"), F.when(F.col("h1") < own, F.col("to1")).otherwise(F.col("id")).alias("to"))
-        far = both.join(near.select(F.col("id").alias("to"), "h", F.col("to").alias("root")), "to").groupBy("id").agg(F.min("h").alias("h2"), F.min_by("root", "h").alias("root2"))
-        step = near.join(far, "id").select("id", F.when(F.col("h2") < F.col("h"), F.col("root2")).otherwise(F.col("to")).alias("root"))
+        far = both.join(near.select(F.col("id").alias("to"), "h", F.col("to").alias("root")).hint("merge"), "to").groupBy("id").agg(F.min("h").alias("h2"), F.min_by("root", "h").alias("root2"))
+        step = near.join(far.hint("merge"), "id").select("id", F.when(F.col("h2") < F.col("h"), F.col("root2")).otherwise(F.col("to")).alias("root"))
         step = scratch.save(step, f"{name}-step-{k}")
+        after = edges.join(step.toDF("a", "a2").hint("merge"), "a").join(step.toDF("b", "b2").hint("merge"), "b").filter("a2 <> b2")
+        after = scratch.save(after.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-edges-{k + 1}")
         if k == 0:
-            moved = step
+            roots = step
         else:
-            moved = roots.join(step.toDF("root", "next"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-        after = edges.join(step.toDF("a", "a2"), "a").join(step.toDF("b", "b2"), "b").filter("a2 <> b2")
-        after = after.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        k += 1
-        edges = scratch.save(after, f"{name}-edges-{k}")
-        roots = scratch.save(moved, f"{name}-roots-{k}") if k > 1 else step
+            moved = roots.join(step.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+            roots = scratch.save(moved, f"{name}-roots-{k}")
+            scratch.drop(f"{name}-step-{k}", f"{name}-roots-{k - 1}" if k > 1 else f"{name}-step-0")
+        scratch.drop(f"{name}-edges-{k}")
+        edges, k = after, k + 1
     return roots
 
 
-def linked(live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, leaders: int = 2, first: Column | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(
+    live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, first: Column | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refine_after: int = 3
+) -> DataFrame:
     """All (id, root) of ids that are linked to another.
 
     `live` has (bucket, id, x): an id stands in several buckets, x is what `may_link` looks at before a pair
     is compared. `alike` keeps those of its pairs (a, b) that are alike. Ids are linked when some bucket holds
-    both, `may_link` allows it and they are alike; the components of these links are returned. A bucket's leader
-    is the row with the least `first`, of equals the one with the least hash. `refine` gives other buckets for ids (id)
-    that are left with several components in a bucket: any rows (bucket, id, x) that keep all alike ids together.
+    both, `may_link` allows it and they are alike; the components of these links are returned. Rows with the
+    least `first` lead a bucket first, then those with the least hash. After `refine_after` rounds `refine` gives other
+    buckets for the ids (id) that are left: any rows (bucket, id, x) that keep all alike ids together.
     """
-    found: DataFrame | None = None
-    tried: DataFrame | None = None
+    rank = F.struct(F.lit(0) if first is None else first, F.xxhash64(F.lit(7), "id"))
+    rows = live.withColumn("rank", rank)
     roots: DataFrame | None = None
-    for k in range(leaders + 1):
+    k, leaders = 0, 1
+    while True:
         if roots is None:
-            rows = live.withColumn("root", F.col("id"))
-        else:
-            rows = live.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-            rows = scratch.save(rows.join(mixed, "bucket", "left_semi").select("bucket", "id", "x", "root"), f"mixed-{k}")
-            if rows.isEmpty():
-                break
-        if k < leaders:
-            order = F.struct(F.lit(0) if first is None else first, F.xxhash64(F.lit(k), "id"))
-            leader = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "x", "root"), order).alias("to"))
-            pairs = rows.join(leader, "bucket").filter((F.col("root") != F.col("to.root")) & may_link(F.col("x"), F.col("to.x"))).select("id", F.col("to.id").alias("to"))
+            rows = rows.withColumn("root", F.col("id"))
         else:
-            if refine is not None:
-                rows = refine(rows.select("id").distinct()).join(rows.select("id", "root").distinct(), "id")
-            other = rows.select("bucket", F.col("id").alias("to"), F.col("x").alias("y"), F.col("root").alias("root2"))
-            pairs = rows.join(other, "bucket").filter((F.col("id") < F.col("to")) & (F.col("root") != F.col("root2")) & may_link(F.col("x"), F.col("y"))).select("id", "to")
-        pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            rows = rows.drop("root").join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+        rows = scratch.save(rows.join(mixed.hint("merge"), "bucket", "left_semi").select("bucket", "id", "x", "rank", "root"), f"mixed-{k}")
+        if k:
+            scratch.drop(f"mixed-{k - 1}")
+        if rows.isEmpty():
+            break
+        if refine is not None and k == refine_after:
+            rows = scratch.save(refine(rows.select("id").distinct()).withColumn("rank", rank), "refined")
+            refine, leaders, k = None, 1, k + 1
+            continue
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))
+        lead = rows.withColumn("place", place).filter(F.col("place") <= leaders)
+        lead = scratch.save(lead.select("bucket", F.col("id").alias("to"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("rank").alias("rank2")), f"lead-{k}")
+        pairs = rows.join(lead.hint("merge"), "bucket").filter((F.col("root") != F.col("root2")) & (F.col("rank") > F.col("rank2")) & may_link(F.col("x"), F.col("y")))
+        pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), F.least("root", "root2").alias("root_a"), F.greatest("root", "root2").alias("root_b")).distinct()
+        if roots is not None:
+            pairs = pairs.join(scratch.spark.read.parquet(scratch.path("tried")).hint("merge"), ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{k}")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        new = scratch.save(alike(pairs).select("a", "b"), f"links-{k}")
-        found = new if found is None else found.unionAll(new)
-        roots = components(found, scratch, f"components-{k}")
-    return roots
+        scratch.append(pairs.select("a", "b"), "tried")
+        links = alike(pairs.select("a", "b"))
+        edges = pairs.join(links.hint("merge"), ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        moves = components(edges, scratch, f"components-{k}")
+        if roots is None:
+            roots = moves
+        else:
+            moved = roots.join(moves.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+            fresh = moves.join(roots.select("id").hint("merge"), "id", "left_anti").select("id", "root")
+            roots = scratch.save(moved.unionAll(fresh), f"roots-{k}")
+        led = lead.groupBy("bucket").agg(F.max("rank2").alias("led"))
+        rows = rows.join(led.hint("merge"), "bucket").filter("rank > led").drop("led")
+        k, leaders = k + 1, 2 * leaders
+        scratch.drop(f"pairs-{k - 1}")
+    scratch.drop("tried")
+    return live.select("id", F.col("id").alias("root")).limit(0) if roots is None else roots
