@@ -1,7 +1,7 @@
 """Links between alike things found in buckets, and connected components, as DataFrame jobs.
 
 No pairs within a bucket are listed as such. Each bucket has leaders that its members are compared with, one
-in the first round and twice as many in each further one. A member that has led is compared with all of its
+in the first round and four times as many in each further one. A member that has led is compared with all of its
 bucket, so it leaves it; buckets whose members are all in one component are left out. What remains in the end
 has been compared with everything it shares a bucket with, so no link is lost.
 
@@ -23,11 +23,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Union-find by contraction: in each round a vertex moves to the vertex with the least hash within two
     steps, edges follow, and those inside a vertex vanish. Hashes differ by round, so paths shrink by a
-    constant factor as stars do at once. Each round is written to the shared folder and takes the place of the last.
+    constant factor as stars do at once. Each round is written to the shared folder and takes the place of the last; the moves are put together at the end.
     """
     edges = scratch.save(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-edges-0")
-    roots, k = edges.select(F.col("a").alias("id"), F.col("a").alias("root")).limit(0), 0
+    steps: list[DataFrame] = []
     while not edges.isEmpty():
+        k = len(steps)
         both = edges.unionAll(edges.select("b", "a")).toDF("id", "to")
         order = F.xxhash64(F.lit(k), "to")
         near = both.groupBy("id").agg(F.min(order).alias("h1"), F.min_by("to", order).alias("to1"))
@@ -38,19 +39,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         step = scratch.save(step, f"{name}-step-{k}")
         after = edges.join(step.toDF("a", "a2").hint("merge"), "a").join(step.toDF("b", "b2").hint("merge"), "b").filter("a2 <> b2")
         after = scratch.save(after.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-edges-{k + 1}")
-        if k == 0:
-            roots = step
-        else:
-            moved = roots.join(step.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-            roots = scratch.save(moved, f"{name}-roots-{k}")
-            scratch.drop(f"{name}-step-{k}", f"{name}-roots-{k - 1}" if k > 1 else f"{name}-step-0")
         scratch.drop(f"{name}-edges-{k}")
-        edges, k = after, k + 1
+        steps.append(step)
+        edges = after
+    if not steps:
+        return edges.select(F.col("a").alias("id"), F.col("a").alias("root"))
+    roots = steps[0]
+    for step in steps[1:]:
+        roots = roots.join(step.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+    roots = scratch.save(roots, f"{name}-roots")
+    scratch.drop(*(f"{name}-step-{k}" for k in range(len(steps))))
     return roots
 
 
 def linked(
-    live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, first: Column | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refine_after: int = 3
+    live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, first: Column | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refine_after: int = 2
 ) -> DataFrame:
     """All (id, root) of ids that are linked to another.
 
@@ -99,7 +102,7 @@ def linked(
             roots = scratch.save(moved.unionAll(fresh), f"roots-{k}")
         led = lead.groupBy("bucket").agg(F.max("rank2").alias("led"))
         rows = rows.join(led.hint("merge"), "bucket").filter("rank > led").drop("led")
-        k, leaders = k + 1, 2 * leaders
+        k, leaders = k + 1, 4 * leaders
         scratch.drop(f"pairs-{k - 1}")
     scratch.drop("tried")
     return live.select("id", F.col("id").alias("root")).limit(0) if roots is None else roots
