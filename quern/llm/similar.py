@@ -90,16 +90,17 @@ def linked(
         if roots is not None:
             pairs = pairs.join(scratch.spark.read.parquet(scratch.path("tried")).hint("merge"), ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{k}")
-        scratch.append(pairs.select("a", "b"), "tried")
-        links = alike(pairs.select("a", "b"))
-        edges = pairs.join(links.hint("merge"), ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        moves = components(edges, scratch, f"components-{k}")
-        if roots is None:
-            roots = moves
-        else:
-            moved = roots.join(moves.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-            fresh = moves.join(roots.select("id").hint("merge"), "id", "left_anti").select("id", "root")
-            roots = scratch.save(moved.unionAll(fresh), f"roots-{k}")
+        if not pairs.isEmpty():
+            scratch.append(pairs.select("a", "b"), "tried")
+            links = alike(pairs.select("a", "b"))
+            edges = pairs.join(links.hint("merge"), ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+            moves = components(edges, scratch, f"components-{k}")
+            if roots is None:
+                roots = moves
+            else:
+                moved = roots.join(moves.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+                fresh = moves.join(roots.select("id").hint("merge"), "id", "left_anti").select("id", "root")
+                roots = scratch.save(moved.unionAll(fresh), f"roots-{k}")
         led = lead.groupBy("bucket").agg(F.max("rank2").alias("led"))
         rows = rows.join(led.hint("merge"), "bucket").filter("rank > led").drop("led")
         k, leaders = k + 1, 4 * leaders
