@@ -26,7 +26,9 @@ def trailing(rows: DataFrame, at: str, seconds: int, labels: list[str], measures
     """Each row with measures over the rows of its labels in the `seconds` up to and with its own time.
 
     The window is partitioned by labels and, so that a frequent label is not one task's work, by blocks of the
-    window's length: each row is also dealt to the next block, where it only counts for others.
+    window's length: each row is also dealt to the next block, where it only counts for others. Counts and sums take time
+    in proportion to the rows; an exact percentile takes it to the rows times those of a window, so for windows of very
+    many rows give `percentile_approx` of `by_window`'s narrower windows instead.
     """
     epoch = F.unix_micros(F.col(at).cast("timestamp"))
     block = F.floor(epoch / F.lit(seconds * 1_000_000))

@@ -18,10 +18,27 @@ RESERVED_UNIT_STATES = ("READY", "SUBMITTING", "RUNNING", "RETRY_WAIT", "UNKNOWN
 RECOVERABLE_UNIT_STATES = ("SUBMITTING", "RUNNING", "RETRY_WAIT", "UNKNOWN")
 WAITING_UNIT_STATES = ("PENDING", "READY", "RETRY_WAIT")
 MOVES = {
-    "run": "CREATED>QUEUED CREATED>CANCELLED QUEUED>PLANNING QUEUED>CANCELLED PLANNING>RUNNING PLANNING>FAILED PLANNING>CANCELLED RUNNING>SUCCEEDED RUNNING>FAILED RUNNING>CANCELLED",
-    "unit": "PENDING>READY PENDING>CANCELLED READY>SUBMITTING READY>CANCELLED SUBMITTING>RUNNING SUBMITTING>RETRY_WAIT SUBMITTING>SUCCEEDED SUBMITTING>FAILED SUBMITTING>CANCELLED SUBMITTING>UNKNOWN RUNNING>SUCCEEDED RUNNING>RETRY_WAIT RUNNING>FAILED RUNNING>CANCELLED RUNNING>UNKNOWN RETRY_WAIT>READY RETRY_WAIT>CANCELLED UNKNOWN>SUBMITTING UNKNOWN>RUNNING UNKNOWN>RETRY_WAIT UNKNOWN>SUCCEEDED UNKNOWN>FAILED UNKNOWN>CANCELLED",
-    "attempt": "PENDING>SUBMITTING PENDING>CANCELLED SUBMITTING>RUNNING SUBMITTING>SUCCEEDED SUBMITTING>FAILED SUBMITTING>CANCELLED SUBMITTING>UNKNOWN RUNNING>SUCCEEDED RUNNING>FAILED RUNNING>CANCELLED RUNNING>UNKNOWN UNKNOWN>SUBMITTING UNKNOWN>RUNNING UNKNOWN>SUCCEEDED UNKNOWN>FAILED UNKNOWN>CANCELLED",
-    "artifact": "STAGING>COMMITTED STAGING>ABORTED",
+    "run": {
+        "CREATED": ("QUEUED", "CANCELLED"),
+        "QUEUED": ("PLANNING", "CANCELLED"),
+        "PLANNING": ("RUNNING", "FAILED", "CANCELLED"),
+        "RUNNING": ("SUCCEEDED", "FAILED", "CANCELLED"),
+    },
+    "unit": {
+        "PENDING": ("READY", "CANCELLED"),
+        "READY": ("SUBMITTING", "CANCELLED"),
+        "SUBMITTING": ("RUNNING", "RETRY_WAIT", "SUCCEEDED", "FAILED", "CANCELLED", "UNKNOWN"),
+        "RUNNING": ("SUCCEEDED", "RETRY_WAIT", "FAILED", "CANCELLED", "UNKNOWN"),
+        "RETRY_WAIT": ("READY", "CANCELLED"),
+        "UNKNOWN": ("SUBMITTING", "RUNNING", "RETRY_WAIT", "SUCCEEDED", "FAILED", "CANCELLED"),
+    },
+    "attempt": {
+        "PENDING": ("SUBMITTING", "CANCELLED"),
+        "SUBMITTING": ("RUNNING", "SUCCEEDED", "FAILED", "CANCELLED", "UNKNOWN"),
+        "RUNNING": ("SUCCEEDED", "FAILED", "CANCELLED", "UNKNOWN"),
+        "UNKNOWN": ("SUBMITTING", "RUNNING", "SUCCEEDED", "FAILED", "CANCELLED"),
+    },
+    "artifact": {"STAGING": ("COMMITTED", "ABORTED")},
 }
 
 
@@ -31,5 +48,5 @@ def is_terminal(status: Column | str) -> Column:
 
 def moves(spark: SparkSession, kind: str | None = None) -> DataFrame:
     """(kind, before, after) of the allowed moves; about fifty rows."""
-    rows = [(k, *m.split(">")) for k, text in MOVES.items() for m in text.split() if kind in (None, k)]
+    rows = [(k, before, after) for k, table in MOVES.items() if kind in (None, k) for before, nexts in table.items() for after in nexts]
     return spark.createDataFrame(rows, "kind string, before string, after string")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.states import is_terminal
@@ -64,8 +64,9 @@ def after(rows: DataFrame, order: list[str], last: tuple | None, limit: int) ->
         for j in range(k):
             part = part & (F.col(order[j]) == F.lit(last[j]))
         later = part if later is None else later | part
-    following = rows.filter(later).orderBy(*order).limit(limit)
-    return rows.orderBy(*order).limit(limit) if following.isEmpty() else following
+    top = rows.withColumn("__later", F.coalesce(later, F.lit(False))).orderBy(F.desc("__later"), *order).limit(limit)
+    some = top.withColumn("__some", F.max("__later").over(Window.partitionBy()))  # `limit` rows
+    return some.filter(F.col("__later") | ~F.col("__some")).drop("__later", "__some").orderBy(*order)
 
 
 def targets(owned: DataFrame, w: Windows, now: Column, committed_at: str = "finished_at") -> DataFrame:
@@ -157,7 +158,10 @@ def target_states(processed: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def report(states: DataFrame) -> DataFrame:
-    """Totals of one pass over targets."""
+def report(states: DataFrame, scanned: DataFrame, found: DataFrame, pruned: DataFrame) -> DataFrame:
+    """Totals of one pass, in one row: artifacts looked at, targets found for them, targets processed by outcome, objects deleted and events pruned."""
     n = {f"{s.lower()}_targets": F.count_if(F.col("state") == s) for s in ("DELETED", "BLOCKED", "FAILED")}
-    return states.agg(F.count("*").alias("processed_targets"), *(c.alias(k) for k, c in n.items()), F.coalesce(F.sum(F.when(F.col("state") == "DELETED", F.col("objects"))), F.lit(0)).cast("long").alias("objects_deleted"))
+    out = states.agg(F.count("*").alias("processed_targets"), *(c.alias(k) for k, c in n.items()), F.coalesce(F.sum(F.when(F.col("state") == "DELETED", F.col("objects"))), F.lit(0)).cast("long").alias("objects_deleted"))
+    for rows, name in ((scanned, "scanned_artifacts"), (found, "discovered_targets"), (pruned, "events_pruned")):
+        out = out.join(rows.agg(F.count("*").alias(name)), F.lit(True))  # one row each
+    return out

@@ -2,47 +2,72 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.shared import Scratch
+
 
 def unsatisfied(requests: DataFrame, groups: DataFrame, keys: dict[str, str], kind: tuple[str, str] | None = None, satisfied: bool = False) -> DataFrame:
     """Requests that no worker group can hold (or those that one can): every amount of `keys` (request: group) must fit; null asks for nothing.
 
-    Capacity only matters at the edge: a group that another of its kind exceeds in every amount decides nothing.
-    So groups are first reduced to their undominated ones over a distinct set; with one amount that is one row.
-    `kind` (request column, group column): a request that names a kind needs a group of that kind.
+    `kind` (request column, group column): a request that names a kind needs a group of that kind. With one or two amounts, requests
+    and groups are one stream by falling first amount, range-partitioned: a request fits if the largest second amount
+    so far is enough. Of what lies in other ranges only one number a range is looked at. More amounts have no such
+    order: then the groups' distinct amounts are compared with each request, so that should be a short list.
     """
-    edge = frontier(groups, list(keys.values()), kind[1] if kind else None)
-    fits = None
-    for r, g in keys.items():
-        part = F.coalesce(requests[r], F.lit(0)) <= edge[g]
-        fits = part if fits is None else fits & part
+    if len(keys) > 2:
+        return _by_pairs(requests, groups, keys, kind, satisfied)
+    (r1, g1), *more = keys.items()
+    r2, g2 = (F.coalesce(requests[more[0][0]], F.lit(0)), groups[more[0][1]]) if more else (F.lit(0), F.lit(0))
+    any_kind = F.lit("*")
+    wanted = F.coalesce(F.concat(F.lit("="), requests[kind[0]].cast("string")), any_kind) if kind else any_kind
+    offered = F.array(any_kind, F.concat(F.lit("="), groups[kind[1]].cast("string"))) if kind else F.array(any_kind)
+    row = F.struct(*requests.columns)
+    offers = groups.select(F.explode(offered).alias("kind"), groups[g1].alias("x"), g2.alias("y"), F.lit(0).alias("asks")).filter("kind is not null and x is not null and y is not null").distinct()
+    offers = offers.withColumn("row", F.lit(None).cast(requests.select(row).schema[0].dataType))
+    asked = requests.select(wanted.alias("kind"), F.coalesce(requests[r1], F.lit(0)).alias("x"), r2.alias("y"), F.lit(1).alias("asks"), row.alias("row"))
+    order = ["kind", F.desc("x"), "asks"]
+    both = offers.unionByName(asked).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    both = Scratch(requests.sparkSession, "capacity").save(both, "stream")
+    offer = F.when(F.col("asks") == 0, F.col("y"))
+    before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = both.groupBy("kind", "part").agg(F.max(offer).alias("top")).withColumn("above", F.max("top").over(before)).select("kind", "part", "above")
+    inside = Window.partitionBy("kind", "part").orderBy(F.desc("x"), "asks").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    best = both.withColumn("best", F.max(offer).over(inside)).join(tops, ["kind", "part"]).filter("asks = 1")
+    fits = F.coalesce(F.greatest("best", "above") >= F.col("y"), F.lit(False))
+    return best.filter(fits if satisfied else ~fits).select("row.*")
+
+
+def _by_pairs(requests: DataFrame, groups: DataFrame, keys: dict[str, str], kind: tuple[str, str] | None, satisfied: bool) -> DataFrame:
+    amounts = list(keys.values())
+    edge = groups.groupBy(*([kind[1]] if kind else []), *amounts[:-1]).agg(F.max(amounts[-1]).alias(amounts[-1]))
+    fits = reduce(lambda a, b: a & b, (F.coalesce(requests[r], F.lit(0)) <= edge[g] for r, g in keys.items()))
     if kind:
         fits = fits & (requests[kind[0]].isNull() | (requests[kind[0]] == edge[kind[1]]))
     return requests.join(edge, fits, "left_semi" if satisfied else "left_anti")
 
 
-def frontier(groups: DataFrame, amounts: list[str], kind: str | None) -> DataFrame:
-    """Distinct groups that no other of their kind exceeds, by one sorted window: the best second amount among those with a larger first one."""
-    by = [kind] if kind else []
-    if len(amounts) == 1:
-        return groups.groupBy(*by).agg(F.max(amounts[0]).alias(amounts[0]))
-    best = groups.groupBy(*by, *amounts[:-1]).agg(F.max(amounts[-1]).alias(amounts[-1]))
-    if len(amounts) > 2:
-        return best
-    top = Window.partitionBy(*by).orderBy(F.desc(amounts[0])).rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("__above", F.max(amounts[1]).over(top)).filter(F.col("__above").isNull() | (F.col(amounts[1]) > F.col("__above"))).drop("__above")
-
-
-def in_force(rows: DataFrame, revisions: DataFrame, key: str, at: str, since: str, fields: list[str]) -> DataFrame:
+def in_force(rows: DataFrame, revisions: DataFrame, key: str, at: str, since: str, fields: list[str], block_s: int = 30 * 86_400) -> DataFrame:
     """Each row with the newest revision of its key that began at or before the row's time; null before the first.
 
-    Rows and revisions are one sorted stream for each key, in which the last revision is carried forward:
-    one shuffle, and no pairs of rows and revisions.
+    Rows and revisions are one sorted stream for each key and block of `block_s` seconds, in which the last revision is
+    carried forward; what was in force when a block begins comes from one revision a block. So a frequent key
+    is many tasks' work, and there are no pairs of rows and revisions.
     """
-    left = rows.select(F.struct(*rows.columns).alias("__row"), F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(revisions.select(F.struct(*fields)).schema[0].dataType).alias("__rev"))
-    right = revisions.select(F.lit(None).cast(rows.select(F.struct(*rows.columns)).schema[0].dataType).alias("__row"), F.col(key).alias("__key"), F.col(since).cast(rows.schema[at].dataType).alias("__at"), F.lit(0).alias("__kind"), F.struct(*fields).alias("__rev"))
-    order = Window.partitionBy("__key").orderBy("__at", "__kind", "__rev").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("__rev", F.last("__rev", ignorenulls=True).over(order))
+    kind = rows.schema[at].dataType
+    block = F.floor(F.unix_seconds(F.col("__at").cast("timestamp")) / F.lit(block_s)).alias("__block")
+    rev_type = revisions.select(F.struct(*fields)).schema[0].dataType
+    row_type = rows.select(F.struct(*rows.columns)).schema[0].dataType
+    left = rows.select(F.struct(*rows.columns).alias("__row"), F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(rev_type).alias("__rev")).select("*", block)
+    right = revisions.select(F.lit(None).cast(row_type).alias("__row"), F.col(key).alias("__key"), F.col(since).cast(kind).alias("__at"), F.lit(0).alias("__kind"), F.struct(*fields).alias("__rev")).select("*", block)
+    ends = right.groupBy("__key", "__block").agg(F.max_by("__rev", F.struct("__at", "__rev")).alias("__rev"))
+    blocks = left.select("__key", "__block", F.lit(None).cast(rev_type).alias("__rev")).distinct().unionByName(ends).groupBy("__key", "__block").agg(F.max("__rev").alias("__rev"))
+    earlier = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.withColumn("__rev", F.last("__rev", ignorenulls=True).over(earlier)).filter("__rev is not null")
+    carried = carried.select(F.lit(None).cast(row_type).alias("__row"), "__key", F.lit(None).cast(kind).alias("__at"), F.lit(0).alias("__kind"), "__rev", "__block")
+    order = Window.partitionBy("__key", "__block").orderBy("__at", "__kind", "__rev").rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right).unionByName(carried).withColumn("__rev", F.last("__rev", ignorenulls=True).over(order))
     return both.filter("__kind = 1").select("__row.*", *(F.col(f"__rev.{f}").alias(f if f not in rows.columns else f"revision_{f}") for f in fields))

@@ -92,7 +92,7 @@ def fair_take_capped(df: DataFrame, group: str, category: str, within: list[str]
         waiting: dict[object, list] = {}
         for record in table.to_dict("records"):
             waiting.setdefault(record[group], []).append(record)
-        queue = [((v[0]["__last"], *(v[0][b] for b in between), str(k)), k) for k, v in waiting.items()]
+        queue = [((v[0]["__last"], *(v[0][b] for b in between), (k is None, k)), k) for k, v in waiting.items()]
         heapq.heapify(queue)
         served = max((q[0][0] for q in queue), default=0)
         while queue and len(taken) < n:
@@ -109,4 +109,4 @@ def fair_take_capped(df: DataFrame, group: str, category: str, within: list[str]
                 heapq.heappush(queue, ((served, *key[1:]), g))
         yield pd.DataFrame(taken, columns=[*names, "sequence"])
 
-    return rows.coalesce(1).mapInPandas(choose, schema)
+    return rows.repartition(1).mapInPandas(choose, schema)

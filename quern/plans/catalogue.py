@@ -39,16 +39,20 @@ def cyclic_nodes(edges: DataFrame, pipeline: str = "pipeline_id") -> DataFrame:
     """(pipeline, node) of nodes that lie on a cycle or between cycles, self edges included.
 
     Edges whose source nothing enters are peeled off, then edges whose target nothing leaves, until none is left
-    to peel: what remains runs from cycle to cycle. Each level is written to the shared folder.
+    to peel: what remains runs from cycle to cycle. Three levels of either kind go in a job, whose result is written to the
+    shared folder.
     """
     scratch = Scratch(edges.sparkSession, "cycles")
     left = scratch.save(edges.select(pipeline, "src", "dst").distinct(), "edges-0")
     n, k = left.count(), 0
     while n:
-        into = left.select(pipeline, F.col("dst").alias("src")).distinct()
-        out = left.select(pipeline, F.col("src").alias("dst")).distinct()
+        for _ in range(3):
+            into = left.select(pipeline, F.col("dst").alias("src")).distinct()
+            out = left.select(pipeline, F.col("src").alias("dst")).distinct()
+            left = left.join(into, [pipeline, "src"], "left_semi").join(out, [pipeline, "dst"], "left_semi").select(pipeline, "src", "dst")
         k += 1
-        left = scratch.save(left.join(into, [pipeline, "src"], "left_semi").join(out, [pipeline, "dst"], "left_semi").select(pipeline, "src", "dst"), f"edges-{k}")
+        left = scratch.save(left, f"edges-{k}")
+        scratch.drop(f"edges-{k - 1}")
         m = left.count()
         if m == n:
             break

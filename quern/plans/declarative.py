@@ -102,6 +102,14 @@ def checked(spec: dict[str, Any]) -> list[str]:
     return order
 
 
+def plan_document(operators: list[dict[str, Any]]) -> dict[str, Any]:
+    """A plan, which is a chain of operators from a read to a write, as a pipeline document."""
+    kinds = [o["kind"] for o in operators]
+    if len(kinds) < 2 or kinds[0] != "read_parquet" or kinds[-1] != "write_parquet":
+        raise PlanError("a plan starts with read_parquet and ends with write_parquet")
+    return {"nodes": operators, "edges": [{"from": a["id"], "to": b["id"]} for a, b in zip(operators, operators[1:])]}
+
+
 def execute(spark: SparkSession, spec: dict[str, Any], base: str, run: str) -> dict[str, DataFrame]:
     """Apply a pipeline document; returns each node's DataFrame. Writes and publications run at once, in order; all else is lazy."""
     nodes = {n["id"]: n for n in spec["nodes"]}

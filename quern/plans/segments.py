@@ -28,20 +28,22 @@ def edge_parents(nodes: DataFrame, edges: DataFrame, settings: list[str], pipeli
 
 
 def segments(links: DataFrame, pipeline: str = "pipeline_id") -> DataFrame:
-    """(pipeline, node, segment): the first node of each node's segment, from (pipeline, node, parent or null).
+    """(pipeline, node, segment): the first node of each node's segment, from (pipeline, node, parent or null); null for nodes on a cycle or below one.
 
     Pointer doubling: each round a node's pointer jumps to that of the node it points to, so a chain of n nodes
-    takes log2(n) joins. Each round is written to the shared folder.
+    takes log2(n) joins, and what points on after that is led by a cycle. A parent that is no node is a first node. Each round is written to the shared folder.
     """
     scratch = Scratch(links.sparkSession, "segments")
     at = scratch.save(links.select(pipeline, "node", F.coalesce("parent", "node").alias("segment"), F.col("parent").isNull().alias("done")), "round-0")
-    k = 0
-    while not at.filter("not done").isEmpty():
+    longest = at.groupBy(pipeline).count().agg(F.max("count")).first()[0] or 1
+    for k in range(1, longest.bit_length() + 2):
+        if at.filter("not done").isEmpty():
+            break
         up = at.select(pipeline, F.col("node").alias("segment"), F.col("segment").alias("next"), F.col("done").alias("there"))
         moved = at.join(up, [pipeline, "segment"], "left").select(pipeline, "node", F.coalesce("next", "segment").alias("segment"), F.coalesce("there", F.lit(True)).alias("done"))
-        k += 1
         at = scratch.save(moved, f"round-{k}")
-    return at.select(pipeline, "node", "segment")
+        scratch.drop(f"round-{k - 1}")
+    return at.select(pipeline, "node", F.when(F.col("done"), F.col("segment")).alias("segment"))
 
 
 def segment_edges(found: DataFrame, edges: DataFrame, pipeline: str = "pipeline_id") -> DataFrame:

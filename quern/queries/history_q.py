@@ -144,16 +144,18 @@ def c14(spark, d):
 
 @R.add("c15_diagnostics", """
     WITH t AS (SELECT run_id, unit_key, COUNT(*) AS attempts FROM h_attempts GROUP BY run_id, unit_key),
-         f AS (SELECT run_id, node_id, COUNT(*) AS artifacts FROM h_artifacts GROUP BY run_id, node_id)
+         f AS (SELECT run_id, node_id, COUNT(*) AS artifacts FROM h_artifacts GROUP BY run_id, node_id),
+         x AS (SELECT run_id, COUNT(*) AS events, MIN(event_id) AS first_event, MAX(event_id) AS last_event FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY event_id DESC) AS n FROM h_events) q WHERE n <= 20 GROUP BY run_id)
     SELECT r.run_id, r.status, p.name AS pipeline_name, v.version, u.unit_key, u.status AS unit_status,
-           CAST(t.attempts AS INT) AS attempts, CAST(f.artifacts AS INT) AS artifacts
+           CAST(t.attempts AS INT) AS attempts, CAST(f.artifacts AS INT) AS artifacts, CAST(x.events AS INT) AS events, x.first_event, x.last_event
     FROM h_runs r LEFT JOIN h_versions v ON v.version_id = r.version_id LEFT JOIN h_pipelines p ON p.pipeline_id = v.pipeline_id
     JOIN h_units u ON u.run_id = r.run_id LEFT JOIN t ON t.run_id = u.run_id AND t.unit_key = u.unit_key
-    LEFT JOIN f ON f.run_id = u.run_id AND f.node_id = u.unit_key""", "h_runs", "h_versions", "h_pipelines", "h_units", "h_attempts", "h_artifacts")
+    LEFT JOIN f ON f.run_id = u.run_id AND f.node_id = u.unit_key LEFT JOIN x ON x.run_id = r.run_id""", "h_runs", "h_versions", "h_pipelines", "h_units", "h_attempts", "h_artifacts", "h_events")
 def c15(spark, d):
-    v = {n: view(spark, d, f"h_{n}") for n in ("runs", "versions", "pipelines", "units", "attempts", "artifacts")}
-    found = listings.diagnostics(**v).select("run_id", "status", "pipeline_name", "version", F.explode("units").alias("u"))
-    return found.select("run_id", "status", "pipeline_name", "version", "u.unit_key", F.col("u.status").alias("unit_status"), F.size("u.attempts").alias("attempts"), F.size("u.artifacts").alias("artifacts"))
+    v = {n: view(spark, d, f"h_{n}") for n in ("runs", "versions", "pipelines", "units", "attempts", "artifacts", "events")}
+    found = listings.diagnostics(**v, last=20).select("run_id", "status", "pipeline_name", "version", F.explode("units").alias("u"), "events")
+    return found.select("run_id", "status", "pipeline_name", "version", "u.unit_key", F.col("u.status").alias("unit_status"), F.size("u.attempts").alias("attempts"), F.size("u.artifacts").alias("artifacts"),
+                        F.size("events").alias("events"), F.try_element_at("events", F.lit(1))["event_id"].alias("first_event"), F.try_element_at("events", F.lit(-1))["event_id"].alias("last_event"))
 
 
 @R.add("c16_last_events", "SELECT event_id, run_id, event_type, created_at, value, props FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY event_id DESC) AS n FROM h_events) q WHERE n <= 5", "h_events")
@@ -196,9 +198,9 @@ def c20(spark, d):
     return retention.upsert_targets(view(spark, d, "h_gc_targets"), retention.targets(owned(spark, d), WINDOWS, ts(NOW)))
 
 
-@R.add("c21_work_queue", f"SELECT * FROM h_gc_targets WHERE state <> 'DELETED' AND eligible_at <= {NOW} ORDER BY eligible_at, run_id, node_id, attempt_number, target_kind LIMIT 64", "h_gc_targets")
+@R.add("c21_work_queue", f"SELECT * FROM h_gc_work WHERE state <> 'DELETED' AND eligible_at <= {NOW} ORDER BY updated_at, eligible_at, run_id, node_id, attempt_number, target_kind LIMIT 64", "h_gc_work")
 def c21(spark, d):
-    return retention.work(view(spark, d, "h_gc_targets"), ts(NOW), ["eligible_at", *retention.KEYS, "target_kind"], 64)
+    return retention.work(view(spark, d, "h_gc_work"), ts(NOW), ["updated_at", "eligible_at", *retention.KEYS, "target_kind"], 64)
 
 
 BLOCKED = f"""
@@ -265,11 +267,15 @@ STATES = f"""
 
 
 @R.add("c26_deletion_report", f"""
-    WITH {STATES} SELECT COUNT(*) AS processed_targets, CAST(COUNT(CASE WHEN state = 'DELETED' THEN 1 END) AS BIGINT) AS deleted_targets,
+    WITH {STATES}, found AS ({TARGETS}) SELECT COUNT(*) AS processed_targets, CAST(COUNT(CASE WHEN state = 'DELETED' THEN 1 END) AS BIGINT) AS deleted_targets,
     CAST(COUNT(CASE WHEN state = 'BLOCKED' THEN 1 END) AS BIGINT) AS blocked_targets, CAST(COUNT(CASE WHEN state = 'FAILED' THEN 1 END) AS BIGINT) AS failed_targets,
-    CAST(COALESCE(SUM(CASE WHEN state = 'DELETED' THEN objects END), 0) AS BIGINT) AS objects_deleted FROM states""", "h_gc_targets", "h_inputs", *OWNED_VIEWS)
+    CAST(COALESCE(SUM(CASE WHEN state = 'DELETED' THEN objects END), 0) AS BIGINT) AS objects_deleted,
+    (SELECT COUNT(*) FROM owned WHERE staging_at <= {NOW} OR committed_due <= {NOW}) AS scanned_artifacts, (SELECT COUNT(*) FROM found) AS discovered_targets,
+    (SELECT COUNT(*) FROM h_events e WHERE e.created_at + INTERVAL 5 DAY <= {EVENT_NOW} AND e.run_id IN ({OLD})) AS events_pruned FROM states""", "h_gc_targets", "h_inputs", "h_events", *OWNED_VIEWS)
 def c26(spark, d):
-    return retention.report(retention.target_states(processed(spark, d), ts(NOW)))
+    scanned = retention.candidates(owned(spark, d), WINDOWS, ts(NOW), ["finished_at", *retention.KEYS])
+    pruned = retention.prunable_events(view(spark, d, "h_events"), view(spark, d, "h_runs"), WINDOWS, ts(EVENT_NOW))
+    return retention.report(retention.target_states(processed(spark, d), ts(NOW)), scanned, retention.targets(owned(spark, d), WINDOWS, ts(NOW)), pruned)
 
 
 @R.add("c27_target_states", f"WITH {STATES} SELECT run_id, node_id, attempt_number, target_kind, uri, eligible_at, attempts, state, last_error, deleted_at FROM states", "h_gc_targets", "h_inputs", *OWNED_VIEWS)

@@ -164,12 +164,72 @@ def a15(spark, d):
     return execute(spark, document(d, scratch.path("out")), scratch.base, "run-1")["write"]
 
 
+@R.add("a10_hard_boundary", "SELECT o_orderkey, o_custkey, o_totalprice, TRUE AS published FROM orders WHERE o_totalprice > 150000")
+def a10(spark, d):
+    """A node before a hard boundary is published, and what follows reads the committed files."""
+    scratch = Scratch(spark, "boundary")
+    spec = {
+        "nodes": [
+            {"id": "read", "kind": "read_parquet", "config": {"path": f"{d}/orders.parquet", "columns": ["o_orderkey", "o_custkey", "o_totalprice"]}},
+            {"id": "large", "kind": "filter", "config": {"expr": "o_totalprice > 150000"}},
+            {"id": "write", "kind": "write_parquet", "config": {"path": scratch.path("out")}},
+        ],
+        "edges": [{"from": "read", "to": "large"}, {"from": "large", "to": "write", "boundary": "hard"}],
+    }
+    out = execute(spark, spec, scratch.base, "run-1")
+    stable = publication.committed_path(scratch.base, "run-1", "large")
+    return out["write"].join(publication.read_committed(spark, stable).select("o_orderkey").distinct(), "o_orderkey", "left_semi").withColumn("published", F.lit(publication.is_committed(spark, stable)))
+
+
+@R.add("a13_control_order", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def a13(spark, d):
+    """One branch reads what another has written: only the control edge, against the order of names, makes it wait."""
+    scratch = Scratch(spark, "control")
+    spec = {
+        "nodes": [
+            {"id": "z-read", "kind": "read_parquet", "config": {"path": f"{d}/orders.parquet", "columns": ["o_orderkey", "o_orderstatus"]}},
+            {"id": "z-write", "kind": "write_parquet", "config": {"path": scratch.path("first")}},
+            {"id": "a-read", "kind": "read_parquet", "config": {"path": scratch.path("first")}},
+            {"id": "b-final", "kind": "filter", "config": {"expr": "o_orderstatus = 'F'"}},
+            {"id": "c-write", "kind": "write_parquet", "config": {"path": scratch.path("second")}},
+        ],
+        "edges": [
+            {"from": "z-read", "to": "z-write"},
+            {"from": "z-write", "to": "a-read", "kind": "control"},
+            {"from": "a-read", "to": "b-final"},
+            {"from": "b-final", "to": "c-write"},
+        ],
+    }
+    return execute(spark, spec, scratch.base, "run-1")["c-write"]
+
+
 @R.add("a16_callable_by_name", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 2 AS scaled FROM lineitem")
 def a16(spark, d):
     fn = resolve(callable_ref(scale))
     return map_batches(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), fn, "l_orderkey long, l_linenumber int, scaled long", batch_format="arrow", fn_kwargs={"factor": 2})
 
 
+@R.add("b3_manifest", "SELECT DISTINCT CONCAT('o_orderstatus=', o_orderstatus) AS folder, 1 AS files, TRUE AS sized FROM orders")
+def b3(spark, d):
+    """The files of a dataset that is written as one file a folder, with their sizes; the marker isn't one of them."""
+    uri = Scratch(spark, "manifest").path("orders")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    orders.repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(uri)
+    files = publication.manifest(spark, uri).select(F.split_part("name", F.lit("/"), F.lit(1)).alias("folder"), "size")
+    return files.groupBy("folder").agg(F.count("*").cast("int").alias("files"), (F.min("size") > 0).alias("sized"))
+
+
+@R.add("b9_delete_prefix", "SELECT o_orderstatus, COUNT(*) AS n, TRUE AS deleted, 0 AS again FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus")
+def b9(spark, d):
+    """One folder of a dataset is deleted; others stay, and a second deletion finds nothing."""
+    uri = Scratch(spark, "delete").path("orders")
+    table(spark, d, "orders").select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(uri)
+    n = publication.delete_prefix(spark, f"{uri}/o_orderstatus=F")
+    again = publication.delete_prefix(spark, f"{uri}/o_orderstatus=F")
+    left = spark.read.parquet(uri).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return left.withColumns({"deleted": F.lit(n > 0), "again": F.lit(again).cast("int")})
+
+
 @R.add("b5_published_size", "SELECT COUNT(*) AS row_count, CAST(7 AS INT) AS columns, TRUE AS committed FROM lineitem")
 def b5(spark, d):
     """Stage, commit and read back; what the commit recorded."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import metrics
 from quern.functions.canonical import canonical_fingerprint, log_row
 from quern.functions.retry import Retries, api_error, api_retryable, job_error, job_retryable, job_state
+from quern.functions.states import moves
 from quern.history import audit, listings
 from quern.operators import matching, rollup, selection
 from quern.plans import catalogue, segments
@@ -103,6 +104,16 @@ def d8(spark, d):
     return audit.forbidden_transitions(view(spark, d, "h_events"), ["run_id"], "event_type", ["created_at", "event_id"], allowed=allowed).select("run_id", "event_id", "event_type", "before")
 
 
+@R.add("d8_attempt_moves", """
+    WITH s AS (SELECT run_id, unit_key, attempt_number, status, LAG(status) OVER (PARTITION BY run_id, unit_key ORDER BY attempt_number) AS before FROM h_attempts)
+    SELECT run_id, unit_key, attempt_number, status, before FROM s
+    WHERE before IS NOT NULL AND NOT (before = 'RUNNING' AND status IN ('SUCCEEDED', 'FAILED', 'CANCELLED', 'UNKNOWN'))""", "h_attempts")
+def d8b(spark, d):
+    """The states of a unit's attempts, read as one history: which moves does the table of moves forbid? Of its states only RUNNING can be left."""
+    found = audit.forbidden_transitions(view(spark, d, "h_attempts"), ["run_id", "unit_key"], "status", ["attempt_number"], allowed=moves(spark, "attempt").select("before", "after"))
+    return found.select("run_id", "unit_key", "attempt_number", "status", "before")
+
+
 @R.add("d9_snapshot_changes", """
     SELECT run_id, node_id, attempt_number, CASE WHEN run_id % 50 = 1 THEN 'identity changed' WHEN run_id % 50 = 2 THEN 'deleted' ELSE 'state may not change so' END AS violation
     FROM h_artifacts WHERE run_id % 50 IN (1, 2) OR (run_id % 50 = 0 AND state = 'ABORTED')""", "h_artifacts")
@@ -246,12 +257,12 @@ def d18(spark, d):
 
 
 @R.add("d19_revision_in_force", """
-    WITH v AS (SELECT pipeline_id, version, created_at, LEAD(created_at) OVER (PARTITION BY pipeline_id ORDER BY version) AS until FROM h_versions WHERE version % 2 = 1)
+    WITH v AS (SELECT pipeline_id, version, created_at, LEAD(created_at) OVER (PARTITION BY pipeline_id ORDER BY version) AS until FROM h_versions)
     SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, MAX(v.version) AS version FROM orders o
     LEFT JOIN v ON v.pipeline_id = o.o_custkey AND v.created_at <= o.o_orderdate AND (v.until IS NULL OR o.o_orderdate < v.until)
     GROUP BY o.o_orderkey, o.o_custkey, o.o_orderdate""", "h_versions")
 def d19(spark, d):
-    revisions = view(spark, d, "h_versions").filter("version % 2 = 1").select(F.col("pipeline_id").alias("o_custkey"), "version", "created_at")
+    revisions = view(spark, d, "h_versions").select(F.col("pipeline_id").alias("o_custkey"), "version", "created_at")
     return matching.in_force(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), revisions, "o_custkey", "o_orderdate", "created_at", ["version"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -92,6 +93,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN run_id % 4 = 0 THEN 'DELETED' WHEN run_id % 4 = 1 THEN 'BLOCKED'
                     WHEN run_id % 4 = 2 THEN 'FAILED' ELSE 'PENDING' END AS state
         FROM h_artifacts WHERE finished_at IS NOT NULL AND attempt_number = 1"""),
+    "h_gc_work": (("h_gc_targets",), "SELECT *, eligible_at + INTERVAL '1' DAY * attempts AS updated_at FROM h_gc_targets"),
     "h_nodes": ((), "SELECT l_orderkey AS pipeline_id, l_linenumber AS node_id, l_returnflag AS kind FROM lineitem"),
     "h_edges": ((), """
         SELECT l_orderkey AS pipeline_id, l_linenumber AS src, CAST(l_partkey % 7 + 1 AS INT) AS dst,
@@ -128,12 +130,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A history table as a lazy DataFrame."""
+    """A history table as a lazy DataFrame; the given tables are arguments of its SQL, so the session's views stay as they are."""
     sql = with_views(f"SELECT * FROM {name}", name)
-    for t in TABLES:
-        if f" {t}" in sql:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+    sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", sql)
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
 
 
 @dataclass

@@ -37,7 +37,8 @@ class Committed:
 
 
 def segment(name: str) -> str:
-    return "".join(c if c.isalnum() or c in "-_." else "-" for c in name)
+    """A name as part of a path, by the rule of `canonical.path_segment`."""
+    return re.sub(r"[^\w.-]", "-", name)
 
 
 def staging_path(base: str, run: str, node: str, attempt: int) -> str:
@@ -83,24 +84,52 @@ def stage(df: DataFrame, base: str, run: str, node: str, attempt: int) -> str:
     return uri
 
 
-def _store(uri: str):
+#: Hadoop settings of S3-compatible stores, and the arguments of Arrow's file system that they become.
+S3_SETTINGS = {
+    "fs.s3a.access.key": "access_key",
+    "fs.s3a.secret.key": "secret_key",
+    "fs.s3a.session.token": "session_token",
+    "fs.s3a.endpoint": "endpoint_override",
+    "fs.s3a.endpoint.region": "region",
+}
+
+
+def s3_options(spark: SparkSession) -> dict[str, str | bool]:
+    """Arguments of Arrow's S3 file system from the session's `spark.hadoop.fs.s3a.*` settings."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out: dict[str, str | bool] = {name: value for key, name in S3_SETTINGS.items() if (value := conf.get(key))}
+    if "endpoint_override" in out:
+        scheme, _, host = str(out["endpoint_override"]).rpartition("://")
+        secure = conf.get("fs.s3a.connection.ssl.enabled") or "true"
+        out |= {"endpoint_override": host, "scheme": scheme or ("https" if secure == "true" else "http")}
+    out["force_virtual_addressing"] = (conf.get("fs.s3a.path.style.access") or "false") != "true"
+    return out
+
+
+def _store(uri: str, s3: dict[str, str | bool] | None = None):
     """The Arrow file system of an address, and the path in it."""
     from pyarrow import fs
 
     if m := re.match(r"(?:file:)?/+(.*)", uri):
         return fs.LocalFileSystem(), "/" + m[1]
+    if m := re.match(r"s3[an]?://(.*)", uri):
+        return fs.S3FileSystem(**(s3 or {})), m[1]
     return fs.FileSystem.from_uri(uri)
 
 
-def _copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def _copying(s3: dict[str, str | bool]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for source, target in zip(batch["path"], batch["target"], strict=True):
+                (a, x), (b, y) = _store(source, s3), _store(target, s3)
+                if isinstance(b, fs.LocalFileSystem):  # stores of objects have no folders
+                    b.create_dir(y.rpartition("/")[0], recursive=True)
+                fs.copy_files(x, y, source_filesystem=a, destination_filesystem=b)
+            yield pd.DataFrame({"n": [len(batch)]})
 
-    for batch in batches:
-        for source, target in zip(batch["path"], batch["target"], strict=True):
-            (a, x), (b, y) = _store(source), _store(target)
-            b.create_dir(y.rpartition("/")[0], recursive=True)
-            fs.copy_files(x, y, source_filesystem=a, destination_filesystem=b)
-        yield pd.DataFrame({"n": [len(batch)]})
+    return run
 
 
 def commit(spark: SparkSession, staging: str, committed: str, file_format: str = "parquet") -> Committed:
@@ -115,7 +144,7 @@ def commit(spark: SparkSession, staging: str, committed: str, file_format: str =
     target_fs, target = _fs(spark, checked_prefix(committed))
     target_fs.delete(target, True)
     copies = files.select("path", F.concat(F.lit(_absolute(committed) + "/"), "name").alias("target"))
-    copied = copies.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4))).mapInPandas(_copy, "n long").agg(F.sum("n")).first()[0]
+    copied = copies.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4))).mapInPandas(_copying(s3_options(spark)), "n long").agg(F.sum("n")).first()[0]
     if copied != n:
         raise PublicationError(f"{copied} of {n} files were copied")
     data = spark.read.parquet(committed)
@@ -142,15 +171,18 @@ def read_committed(spark: SparkSession, uri: str) -> DataFrame:
     return spark.read.parquet(uri)
 
 
-def _delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def _deleting(s3: dict[str, str | bool]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch["path"]:
+                system, x = _store(path, s3)
+                if system.get_file_info(x).type != fs.FileType.NotFound:
+                    system.delete_file(x)
+            yield pd.DataFrame({"n": [len(batch)]})
 
-    for batch in batches:
-        for path in batch["path"]:
-            system, x = _store(path)
-            if system.get_file_info(x).type != fs.FileType.NotFound:
-                system.delete_file(x)
-        yield pd.DataFrame({"n": [len(batch)]})
+    return run
 
 
 def delete_prefix(spark: SparkSession, uri: str) -> int:
@@ -160,7 +192,7 @@ def delete_prefix(spark: SparkSession, uri: str) -> int:
     if not fs.exists(path):
         return 0
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix).select("path")
-    n = files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_delete, "n long").agg(F.sum("n")).first()[0] or 0
+    n = files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_deleting(s3_options(spark)), "n long").agg(F.sum("n")).first()[0] or 0
     fs.delete(path, True)
     return int(n)
 

@@ -121,6 +121,16 @@ def test_more_faulty_documents():
             declarative.checked(spec)
 
 
+def test_plans(spark, seed, tmp_path):
+    read, some, write = {"id": "r", "kind": "read_parquet", "config": {"path": seed}}, {"id": "f", "kind": "filter", "config": {"expr": "value < 9"}}, {"id": "w", "kind": "write_parquet", "config": {"path": str(tmp_path / "out")}}
+    assert declarative.execute(spark, declarative.plan_document([read, some, write]), str(tmp_path), "r")["w"].count() == 9
+    for chain in ([], [read], [some, write], [read, some], [write, read]):
+        with pytest.raises(declarative.PlanError):
+            declarative.plan_document(chain)
+    with pytest.raises(declarative.PlanError):
+        declarative.checked(declarative.plan_document([read, {**some, "id": "r"}, write]))
+
+
 def test_names_of_callables():
     assert declarative.resolve(declarative.callable_ref(pipeline_q.scale)) is pipeline_q.scale
     for fn in (lambda b: b, {}.get):
@@ -165,6 +175,26 @@ def test_deletion_stays_in_its_folder(spark, tmp_path):
             publication.checked_prefix(root)
 
 
+def test_addresses_of_object_stores(spark):
+    """s3a addresses become Arrow's S3 file system, with the session's Hadoop settings."""
+    from pyarrow import fs
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    settings = {"fs.s3a.access.key": "me", "fs.s3a.secret.key": "x", "fs.s3a.endpoint": "http://store:9000", "fs.s3a.endpoint.region": "us-east-1", "fs.s3a.path.style.access": "true"}
+    try:
+        for key, value in settings.items():
+            conf.set(key, value)
+        options = publication.s3_options(spark)
+    finally:
+        for key in settings:
+            conf.unset(key)
+    assert options == {"access_key": "me", "secret_key": "x", "endpoint_override": "store:9000", "scheme": "http", "region": "us-east-1", "force_virtual_addressing": False}
+    for scheme in ("s3", "s3a", "s3n"):
+        system, path = publication._store(f"{scheme}://bucket/runs/1/part-0.parquet", options)
+        assert isinstance(system, fs.S3FileSystem) and path == "bucket/runs/1/part-0.parquet"
+    assert publication._store("file:/a/b c")[1] == publication._store("/a/b c")[1] == "/a/b c"
+
+
 def test_control_edges_order_writes(spark, seed, tmp_path):
     first = str(tmp_path / "first")
     spec = {

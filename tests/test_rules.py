@@ -53,6 +53,13 @@ def test_fair_take(spark, seed):
     assert [(r.g, r["at"]) for r in capped] == greedy(rows, n, free, last)
 
 
+def test_ties_of_groups(spark):
+    """Groups that are otherwise equal come by value, with and without bounds."""
+    df = spark.createDataFrame([(g, 0, 0, "x") for g in (10, 2, 33)], "g long, born int, at int, cat string")
+    assert [r.g for r in selection.fair_take(df, "g", ["at"], ["born"], 2).collect()] == [2, 10]
+    assert [r.g for r in selection.fair_take_capped(df, "g", "cat", ["at"], ["born"], 2, {}).orderBy("sequence").collect()] == [2, 10]
+
+
 def test_rotating_slice_wraps(spark):
     df = spark.range(10)
     rows, cursor = selection.rotating_slice(df, ["id"], 8, 4)
@@ -81,8 +88,22 @@ def test_roll_ups(spark):
     assert rollup.cancelled_by_upstream(units.limit(0), "depends_on").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_cancel_on_random_graphs(spark, seed):
+    """Chains, units with several dependencies, missing ones and cycles, against a walk."""
+    rng = random.Random(seed)
+    units = {(r, u): (rng.choice(["PENDING"] * 8 + ["FAILED", "CANCELLED", "SUCCEEDED", "READY"]), sorted(rng.sample(range(60), rng.choice([0, 1, 1, 1, 2, 3])))) for r in range(3) for u in range(50)}
+    state = {k: s for k, (s, _) in units.items()}
+    bad = {k for k, s in state.items() if s in ("FAILED", "CANCELLED")}
+    while new := {(r, u) for (r, u), (s, deps) in units.items() if s == "PENDING" and (r, u) not in bad and any((r, d) in bad for d in deps)}:
+        bad |= new
+    df = spark.createDataFrame([(r, u, deps, s) for (r, u), (s, deps) in units.items()], "run_id int, unit_no int, needs array<int>, status string")
+    got = {(r.run_id, r.unit_no): r.status for r in rollup.cancelled_by_upstream(df, "needs").collect()}
+    assert got == {k: "CANCELLED" if k in bad and s == "PENDING" else s for k, s in state.items()}
+
+
 def test_moves(spark):
-    assert moves(spark).count() == sum(len(m.split()) for m in MOVES.values())
+    assert moves(spark).count() == sum(len(nexts) for table in MOVES.values() for nexts in table.values())
     log = spark.createDataFrame([(1, 1, "PENDING"), (1, 2, "READY"), (1, 3, "RUNNING"), (2, 1, "RUNNING"), (2, 2, "SUCCEEDED"), (2, 3, "RUNNING")], "u int, n int, status string")
     found = audit.forbidden_transitions(log, ["u"], "status", ["n"], "unit").collect()
     assert sorted((r.u, r.before, r.status) for r in found) == [(1, "READY", "RUNNING"), (2, "SUCCEEDED", "RUNNING")]
@@ -114,6 +135,40 @@ def test_capacity(spark):
     assert matching.unsatisfied(requests, groups, {"cpu": "gcpu", "mem": "gmem"}, ("acc", "kind"), satisfied=True).count() == 3
 
 
+@pytest.mark.parametrize("kind", [None, ("acc", "kind")])
+@pytest.mark.parametrize("amounts", [1, 2, 3])
+def test_capacity_by_brute_force(spark, kind, amounts):
+    rng = random.Random(amounts)
+    some = lambda top: rng.choice([None, *range(top)])
+    requests = [(k, some(9), some(9), some(9), rng.choice([None, "a", "b", "c"])) for k in range(120)]
+    groups = [(some(9), some(8), some(9), rng.choice(["a", "b", None])) for _ in range(9)]
+    keys = dict(list({"r0": "g0", "r1": "g1", "r2": "g2"}.items())[:amounts])
+    fits = {r[0] for r in requests if any(all(g[j] is not None and (r[1 + j] or 0) <= g[j] for j in range(amounts)) and (kind is None or r[4] is None or r[4] == g[3]) for g in groups)}
+    rdf = spark.createDataFrame(requests, "id int, r0 int, r1 int, r2 int, acc string")
+    gdf = spark.createDataFrame(groups, "g0 int, g1 int, g2 int, kind string")
+    assert sorted(r.id for r in matching.unsatisfied(rdf, gdf, keys, kind).collect()) == sorted({r[0] for r in requests} - fits)
+    assert {r.id for r in matching.unsatisfied(rdf, gdf, keys, kind, satisfied=True).collect()} == fits
+    assert matching.unsatisfied(rdf, gdf.limit(0), keys, kind).count() == len(requests)
+
+
+def test_in_force_by_brute_force(spark):
+    """Hot keys, blocks without revisions, ties and nulls."""
+    rng = random.Random(4)
+    day = lambda: None if rng.random() < 0.03 else dt.datetime(2020, 1, 1) + dt.timedelta(days=rng.randrange(400), hours=rng.choice([0, 0, 7]))
+    rows = [(k, rng.choice("aaaab"), day()) for k in range(300)]
+    revs = [(rng.choice("aab"), day() or dt.datetime(2020, 5, 5), k) for k in range(25)]
+    got = matching.in_force(spark.createDataFrame(rows, "id int, k string, at timestamp"), spark.createDataFrame(revs, "k string, since timestamp, rev int"), "k", "at", "since", ["rev"])
+    newest = lambda k, at: max(((s, v) for x, s, v in revs if x == k and at is not None and s <= at), default=(None, None))[1]
+    assert {r.id: r.rev for r in got.collect()} == {i: newest(k, at) for i, k, at in rows}
+
+
+def test_segments_on_cycles(spark):
+    """Pointers that lead round and round end, and show as null."""
+    links = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, 3), (1, 4, 2), (1, 5, None), (1, 6, 5), (1, 7, 99), (2, 1, None)], "pipeline_id int, node int, parent int")
+    got = {(r.pipeline_id, r.node): r.segment for r in segments.segments(links).collect()}
+    assert got == {(1, 1): None, (1, 2): None, (1, 3): None, (1, 4): None, (1, 5): 5, (1, 6): 5, (1, 7): 99, (2, 1): 1}
+
+
 def test_in_force(spark):
     t = dt.datetime
     rows = spark.createDataFrame([(1, "a", t(2020, 1, 1)), (2, "a", t(2020, 3, 1)), (3, "b", t(2020, 1, 1)), (4, "a", t(2020, 2, 1))], "id int, k string, at timestamp")
