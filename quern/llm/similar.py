@@ -2,8 +2,10 @@
 
 No pairs within a bucket are listed as such. Each bucket has leaders that its members are compared with, one
 in the first round and four times as many in each further one. A member that has led is compared with all of its
-bucket, so it leaves it; buckets whose members are all in one component are left out. What remains in the end
-has been compared with everything it shares a bucket with, so no link is lost.
+bucket, so it leaves it; buckets whose members are all in one component are left out. Once what remains is
+small, all are leaders. In the end everything has been compared with all that it shares a bucket with, so no link is lost.
+
+Which leaders are taken, and when, costs time only: the links are the same.
 
 Tables here are small beside the input, but grow with it: joins merge sorted rows, and none is broadcast.
 """
@@ -52,6 +54,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return roots
 
 
+#: All rows of a bucket are leaders once the pairs across components are no more than so many times the rows there were.
+PAIRS_PER_ROW = 4
+
+
+def _pairs_left(rows: DataFrame) -> int:
+    """Pairs of rows of one bucket with different roots."""
+    sizes = rows.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+    return sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+
+
 def linked(
     live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, first: Column | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refine_after: int = 2
 ) -> DataFrame:
@@ -63,10 +75,10 @@ def linked(
     least `first` lead a bucket first, then those with the least hash. After `refine_after` rounds `refine` gives other
     buckets for the ids (id) that are left: any rows (bucket, id, x) that keep all alike ids together.
     """
-    rank = F.struct(F.lit(0) if first is None else first, F.xxhash64(F.lit(7), "id"))
+    rank = F.struct(F.lit(0) if first is None else first, F.xxhash64(F.lit(7), "id"), F.col("id"))
     rows = live.withColumn("rank", rank)
     roots: DataFrame | None = None
-    k, leaders = 0, 1
+    k, leaders, most = 0, 1, 0
     while True:
         if roots is None:
             rows = rows.withColumn("root", F.col("id"))
@@ -78,12 +90,14 @@ def linked(
             scratch.drop(f"mixed-{k - 1}")
         if rows.isEmpty():
             break
-        if refine is not None and k == refine_after:
+        most = most or PAIRS_PER_ROW * rows.count()
+        whole = k >= 2 and _pairs_left(rows) <= most
+        if refine is not None and k >= refine_after and not whole:
             rows = scratch.save(refine(rows.select("id").distinct()).withColumn("rank", rank), "refined")
             refine, leaders, k = None, 1, k + 1
             continue
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))
-        lead = rows.withColumn("place", place).filter(F.col("place") <= leaders)
+        lead = rows if whole else rows.withColumn("place", place).filter(F.col("place") <= leaders)
         lead = scratch.save(lead.select("bucket", F.col("id").alias("to"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("rank").alias("rank2")), f"lead-{k}")
         pairs = rows.join(lead.hint("merge"), "bucket").filter((F.col("root") != F.col("root2")) & (F.col("rank") > F.col("rank2")) & may_link(F.col("x"), F.col("y")))
         pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), F.least("root", "root2").alias("root_a"), F.greatest("root", "root2").alias("root_b")).distinct()
@@ -101,6 +115,8 @@ def linked(
                 moved = roots.join(moves.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
                 fresh = moves.join(roots.select("id").hint("merge"), "id", "left_anti").select("id", "root")
                 roots = scratch.save(moved.unionAll(fresh), f"roots-{k}")
+        if whole:
+            break
         led = lead.groupBy("bucket").agg(F.max("rank2").alias("led"))
         rows = rows.join(led.hint("merge"), "bucket").filter("rank > led").drop("led")
         k, leaders = k + 1, 4 * leaders
