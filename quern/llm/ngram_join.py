@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, chunks, mix, read, shingles, signed
+from quern.llm.common import Scratch, chunks, fresh, mix, read, row_key, shingles, signed
 from quern.llm.similar import linked
 
 #: Counters of the sketch, in binary digits, and counters in one row of a task's part of it.
@@ -40,10 +40,10 @@ def _marks(s: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: size and fingerprint of its set. At the end, this task's part of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["doc_id", "n", "cls", "part", "counts"]
+    names = ["doc_id", "key", "n", "cls", "part", "counts"]
     for batch in batches:
         sizes, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, _, data, starts in chunks(batch.column(1)):
+        for _, _, data, starts in chunks(batch.column(2)):
             s, row = shingles(data, starts, WIDTH)
             rows = len(starts) - 1
             sketch += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
@@ -51,10 +51,10 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(n)
             marks.append(_marks(s, n))
         n = np.concatenate(sizes)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.concatenate(marks)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(np.concatenate(marks)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
     for k in range(0, len(sketch), CHUNK):
         if sketch[k : k + CHUNK].any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k // CHUNK], pa.int32()), pa.array([sketch[k : k + CHUNK].tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k // CHUNK], pa.int32()), pa.array([sketch[k : k + CHUNK].tobytes()], pa.binary())], names)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,25 +120,19 @@ def similar_sets(a: np.ndarray, b: np.ndarray, level: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """Class of each document (doc_id, text): doc_id, n_shingles, component_id (the least doc_id of its component).
-
-    Words stand between ASCII white space, A-Z in lower case. A text of one to four words is one shingle; one
-    without words (or null) has none and is linked with nothing. A document without an id links others like any; a
-    component of such documents alone has a null component_id. Repeated doc_ids give a row each. An empty
-    table gives an empty result. Other columns are ignored. Classes are known by 64-bit fingerprints.
-    """
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, root) of each row of (doc_id, text): its key, the size of its set, and its component."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram_join")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_rows = scratch.save(docs.mapInArrow(_profiles, "doc_id long, n long, cls long, part int, counts binary"), "profiles")
-    profiles = all_rows.filter("part is null").select("doc_id", "n", "cls")
-    shared = spark.sparkContext.broadcast(_levels(all_rows))  # 256 kB
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    all_rows = scratch.save(docs.mapInArrow(_profiles, "doc_id long, key long, n long, cls long, part int, counts binary"), "profiles")
+    profiles = all_rows.filter("part is null").select("doc_id", "key", "n", "cls")
+    shared = spark.sparkContext.broadcast(_levels(all_rows))  # 256 kB, whatever the corpus
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
-            for _, _, data, starts in chunks(batch.column(1)):
+            for _, _, data, starts in chunks(batch.column(0)):
                 s, row = shingles(data, starts, WIDTH)
                 rows = len(starts) - 1
                 n = np.bincount(row, minlength=rows)
@@ -149,7 +143,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 first = pos <= n[row] - -(-4 * n[row] // 5)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(s[order][first])), pa.array(cls[row[first]]), pa.array(n[row[first]].astype(np.int32)), pa.array(pos[first].astype(np.int32))], ["bucket", "id", "n", "pos"])
 
-    rows = scratch.save(docs.mapInArrow(prefixes, "bucket long, id long, n int, pos int"), "prefixes")
+    rows = scratch.save(docs.select("text").mapInArrow(prefixes, "bucket long, id long, n int, pos int"), "prefixes")
     shared_tokens = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket")
     shared_tokens = scratch.save(shared_tokens, "tokens")
     live = rows.join(shared_tokens, "bucket").groupBy("bucket", "id").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
@@ -157,7 +151,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     scratch.drop("prefixes", "tokens")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Size and second prefix of the texts that have the set of their class: a repeated doc_id may stand for others too. A null id takes any class."""
+        """Size and second prefix of a text of each class."""
         level, seen = shared.value, set()
         for batch in batches:
             for begin, last, data, starts in chunks(batch.column(1)):
@@ -165,17 +159,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 n = np.bincount(row, minlength=len(starts) - 1)
                 sets = np.split(s, np.cumsum(n)[:-1])
                 marks = _marks(s, n).tolist()
-                own = [k for k, (i, mark) in enumerate(zip(batch.column(0).slice(begin, last - begin).to_pylist(), marks, strict=True)) if i in (mark, None) and not (mark in seen or seen.add(mark))]
-                part = batch.slice(begin, last - begin).take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([marks[k] for k in own], pa.int64()), pa.array(n[own].astype(np.int32)), pa.array([first_tokens(sets[k], level).tobytes() for k in own], pa.binary()), part.column(1)], ["id", "n", "first", "text"])
-
-    needed = profiles.join(live.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    described = "id long, n int, first binary, text string"
-    texts = docs.join(needed, "doc_id").select(F.col("cls").alias("id"), "text").mapInArrow(describe, described)
-    # classes all of whose documents lack an id are known by their texts alone
-    nameless = docs.filter("doc_id is null").distinct().mapInArrow(describe, described).dropDuplicates(["id"])
-    nameless = nameless.join(needed.filter("doc_id is null").select(F.col("cls").alias("id")), "id", "left_semi")
-    texts = scratch.save(texts.unionAll(nameless), "texts")
+                part = batch.slice(begin, last - begin)
+                own = [k for k, (i, mark) in enumerate(zip(part.column(0).to_pylist(), marks, strict=True)) if i == mark and not (mark in seen or seen.add(mark))]
+                yield pa.RecordBatch.from_arrays([pa.array([marks[k] for k in own], pa.int64()), pa.array(n[own].astype(np.int32)), pa.array([first_tokens(sets[k], level).tobytes() for k in own], pa.binary()), part.column(1).take(pa.array(own, pa.int64()))], ["id", "n", "first", "text"])
+
+    needed = profiles.join(live.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key"))
+    texts = docs.select("key", "text").join(needed.hint("merge"), "key").select(F.col("cls").alias("id"), "text")
+    texts = scratch.save(texts.mapInArrow(describe, "id long, n int, first binary, text string").dropDuplicates(["id"]), "texts")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,25 +190,51 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     def alike(pairs: DataFrame) -> DataFrame:
         sizes = texts.select("id", "n", "first")
-        both = pairs.join(sizes.toDF("a", "n", "x"), "a").join(sizes.toDF("b", "m", "y"), "b")
+        both = pairs.join(sizes.toDF("a", "n", "x").hint("merge"), "a").join(sizes.toDF("b", "m", "y").hint("merge"), "b")
         tries[0] += 1
         left = scratch.save(both.select("a", "b", "n", "m", "x", "y").mapInArrow(sift, "a long, b long"), f"sifted-{tries[0]}")
         whole = texts.select("id", "text")
-        both = left.join(whole.toDF("a", "text_a"), "a").join(whole.toDF("b", "text_b"), "b")
+        both = left.join(whole.toDF("a", "text_a").hint("merge"), "a").join(whole.toDF("b", "text_b").hint("merge"), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
     # the document with the fewest tokens of its own before the shared one is the likeliest centre of a group
     roots = linked(live, alike, _may_link, scratch, first=F.col("x.pos"))
     scratch.drop("live", "texts")
-    placed = profiles.join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    shared.destroy()
+    return profiles.join(roots.toDF("cls", "root").hint("merge"), "cls", "left").select("doc_id", "key", "n", F.coalesce("root", "cls").alias("root"))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """Class of each document (doc_id, text): doc_id, n_shingles, component_id (the least doc_id of its component).
+
+    Words stand between ASCII white space, A-Z in lower case. A text of one to four words is one shingle; one
+    without words (or null) has none and is linked with nothing. A document without an id links others like any; a
+    component of such documents alone has a null component_id. Repeated doc_ids give a row each. An empty
+    table gives an empty result. Other columns are ignored. Classes are known by 64-bit fingerprints.
+    """
+    placed = _placed(docs)
     least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The first document of each group of near-duplicates, with its columns unchanged; rows with a null doc_id stay. Of repeated doc_ids in a group every row of the least id stays."""
-    extra = similar_documents(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """The first document of each group of near-duplicates, with its columns unchanged.
+
+    First is by doc_id (null last), then by a hash of id and text: rows of one doc_id with different texts are different
+    documents. A row given twice (doc_id and text) stays once. Texts without words (null ones as well) stay. An empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "one_of_each")
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.col("key"))
+    placed = scratch.save(_placed(docs).filter("n > 0").groupBy("root", "doc_id", "key").count().withColumn("place", place), "placed")
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    extra = scratch.save(placed.join(first.hint("merge"), "root").filter("place <> first").select("key").distinct(), "extra")
+    twice = scratch.save(placed.filter("count > 1").join(extra.hint("merge"), "key", "left_anti").select("key"), "twice")
+    key = fresh(docs, "__key")
+    kept = docs.withColumn(key, row_key()).join(extra.toDF(key), key, "left_anti")
+    if not twice.isEmpty():
+        twice = twice.toDF(key)
+        kept = kept.join(twice, key, "left_anti").unionAll(kept.join(twice, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
