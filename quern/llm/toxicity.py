@@ -5,7 +5,7 @@ feature, r = log((p / |p|) / (q / |q|)); a logistic model is learned over featur
 Features are the n-grams of 3 to 5 bytes of the UTF-8 text, A-Z lower-cased, white space as one blank,
 hashed to 2 ** BITS numbers; what counts is whether a text holds them, so one insult in a long text shows.
 
-Learning takes a bounded sample of labelled rows (`max_rows`); scoring is one pass over all texts.
+Learning takes a bounded sample of labelled rows (`max_rows`), whose counts and features are made in tasks; scoring is one pass over all texts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, fold, prepare, read, sample_of
+from quern.llm.common import Scratch, as_bytes, fold, prepare, read, sample_of
 from quern.llm.linear import fit_sparse, sigmoid
 
 BITS = 20
@@ -46,25 +46,47 @@ def gram_ids(text: bytes, seen: np.ndarray) -> np.ndarray:
     return h[seen[h] == order]
 
 
-def learn(texts: list[bytes], y: np.ndarray, l2: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weight of each hashed n-gram (float32) and bias. With one class only, the weights are 0 and the bias its log odds."""
-    seen = np.zeros(1 << BITS, np.int32)
-    counts = np.zeros((2, 1 << BITS))
-    for text, label in zip(texts, y, strict=True):
-        counts[int(label), gram_ids(text, seen)] += 1
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of either label that hold each n-gram, of (text, y)."""
+    seen, counts = np.zeros(1 << BITS, np.int32), np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        for text, label in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            counts[label, gram_ids(text, seen)] += 1
+    held = np.flatnonzero(counts.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[0, held].astype(np.int64)), pa.array(counts[1, held].astype(np.int64))], ["gram", "n0", "n1"])
+
+
+def learn(sample: DataFrame, l2: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weight of each hashed n-gram (float32) and bias, from a bounded table (text, y). With one class only, the weights are 0 and the bias its log odds.
+
+    The texts stay in the tasks: the driver gets a count for each n-gram (2 ** BITS at most), then for each text
+    the numbers of the n-grams in use that it holds.
+    """
+    spark = sample.sparkSession
     weights = np.zeros(1 << BITS, np.float32)
-    if len(y) == 0 or y.min() == y.max():
-        return weights, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    of_label = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(of_label) < 2:
+        return weights, float(np.log((of_label.get(1, 0) + 0.5) / (of_label.get(0, 0) + 0.5)))
+    rows = sample.mapInArrow(_count_grams, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    counts = np.zeros((2, 1 << BITS))
+    counts[:, rows["gram"].to_numpy()] = rows["n0"].to_numpy(), rows["n1"].to_numpy()
     p, q = counts[1] + 1, counts[0] + 1
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     used = np.flatnonzero((counts.sum(0) >= MIN_TEXTS) & (np.abs(r) >= MIN_RATIO))
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    rows = []
-    for text in texts:
-        at = place[gram_ids(text, seen)]
-        rows.append(at[at >= 0])
-    w, bias = fit_sparse(rows, y, len(used), r[used], l2)
+    shared = spark.sparkContext.broadcast(place)  # 2 ** BITS numbers
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, np.int32)
+        for batch in batches:
+            held = [shared.value[gram_ids(t, seen)] for t in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[x >= 0].tobytes() for x in held], pa.binary()), batch.column(1)], ["held", "y"])
+
+    table = sample.mapInArrow(numbers, "held binary, y int").toArrow()
+    shared.destroy()
+    held = [np.frombuffer(x, np.int32) for x in table["held"].to_pylist()]
+    w, bias = fit_sparse(held, np.array(table["y"].to_pylist(), np.int64), len(used), r[used], l2)
     weights[used] = w
     return weights, bias
 
@@ -85,12 +107,12 @@ def score_texts(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels (0 or 1) of at most about `max_rows` labelled documents. Null labels and ids don't count; of repeated ids, all rows do."""
-    labels = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("__y"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, scratch: Scratch) -> DataFrame:
+    """Table of (text, y) of at most about `max_rows` labelled documents, y 0 or 1. Null labels and ids don't count; of repeated ids, all rows do."""
+    labels = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     chosen = sample_of(labels, max_rows)  # bounded by max_rows, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__y").toArrow()
-    return as_bytes(rows["text"]), np.array(rows["__y"].to_pylist(), np.int64)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    return scratch.save(rows, "labelled")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
@@ -99,8 +121,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds
     Null and empty texts get the score of a text without features. Repeated rows are scored alike. An empty
     table gives an empty result; without labels every score is 0.5. Other columns are ignored.
     """
-    texts, y = labelled_sample(docs, labels.filter(fold("doc_id", folds) != held_out), "toxic", max_rows)
-    scored = score_texts(docs, *learn(texts, y))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    model = learn(labelled_sample(docs, labels.filter(fold("doc_id", folds) != held_out), "toxic", max_rows, scratch))
+    scratch.drop("labelled")
+    scored = score_texts(docs, *model)
     return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
