@@ -10,17 +10,19 @@ in that partition. Only one number for each partition is looked at together.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, as_bytes, chunks, read, words
+from quern.llm.common import Scratch, chunks, read, words
 
 DIMS, BITS, WIDTH = 3, 10, 1 << 12
 _PLANES = np.random.default_rng(11).standard_normal((WIDTH, DIMS))
@@ -61,103 +63,107 @@ def curve_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return hilbert_keys(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [curve_keys(data, starts) for _, _, data, starts in chunks(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["doc_id", "text", "key"])
-
-
 class Encoder:
-    """Ids of byte_bpe_50k, as bytes of little-endian 16-bit numbers, with a cache of the words seen.
+    """Ids of byte_bpe_50k as the plain `tokenizers` call gives them, as bytes of little-endian 16-bit numbers.
 
-    This vocabulary's pre-tokens never span a single blank between two characters that aren't white space,
-    so a text is cut there and each part is encoded once. Parts of plain Latin text go to the faster of two
-    public implementations of the same vocabulary (tests hold them equal); all others to `tokenizers`.
+    This vocabulary's pre-tokens never span a single blank between two characters that aren't white space, so a
+    text is cut there; parts are encoded once, in batches, and kept. A text that holds one of the vocabulary's special tokens is encoded whole.
     """
 
-    LIMIT = 400_000
+    #: Parts kept, and characters of the longest.
+    LIMIT, LONGEST = 400_000, 48
     _other_space = re.compile(r"[^\S \n]")
     _cut = re.compile(r"(?<=\S) (?=\S)")
-    _unusual = re.compile(r"[^\n -~¡-ɏ]")
-
-    def __init__(self, vocabulary: str = "byte_bpe_50k"):
-        import base64
 
+    def __init__(self, path: str | None = None):
         import public_tokenizers
-        import tiktoken
-
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.path, self.full = public_tokenizers.path(f"{vocabulary}.json"), None
-        self.first: dict[str, bytes] = {}
-        self.after = _Cache(self)
-
-    def part(self, text: str) -> bytes:
-        if self._unusual.search(text):
-            if self.full is None:
-                from tokenizers import Tokenizer
-
-                self.full = Tokenizer.from_file(self.path)
-                self.full.encode_special_tokens = True
-            ids = self.full.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.array(ids, "<u2").tobytes()
-
-    def encode(self, text: str) -> bytes:
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def parts(self, text: str) -> list[str]:
+        """Parts that are encoded on their own; all but the first begin with a blank."""
+        if any(x in text for x in self.special):
+            return [text]
         parts = text.split(" ")
         if "" in parts or "\n " in text or " \n" in text or self._other_space.search(text):
             parts = self._cut.split(text)
-        return b"".join([self.part(parts[0]), *map(self.after.__getitem__, parts[1:])])
+        return [parts[0], *(" " + x for x in parts[1:])]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        each = [self.parts(t) for t in texts]
+        known = self.known
+        new = list({x for parts in each for x in parts if x not in known})
+        found = {x: np.array(e.ids, "<u2").tobytes() for x, e in zip(new, self.full.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        out = [b"".join([found[x] if x in found else known[x] for x in parts]) for parts in each]
+        if len(known) < self.LIMIT:
+            known.update((x, ids) for x, ids in found.items() if len(x) <= self.LONGEST)
+        return out
 
-class _Cache(dict):
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encoder.part(" " + part)
-        if len(self) < Encoder.LIMIT:
-            self[part] = ids
-        return ids
+_encoders: dict[str | None, Encoder] = {}
 
 
-_encoder: Encoder | None = None
+def encoder(path: str | None) -> Encoder:
+    """One for each Python worker, kept between tasks."""
+    if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-def encoder() -> Encoder:
-    """One for each Python worker, kept between tasks."""
-    global _encoder
-    if _encoder is None:
-        _encoder = Encoder()
-    return _encoder
+#: Characters of text that are encoded together, and bytes of ids that a range should hold.
+TOGETHER, RANGE_BYTES = 1 << 20, 16 << 20
+
+
+def _encode(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Key, row number and ids of each text of (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 36
+        for batch in batches:
+            for first, last, data, starts in chunks(batch.column(1), TOGETHER):
+                texts = [data[a:b].tobytes().decode() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                ids = [x + b"\0\0" for x in encoder(path).encode(texts)]
+                rows = np.arange(row, row + last - first)
+                row += last - first
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(curve_keys(data, starts)), pa.array(rows), pa.array(ids, pa.binary())], ["doc_id", "key", "row", "ids"])
+
+    return run
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Place of each document's first id in its range of the curve."""
     context, at = TaskContext.get(), 0
     part = context.partitionId() if context else 0
     for batch in batches:
-        ids = [encoder().encode(t.decode()) + b"\0\0" for t in as_bytes(batch.column(1))]
-        n = np.array([len(x) // 2 for x in ids], np.int64)
+        n = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) // 2
         starts = at + np.cumsum(n) - n
         at += int(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["part", "doc_id", "begin", "doc_tokens", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(starts), pa.array(n), batch.column(1)], ["part", "doc_id", "begin", "doc_tokens", "ids"])
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, length: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: int = 1024, with_ids: bool = False, vocabulary: str | None = None) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of `length` ids; one row for each piece of a document in a sequence.
 
     Each document is its ids and a final 0. A null or empty text has only that. Repeated rows are each packed.
-    An empty table gives an empty result. `with_ids` adds each piece's ids. Other columns are ignored.
+    An empty table gives an empty result. `with_ids` adds each piece's ids. `vocabulary` is the path of a tokenizer file of the
+    `tokenizers` library; None: byte_bpe_50k. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_with_keys, "doc_id long, text string, key long")
-    ordered = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "text")
-    tokens = scratch.save(ordered.mapInArrow(_tokens, "part int, doc_id long, begin long, doc_tokens long, ids binary"), "tokens")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    encoded = scratch.save(docs.mapInArrow(_encode(vocabulary), "doc_id long, key long, row long, ids binary"), "encoded")
+    n_bytes = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // RANGE_BYTES))
+    ordered = encoded.repartitionByRange(ranges, "key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "row").select("doc_id", "ids")
+    tokens = scratch.save(ordered.mapInArrow(_in_line, "part int, doc_id long, begin long, doc_tokens long, ids binary"), "tokens")
+    scratch.drop("encoded")
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
