@@ -5,17 +5,18 @@ A byte goes if a string of LENGTH bytes over it also starts anywhere else.
 Sampling. Among the GRAM-byte strings that begin in a window of LENGTH bytes, the one with the least hash
 (the leftmost of equals) is the window's anchor. Equal windows have their anchors at the same place, so it
 is enough to index the suffixes that begin at anchors, about 1 in 80 of all. Successive windows with one
-anchor form a run; an index entry is a run: the fingerprint of its anchor, by which the array is sorted (any
-order in which equal prefixes meet serves a merge scan), and that of all the bytes its windows cover.
+anchor form a run; an index entry is a run: the first GRAM bytes of its anchor's suffix, by which the array is sorted, and a
+fingerprint of all the bytes its windows cover, by which suffixes that agree so far are told apart.
 
-Index family. Documents come in batches. A batch's entries are sorted into a suffix array, equal ones
-counted; the array is merge-scanned with itself and with every level of the index for anchors that match,
-and becomes a level. Two levels of one rank merge to one of the next, so each entry is rewritten
+Index family. Documents come in batches. A batch's entries are sorted into a suffix array (range-partitioned, so one order over
+all its files), equal ones counted; the array is merge-scanned with itself and with every level of the index for suffixes that
+agree in GRAM bytes, and becomes a level. Two levels of one rank merge to one of the next, so each entry is rewritten
 logarithmically often.
 
-Matches. Runs of equal bytes match whole. Where runs share the anchor but not all bytes, their windows are
+Matches. From what agrees, matches are extended to both sides. Runs of equal bytes match whole. Where runs share the anchor but not all bytes, their windows are
 compared one by one: in sorted streams while an anchor has few distinct runs, and by an aggregation over
-all window fingerprints beyond that. Copies are counted before they are shuffled, and stand for one run.
+all window fingerprints beyond that. Copies are counted before they are shuffled, and stand for one run. Anchors are compared as bytes; of runs and windows
+of one anchor, 64-bit fingerprints are compared.
 """
 
 from __future__ import annotations
@@ -25,20 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, as_bytes, chunks, mix, prefix_sums, read, signed, spans
+from quern.llm.common import Scratch, as_bytes, chunks, mix, prefix_sums, read, row_key, signed, spans
 
 LENGTH, GRAM = 200, 40
-#: Distinct runs of one anchor up to which a task compares them in one stream.
-STREAM_RUNS = 4096
+#: Distinct runs of one anchor up to which a task compares them in one stream, and rows of a stream that it compares at a time.
+STREAM_RUNS, STREAM_ROWS = 512, 4096
 
 
 def runs(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of windows of the texts in one chunk: row, first window, number of windows, anchor (from the first window), its fingerprint, that of the run."""
+    """Runs of windows of the texts in one chunk: row, first window, number of windows, anchor (from the first window), where it is in the chunk, fingerprint of the run."""
     n, reach = len(data), length - gram + 1
-    none = {k: np.zeros(0, np.int64) for k in ("row", "first", "n", "anchor", "key", "run")}
+    none = {k: np.zeros(0, np.int64) for k in ("row", "first", "n", "anchor", "at", "run")}
     if n < length:
         return none
     sums = prefix_sums(data)
@@ -64,27 +66,29 @@ def runs(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int =
     a = anchor[first]
     whole = spans(sums, first, first + count - 1 + length)
     shape = (a - first).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)
-    return {"row": row[first], "first": first - starts[row[first]], "n": count, "anchor": a - first, "key": signed(marks[a]), "run": signed(mix(whole ^ mix(shape)))}
+    return {"row": row[first], "first": first - starts[row[first]], "n": count, "anchor": a - first, "at": a, "run": signed(mix(whole ^ mix(shape)))}
 
 
-ENTRIES = "doc_id long, mark long, first int, n int, anchor int, key long, run long"
+ENTRIES = "doc_id long, key long, first int, n int, anchor int, suffix binary, run long"
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """Index entries of (doc_id, mark, text)."""
+    """Index entries of (doc_id, key, text)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, starts in chunks(batch.column(2)):
                 r = runs(data, starts)
                 row = pa.array(r["row"] + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(r["first"].astype(np.int32)), pa.array(r["n"].astype(np.int32)), pa.array(r["anchor"].astype(np.int32)), pa.array(r["key"]), pa.array(r["run"])], [x.split()[0] for x in ENTRIES.split(", ")])
+                grams = data[r["at"][:, None] + np.arange(GRAM)] if len(r["at"]) else np.zeros(0, np.uint8)
+                suffix = pa.Array.from_buffers(pa.binary(), len(r["at"]), [None, pa.py_buffer(np.arange(len(r["at"]) + 1, dtype=np.int32) * GRAM), pa.py_buffer(np.ascontiguousarray(grams))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(r["first"].astype(np.int32)), pa.array(r["n"].astype(np.int32)), pa.array(r["anchor"].astype(np.int32)), suffix, pa.array(r["run"])], [x.split()[0] for x in ENTRIES.split(", ")])
 
     return docs.mapInArrow(build, ENTRIES)
 
 
 class SuffixFamily:
-    """The levels of the index: (key, run, n) sorted by key, each a table in the shared folder, with a rank."""
+    """The levels of the index: (suffix, run, n) in order of suffixes, each a table in the shared folder, with a rank."""
 
     def __init__(self, scratch: Scratch):
         self.scratch, self.levels, self.made = scratch, [], 0
@@ -92,36 +96,36 @@ class SuffixFamily:
     def _save(self, array: DataFrame) -> tuple[str, DataFrame]:
         self.made += 1
         name = f"level-{self.made}"
-        return name, self.scratch.save(array.sortWithinPartitions("key", "run"), name)
+        return name, self.scratch.save(array.repartitionByRange("suffix", "run").sortWithinPartitions("suffix", "run"), name)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Index a batch of entries. Returns the keys that match inside the batch or between it and earlier ones."""
-        name, array = self._save(batch.groupBy("key", "run").agg(F.count("*").alias("n")))
-        keys = array.groupBy("key").agg(F.sum("n").alias("n"))
-        matches = keys.filter("n > 1").select("key")
-        for _, _, level in self.levels:
-            matches = matches.unionAll(level.select("key").join(keys.select("key"), "key"))
+        """Index a batch of entries. Returns the suffixes that match inside the batch or between it and earlier ones."""
+        name, array = self._save(batch.groupBy("suffix", "run").agg(F.count("*").alias("n")))
+        own = array.groupBy("suffix").agg(F.sum("n").alias("n"))
+        matches = own.filter("n > 1").select("suffix")
+        for _, _, level in self.levels:  # both sides in order: a merge scan
+            matches = matches.unionAll(level.select("suffix").join(own.select("suffix").hint("merge"), "suffix"))
         matches = self.scratch.save(matches.distinct(), f"matches-{self.made}")
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             _, other, level = self.levels.pop()
-            merged = self._save(level.unionAll(array).groupBy("key", "run").agg(F.sum("n").alias("n")))
+            merged = self._save(level.unionAll(array).groupBy("suffix", "run").agg(F.sum("n").alias("n")))
             self.scratch.drop(other, name)
             (name, array), rank = merged, rank + 1
         self.levels.append((rank, name, array))
         return matches
 
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        """(key, run, n) of all levels for `keys`."""
+    def lookup(self, suffixes: DataFrame) -> DataFrame:
+        """(suffix, run, n) of all levels for `suffixes`."""
         found = None
         for _, _, level in self.levels:
-            part = level.join(keys, "key", "left_semi")
+            part = level.join(suffixes.hint("merge"), "suffix", "left_semi")
             found = part if found is None else found.unionAll(part)
-        return found.groupBy("key", "run").agg(F.sum("n").alias("n"))
+        return found.groupBy("suffix", "run").agg(F.sum("n").alias("n"))
 
 
-def _window_marks(contexts: list[bytes], n: np.ndarray, anchor: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context, number and fingerprint of each window of each context; the fingerprint knows the key and where the anchor is."""
+def _window_marks(contexts: list[bytes], n: np.ndarray, anchor: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, number and fingerprint of each window of each context; the fingerprint knows the context's group and where the anchor is."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum([0, *map(len, contexts)])[:-1]
     which = np.repeat(np.arange(len(n)), n)
@@ -129,7 +133,7 @@ def _window_marks(contexts: list[bytes], n: np.ndarray, anchor: np.ndarray, key:
     at = begin[which] + number
     marks = spans(prefix_sums(data), at, at + LENGTH)
     place = (anchor[which] - number).astype(np.uint64)
-    return which, number, mix(marks ^ mix(key.view(np.uint64)[which] + place * np.uint64(0x9E3779B97F4A7C15)))
+    return which, number, mix(marks ^ mix(group[which].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + place * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _as_spans(number: np.ndarray) -> list[int]:
@@ -138,29 +142,37 @@ def _as_spans(number: np.ndarray) -> list[int]:
     return [x for part in np.split(number, cut) for x in (int(part[0]), int(part[-1]) + LENGTH)] if len(number) else []
 
 
-CONTEXT = "key long, run long, n int, anchor int, context binary"
+CONTEXT = "suffix binary, run long, n int, anchor int, context binary"
+SPANS = "suffix binary, run long, spans array<int>"
+
+
+def _starts(suffix: pa.Array) -> np.ndarray:
+    """Whether each of the suffixes, in order, differs from the one before."""
+    new = np.ones(len(suffix), bool)
+    if len(suffix) > 1:
+        new[1:] = pc.not_equal(suffix[1:], suffix[:-1]).to_numpy(zero_copy_only=False)
+    return new
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by key: (key, run, spans) of those that share windows with another run of the key."""
+    """Contexts in order of suffixes: (suffix, run, spans) of those that share windows with another run of the suffix."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        key, n = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-        which, number, marks = _window_marks(t["context"].to_pylist(), n, t["anchor"].to_numpy().astype(np.int64), key)
+        suffix, n = t["suffix"].combine_chunks(), t["n"].to_numpy().astype(np.int64)
+        which, number, marks = _window_marks(t["context"].to_pylist(), n, t["anchor"].to_numpy().astype(np.int64), np.cumsum(_starts(suffix)))
         _, back, count = np.unique(marks, return_inverse=True, return_counts=True)
         shared = count[back] > 1
         which, number = which[shared], number[shared]
         found = np.unique(which)
         parts = np.split(number, np.searchsorted(which, found[1:])) if len(found) else []
-        return pa.RecordBatch.from_arrays([pa.array(key[found]), pa.array(t["run"].to_numpy()[found]), pa.array([_as_spans(p) for p in parts], pa.list_(pa.int32()))], ["key", "run", "spans"])
+        return pa.RecordBatch.from_arrays([suffix.take(pa.array(found)), pa.array(t["run"].to_numpy()[found]), pa.array([_as_spans(p) for p in parts], pa.list_(pa.int32()))], ["suffix", "run", "spans"])
 
     held: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         held = t if held is None else pa.concat_tables([held, t])
-        if held.num_rows >= STREAM_RUNS:
-            key = held["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if held.num_rows >= STREAM_ROWS:
+            cut = int(np.flatnonzero(_starts(held["suffix"].combine_chunks()))[-1])  # the last suffix may go on
             if cut:
                 yield solve(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut)
@@ -170,25 +182,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _explode_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key, run, n = batch["key"].to_numpy(), batch["run"].to_numpy(), batch["n"].to_numpy().astype(np.int64)
-        which, number, marks = _window_marks(batch["context"].to_pylist(), n, batch["anchor"].to_numpy().astype(np.int64), key)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(marks)), pa.array(key[which]), pa.array(run[which]), pa.array(number.astype(np.int32))], ["mark", "key", "run", "number"])
+        run, n = batch["run"].to_numpy(), batch["n"].to_numpy().astype(np.int64)
+        which, number, marks = _window_marks(batch["context"].to_pylist(), n, batch["anchor"].to_numpy().astype(np.int64), np.zeros(len(n), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(marks)), batch["suffix"].take(pa.array(which)), pa.array(run[which]), pa.array(number.astype(np.int32))], ["mark", "suffix", "run", "number"])
 
 
 def partial_matches(contexts: DataFrame, stream_runs: int = STREAM_RUNS) -> DataFrame:
-    """(key, run, spans) of runs that share windows with other runs of their key, from (key, run, n, anchor, context, kinds)."""
+    """(suffix, run, spans) of runs that share windows with other runs of their suffix, from (suffix, run, n, anchor, context, kinds)."""
     names = [x.split()[0] for x in CONTEXT.split(", ")]
-    few = contexts.filter(F.col("kinds") <= stream_runs).select(*names).repartition("key").sortWithinPartitions("key")
-    few = few.mapInArrow(_compare, "key long, run long, spans array<int>")
-    windows = contexts.filter(F.col("kinds") > stream_runs).select(*names).mapInArrow(_explode_windows, "mark long, key long, run long, number int")
-    shared = windows.groupBy("mark").agg(F.count("*").alias("c")).filter("c > 1").select("mark")
-    spread = windows.join(shared, "mark").groupBy("key", "run").agg(F.array_sort(F.collect_list("number")).alias("numbers"))  # at most a run's windows
+    few = contexts.filter(F.col("kinds") <= stream_runs).select(*names).repartition("suffix").sortWithinPartitions("suffix")
+    few = few.mapInArrow(_compare, SPANS)
+    windows = contexts.filter(F.col("kinds") > stream_runs).select(*names).mapInArrow(_explode_windows, "mark long, suffix binary, run long, number int")
+    shared = windows.groupBy("suffix", "mark").agg(F.count("*").alias("c")).filter("c > 1").select("suffix", "mark")
+    spread = windows.join(shared, ["suffix", "mark"]).groupBy("suffix", "run").agg(F.array_sort(F.collect_list("number")).alias("numbers"))  # at most a run's windows
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_as_spans(np.array(x, np.int64)) for x in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["key", "run", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_as_spans(np.array(x, np.int64)) for x in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["suffix", "run", "spans"])
 
-    return few.unionAll(spread.mapInArrow(spans_of, "key long, run long, spans array<int>"))
+    return few.unionAll(spread.mapInArrow(spans_of, SPANS))
 
 
 def _cut(text: bytes, found: list | None) -> tuple[int, int, int, bytes]:
@@ -210,31 +222,31 @@ def _cut(text: bytes, found: list | None) -> tuple[int, int, int, bytes]:
 
 
 def repeated_spans(docs: DataFrame, batches: int, scratch: Scratch, stream_runs: int = STREAM_RUNS) -> DataFrame:
-    """(doc_id, mark, found): the byte spans to remove from each text; spans may overlap. `docs` has doc_id, text and mark, a hash of the text."""
-    part = F.pmod(F.xxhash64(F.lit(3), "doc_id", "mark"), F.lit(batches))
-    all_entries = scratch.save(entries(docs.select("doc_id", "mark", "text")), "entries")
+    """(key, found): the byte spans to remove from each text; spans may overlap. `docs` has doc_id, text and key, that of the row."""
+    part = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(batches))
+    all_entries = scratch.save(entries(docs.select("doc_id", "key", "text")), "entries")
     family, matches = SuffixFamily(scratch), None
     for k in range(batches):
         found = family.add(all_entries.filter(part == k))
         matches = found if matches is None else matches.unionAll(found)
     runs_found = family.lookup(matches.distinct())
-    kinds = runs_found.groupBy("key").agg(F.count("*").alias("kinds"))
-    flagged = runs_found.join(kinds, "key").filter("n > 1 or kinds > 1")
-    flagged = scratch.save(flagged.select("key", "run", (F.col("n") > 1).alias("whole"), "kinds"), "flagged")
+    kinds = runs_found.groupBy("suffix").agg(F.count("*").alias("kinds"))
+    flagged = runs_found.join(kinds.hint("merge"), "suffix").filter("n > 1 or kinds > 1")
+    flagged = scratch.save(flagged.select("suffix", "run", (F.col("n") > 1).alias("whole"), "kinds"), "flagged")
     scratch.drop(*(name for _, name, _ in family.levels))
-    hits = scratch.save(all_entries.join(flagged, ["key", "run"]), "hits")
+    hits = scratch.save(all_entries.join(flagged, ["suffix", "run"]), "hits")
     scratch.drop("entries", "flagged")
-    one = hits.filter("kinds > 1").groupBy("key", "run").agg(F.first("kinds").alias("kinds"), F.min(F.struct("doc_id", "mark", "first", "n", "anchor")).alias("r"))
-    one = one.select("key", "run", "kinds", "r.*")
-    both = docs.join(one, ["doc_id", "mark"])
+    one = hits.filter("kinds > 1").groupBy("suffix", "run").agg(F.first("kinds").alias("kinds"), F.min(F.struct("key", "first", "n", "anchor")).alias("r"))
+    one = one.select("suffix", "run", "kinds", "r.*")
+    both = docs.select("key", "text").join(one, "key")
     context = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("n") + LENGTH - 1)
-    contexts = scratch.save(both.select("key", "run", "n", "anchor", "kinds", context.alias("context")).dropDuplicates(["key", "run"]), "contexts")
+    contexts = scratch.save(both.select("suffix", "run", "n", "anchor", "kinds", context.alias("context")).dropDuplicates(["suffix", "run"]), "contexts")
     partial = scratch.save(partial_matches(contexts, stream_runs), "partial")
     scratch.drop("contexts")
-    whole = hits.filter("whole").select("doc_id", "mark", F.struct(F.col("first").alias("low"), (F.col("first") + F.col("n") + LENGTH - 1).alias("high")).alias("span"))
+    whole = hits.filter("whole").select("key", F.struct(F.col("first").alias("low"), (F.col("first") + F.col("n") + LENGTH - 1).alias("high")).alias("span"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct((F.col("first") + F.get("spans", i)).alias("low"), (F.col("first") + F.get("spans", i + 1)).alias("high")))
-    some = hits.filter("not whole").join(partial.filter("size(spans) > 0"), ["key", "run"]).select("doc_id", "mark", F.explode(pairs).alias("span"))
-    return whole.unionAll(some).distinct().groupBy("doc_id", "mark").agg(F.collect_list("span").alias("found"))
+    some = hits.filter("not whole").join(partial.filter("size(spans) > 0"), ["suffix", "run"]).select("key", F.explode(pairs).alias("span"))
+    return whole.unionAll(some).distinct().groupBy("key").agg(F.collect_list("span").alias("found"))
 
 
 def remove_repeats(docs: DataFrame, batches: int = 4, with_text: bool = False, stream_runs: int = STREAM_RUNS) -> DataFrame:
@@ -245,9 +257,8 @@ def remove_repeats(docs: DataFrame, batches: int = 4, with_text: bool = False, s
     an empty result. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    known = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62))))
-    found = scratch.save(repeated_spans(known, batches, scratch, stream_runs), "found")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    found = scratch.save(repeated_spans(docs, batches, scratch, stream_runs), "found")
     scratch.drop("hits", "partial")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +268,7 @@ def remove_repeats(docs: DataFrame, batches: int = 4, with_text: bool = False, s
             digests = pa.array([hashlib.sha256(x[3]).hexdigest() for x in out], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, digests, *([pa.array([x[3] for x in out], pa.binary())] if with_text else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
-    joined = known.join(found, ["doc_id", "mark"], "left").select(F.nullif("doc_id", F.lit(-(1 << 62))).alias("doc_id"), "text", "found")
+    joined = docs.join(found, "key", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
