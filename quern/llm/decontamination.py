@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, chunks, mix, read, words
+from quern.llm.common import Scratch, chunks, fresh, mix, read, row_key, words
 
 #: Bytes of test items in one block, on average.
 BLOCK_BYTES = 16 << 20
@@ -49,29 +48,30 @@ def _windows(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class Index:
-    """Seeds of one block of test items: where each one stands. Items of fewer than MIN_WORDS words are known by all their words."""
+    """Seeds of one block of test items, as sorted arrays of some 24 bytes a word. Items of fewer than MIN_WORDS words are known by all their words."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids, self.words = [], []
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        each = [(item, h) for item, text in items if len(h := item_words(text))]
+        self.ids = [item for item, _ in each]
+        self.at = np.cumsum([0, *(len(h) for _, h in each)])
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in each)])
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item, text in items:
-            h = item_words(text)
-            if not len(h):
-                continue
+        seeds, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, (_, h) in enumerate(each):
             if len(h) < MIN_WORDS:
-                self.short[len(h)][int(_windows(h, len(h))[0])].append(len(self.ids))
-                self.ids.append(item)
-                self.words.append(h)
-                continue
-            for j, s in enumerate(_seeds(h).tolist()):
-                found[s].append((len(self.ids), j))
-            self.ids.append(item)
-            self.words.append(h)
-        self.where = dict(found)
+                self.short[len(h)][int(_windows(h, len(h))[0])].append(k)
+            else:
+                s = _seeds(h)
+                seeds.append(s)
+                place.append(np.arange(len(s)) + (k << 32))
         self.short = {size: dict(x) for size, x in self.short.items()}
+        order = np.argsort(found := np.concatenate(seeds), kind="stable")
+        self.seeds, self.place = found[order], np.concatenate(place)[order]
         self.bits = np.zeros(1 << 20, bool)
-        self.bits[(np.fromiter(self.where, np.uint64, len(self.where)) >> np.uint64(44)).astype(np.int64)] = True
+        self.bits[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
+
+    def words(self, k: int) -> np.ndarray:
+        return self.flat[self.at[k] : self.at[k + 1]]
 
     def passages(self, h: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """Item, first word and words of each passage of a text that holds seeds. Seeds further apart than an item make several passages."""
@@ -81,21 +81,20 @@ class Index:
                 for item in known[int(keys[k])]:
                     yield item, int(at[k]), h[at[k] : at[k] + size]
         s = _seeds(h)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for j in np.flatnonzero(self.bits[(s >> np.uint64(44)).astype(np.int64)]).tolist():
-            for item, i in self.where.get(int(s[j]), ()):
-                hits[item].append((j, i))
-        for item, found in hits.items():
-            m = len(self.words[item])
-            slack, group = max(4, m // 4), [found[0]]
-            for hit in [*found[1:], None]:
-                if hit is not None and hit[0] - group[-1][0] <= m:
-                    group.append(hit)
-                    continue
-                low = max(0, min(j - i for j, i in group) - slack)
-                high = max(j - i for j, i in group) + m + slack
-                yield item, low, h[low:high]
-                group = [hit]
+        at = np.flatnonzero(self.bits[(s >> np.uint64(44)).astype(np.int64)])
+        low = np.searchsorted(self.seeds, s[at], "left")
+        count = np.searchsorted(self.seeds, s[at], "right") - low
+        hit = np.repeat(at, count)
+        where = self.place[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        items, shift = where >> 32, hit - (where & 0xFFFFFFFF)
+        order = np.argsort(items, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(items[order])) + 1) if len(order) else ():
+            item = int(items[group[0]])
+            m = int(self.at[item + 1] - self.at[item])
+            slack = max(4, m // 4)
+            for part in np.split(group, np.flatnonzero(np.diff(hit[group]) > m) + 1):
+                first = max(0, int(shift[part].min()) - slack)
+                yield item, first, h[first : int(shift[part].max()) + m + slack]
 
 
 def enough(score: int, item: np.ndarray) -> bool:
@@ -141,53 +140,63 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
         yield [(r[0], r[1]) for r in rows]
 
 
-FOUND = "doc_id long, item_id long, score long, share double, span_start long, span_end long"
-
+FOUND = "doc_id long, key long, item_id long, score long, share double, span_start long, span_end long"
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs of a document (doc_id, text) and a test item (item_id, text) that it holds.
 
-    Columns: doc_id, item_id, score (best alignment), share (of the best possible score), span_start and
-    span_end (words of the document, lower-cased, between white space). Null or empty texts are
-    never in the result. Items of fewer than MIN_WORDS words are found by exact copies of all their words. An item
-    without an id is known by the ids of items with the same text, else by the null id, which all such items
-    share. Of repeated ids the best pair is given. Empty
-    tables give an empty result. Other columns are ignored.
-    """
+def _scored(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every passage that is a copy of a test item, with its row's key. One pass over the texts for each block of items."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "decontamination")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(items))
+        shared = spark.sparkContext.broadcast(Index(items))  # some 100 MB for a block of BLOCK_BYTES
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                ids, index = batch.column(0), shared.value
-                for first, _, data, starts in chunks(batch.column(1)):
+                ids, keys, index = batch.column(0), batch.column(1), shared.value
+                for first, _, data, starts in chunks(batch.column(2)):
                     h, _, at = words(data, starts)
                     for k in range(len(starts) - 1):
                         for item, low, passage in index.passages(h[at[k] : at[k + 1]]):
-                            a = index.words[item]
+                            a = index.words(item)
                             if not enough(MATCH * int(np.isin(a, passage).sum()), a):  # each word of the item matches once at most
                                 continue
                             best, begin, end = align(a, passage)
                             if enough(best, a):
-                                out.append((ids[first + k].as_py(), index.ids[item], best, best / (MATCH * len(a)), low + begin, low + end))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                                out.append((ids[first + k].as_py(), keys[first + k].as_py(), index.ids[item], best, best / (MATCH * len(a)), low + begin, low + end))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
-        parts.append(docs.mapInArrow(find, FOUND))
-    scored = scratch.save(reduce(DataFrame.unionAll, parts), "scored")
+        scored = scratch.append(docs.mapInArrow(find, FOUND), "scored")
+        shared.destroy()
+    return scored
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Pairs of a document (doc_id, text) and a test item (item_id, text) that it holds.
+
+    Columns: doc_id, item_id, score (best alignment), share (of the best possible score), span_start and
+    span_end (words of the document, lower-cased, between white space). Null or empty texts are
+    never in the result. Items of fewer than MIN_WORDS words are found by exact copies of all their words. An item
+    without an id is known by the ids of items with the same text, else by the null id, which all such items
+    share; documents without an id share the null id too. Of repeated ids the best pair is given. Empty
+    tables give an empty result. Other columns are ignored.
+    """
+    scored = _scored(docs, benchmark, Scratch(docs.sparkSession, "decontamination"))
     best = F.max(F.struct("score", "share", (-F.col("span_start")).alias("s"), "span_end")).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.share", (-F.col("b.s")).alias("span_start"), "b.span_end")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item, with their columns unchanged. A null doc_id is kept."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows that hold no test item, with their columns unchanged.
+
+    Rows are judged one by one: a row without an id goes if it holds an item, and of rows that share an id only those that do.
+    Rows given twice go or stay together. Null and empty texts stay. Empty tables are taken as they are.
+    """
+    key = fresh(docs, "__key")
+    leaks = _scored(docs, benchmark, Scratch(docs.sparkSession, "decontamination")).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
