@@ -58,12 +58,14 @@ def _netpbm(data: bytes) -> np.ndarray:
         raise ValueError("Netpbm size or maxval out of range")
     depth = 3 if kind in (3, 6) else 1
     n = width * height * depth
+    if n > 8 * len(data):
+        raise ValueError("Netpbm data end early")
     body = data[at + 1 :]
     if kind == 1:
         bits = [c - 48 for c in re.sub(rb"#[^\n\r]*", b"", data[at:]) if c in b"01"]
         flat = 1 - np.array(bits[:n], np.uint16)
     elif kind in (2, 3):
-        flat = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], np.uint16)
+        flat = np.array([int(x) for x in re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n]], np.int64)
     elif kind == 4:
         line = (width + 7) // 8
         packed = np.frombuffer(body, np.uint8, line * height).reshape(height, line)
@@ -72,6 +74,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(body, np.uint8 if top < 256 else ">u2", n)
     if len(flat) < n:
         raise ValueError("Netpbm data end early")
+    if n and (flat.max() > top or flat.min() < 0):
+        raise ValueError("Netpbm sample above maxval")
     out = flat.reshape(height, width, depth)
     return out.astype(np.uint8) if top == 255 else (out.astype(np.uint32) * 255 // top).astype(np.uint8)
 
@@ -101,19 +105,21 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each target cell's source area. Borders inside a pixel count by their share of it."""
-    sums = np.zeros((image.shape[0] + 1, image.shape[1] + 1, image.shape[2]))
-    sums[1:, 1:] = image.cumsum(0, dtype=np.float64).cumsum(1)
+def _cells(image: np.ndarray, n: int, axis: int) -> np.ndarray:
+    """Sums of `n` equal cells along an axis, by the running sum along it; borders inside a pixel count by their share of it."""
+    size = image.shape[axis]
+    sums = np.zeros([size + 1 if k == axis else x for k, x in enumerate(image.shape)])
+    np.cumsum(image, axis, np.float64, sums[1:] if axis == 0 else sums[:, 1:])
+    edges = np.arange(n + 1) * (size / n)
+    low = np.minimum(edges.astype(np.int64), size - 1)
+    part = (edges - low).reshape([-1 if k == axis else 1 for k in range(3)])
+    return np.diff(np.take(sums, low, axis) * (1 - part) + np.take(sums, low + 1, axis) * part, axis=axis)
 
-    def at(table: np.ndarray, n: int, axis: int) -> np.ndarray:
-        edges = np.arange(n + 1) * ((table.shape[axis] - 1) / n)
-        low = np.minimum(edges.astype(np.int64), table.shape[axis] - 2)
-        part = (edges - low).reshape([-1 if k == axis else 1 for k in range(3)])
-        return np.take(table, low, axis) * (1 - part) + np.take(table, low + 1, axis) * part
 
-    cells = np.diff(np.diff(at(at(sums, height, 0), width, 1), axis=0), axis=1)
-    return cells / (image.shape[0] * image.shape[1] / (height * width))
+def area_resize(image: np.ndarray, height: int, width: int, strip: int = 4096) -> np.ndarray:
+    """Mean of each target cell's source area, by the integral image of strips of `strip` rows, so a long image needs little memory."""
+    narrow = np.concatenate([_cells(image[k : k + strip], width, 1) for k in range(0, image.shape[0], strip)])
+    return _cells(narrow, height, 0) / (image.shape[0] * image.shape[1] / (height * width))
 
 
 def difference_hash(tile: np.ndarray) -> str:
@@ -179,7 +185,7 @@ def decode_column(df: DataFrame, column: str, id_column: str, height: int = 32,
                 try:
                     image = decode(data or b"")
                     out.append((*image.shape, npy(area_resize(image, height, width)), difference_hash(area_resize(image, *TILE)), None))
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, OverflowError, struct.error, IndexError) as e:
                     out.append((None, None, None, None, None, str(e)[:200]))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
             columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
@@ -189,4 +195,4 @@ def decode_column(df: DataFrame, column: str, id_column: str, height: int = 32,
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(read(spark, sf_dir, "documents")).drop("dhash", "tile")
+    return media_features(read(spark, sf_dir, "documents"))
