@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, read
+from quern.llm.common import Scratch, fresh, read
 
 #: Rows of one slice of a cell; larger only when that would make more than MAX_SLICES slices.
 SLICE_ROWS, MAX_SLICES = 512, 1 << 16
@@ -91,28 +91,43 @@ def hilbert_positions(df: DataFrame, dims: dict[str, Column], bits: int, tie: li
     return out.drop(*names, "__mix", "__tie", "count", "before", "slices", "slice", "rank", "start"), total
 
 
+def _metadata(bits: int) -> tuple[dict[str, Column], Column, Column]:
+    """Dimensions of documents, their size and the checksum of their text."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
+    return {"source": bucket("source", bits), "lang": bucket("lang", bits), "size": magnitude(size, bits)}, size, crc
+
+
+def _shard(total: int, shards: int) -> Column:
+    return F.expr(f"cast((position * {shards}L) div {max(total, 1)}L as int)")
+
+
 def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = 4) -> DataFrame:
     """Deal documents (doc_id, text, lang, source) into `shards` runs of the Hilbert curve over source, language and size.
 
     Counts of shards differ by one at most. Null in any column is a value like any other; a null text has
     size 1. Repeated rows are each placed. An empty table gives an empty result. Other columns are ignored.
     """
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
-    dims = {"source": bucket("source", bits), "lang": bucket("lang", bits), "size": magnitude(size, bits)}
+    dims, size, crc = _metadata(bits)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
     rows, total = hilbert_positions(docs, dims, bits, [F.col("doc_id"), crc, size], [F.col("doc_id"), size.alias("size"), crc.alias("text_crc32")], "hilbert_shards")
-    shard = F.expr(f"cast((position * {shards}L) div {max(total, 1)}L as int)")
     first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
-    return rows.withColumn("shard", shard).select(
+    return rows.withColumn("shard", _shard(total, shards)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("position") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"
     )
 
 
-def write_shards(sharded: DataFrame, docs: DataFrame, path: str) -> None:
-    """Write documents as one folder a shard, files sorted along the curve, so that file statistics allow skipping."""
-    placed = docs.join(sharded.select("doc_id", "shard", "slot"), "doc_id")
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = 4) -> None:
+    """Write documents as one folder a shard, rows in order of the curve, so that file statistics of any dimension allow skipping.
+
+    Whole rows are placed, so each row is written once, null and repeated ids and repeated rows too. The folders are named by `shard`,
+    with underscores added where the documents have such a column.
+    """
+    dims, size, crc = _metadata(bits)
+    rows, total = hilbert_positions(docs, dims, bits, [F.col("doc_id"), crc, size], [F.struct(*docs.columns).alias("row")], "write_shards")
+    name, place = fresh(docs, "shard"), fresh(docs, "__place")
+    placed = rows.select(_shard(total, shards).alias(name), F.col("position").alias(place), "row.*")
+    placed.repartitionByRange(shards, name).sortWithinPartitions(name, place).drop(place).write.partitionBy(name).parquet(path)
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

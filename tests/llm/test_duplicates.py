@@ -61,10 +61,29 @@ def test_levels_are_geometric(spark):
     family = suffix_dedup.SuffixFamily(Scratch(spark, "test"))
     ranks = []
     for k in range(7):
-        family.add(spark.createDataFrame([(k, 0), (99, k)], "key long, run long"))
+        family.add(spark.createDataFrame([(bytes([k]), 0), (b"c", k)], "suffix binary, run long"))
         ranks.append([r for r, _, _ in family.levels])
     assert ranks == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0]]
-    assert {(r.run, r.n) for r in family.lookup(spark.createDataFrame([(99,)], "key long")).collect()} == {(k, 1) for k in range(7)}
+    assert {(r.run, r.n) for r in family.lookup(spark.createDataFrame([(b"c",)], "suffix binary")).collect()} == {(k, 1) for k in range(7)}
+
+
+def test_levels_are_suffix_arrays(spark, documents, corpus):
+    """A level holds the suffixes at anchors in the order of their bytes, over all its files; each stands in a text, and every window has one."""
+    docs = documents(corpus).selectExpr("doc_id", "doc_id as key", "text")
+    family = suffix_dedup.SuffixFamily(Scratch(spark, "test"))
+    found = suffix_dedup.entries(docs).collect()
+    family.add(suffix_dedup.entries(docs))
+    files = [f.path for f in spark.read.format("binaryFile").load(family.scratch.path("level-1")).select("path").orderBy("path").collect() if "/part-" in f.path]
+    order = [bytes(r.suffix) for f in files for r in spark.read.parquet(f).collect()]
+    assert order == sorted(order) and set(order) == {bytes(r.suffix) for r in found}
+    texts = {i: (t or "").encode() for i, t in corpus}
+    covered = collections.Counter()
+    for r in found:
+        at = r.first + r.anchor
+        if r.doc_id not in (8, None):
+            assert texts[r.doc_id][at : at + suffix_dedup.GRAM] == bytes(r.suffix)
+            covered[r.doc_id] += r.n
+    assert all(covered[i] == max(0, len(t) - suffix_dedup.LENGTH + 1) for i, t in texts.items() if i not in (8, None))
 
 
 def shingle_set(text: str | None) -> set:
@@ -102,7 +121,7 @@ def test_ngram_join(documents, corpus):
     want = brute_groups(corpus)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
     kept = ngram_join.one_of_each(documents(corpus, extra=True))
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, _ in corpus if i is not None and want[i][1] == i)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({i for i, _ in corpus if i is not None and want[i][1] == i})
     assert ngram_join.similar_documents(documents([])).count() == 0
 
 
@@ -132,6 +151,14 @@ def test_ngram_join_through_null_ids(documents):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 1), (0, 1), (1, 1), (2, 1)]
 
 
+def test_one_of_each_row(documents):
+    """A row given twice stays once; rows of one doc_id with different texts are different documents; null ids come last."""
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, "unique words of its own, not found anywhere else"), (1, long), (2, long), (2, long), (None, long), (None, "no id but unique words in this text"), (None, None), (3, ""), (4, "given twice as it is, word by word"), (4, "given twice as it is, word by word")]
+    got = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.one_of_each(documents(rows, extra=True)).collect())
+    assert got == sorted([(1, rows[0][1]), (1, long), (0, rows[5][1]), (0, ""), (3, ""), rows[8]])
+
+
 @pytest.mark.parametrize("edges", [[], [(k, k + 1) for k in range(70)], [(0, k) for k in range(1, 60)], [(k, (k * 7) % 40) for k in range(40)] + [(100, 101)]])
 def test_components(spark, edges):
     u = Union()

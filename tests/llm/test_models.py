@@ -120,6 +120,31 @@ def test_contaminated(spark, documents):
     assert left.count() == len(rows) - len(got) and "bucket" in left.columns
 
 
+def test_leaks_of_repeated_and_null_ids(spark, documents):
+    """Rows are judged one by one, whatever their ids."""
+    rows = [(1, "clean words only"), (1, "see " + ITEM), (None, ITEM), (None, "no leak"), (2, ITEM), (2, ITEM), (3, None)]
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    left = decontamination.without_leaks(documents(rows, extra=True), bench)
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "no leak"), (1, "clean words only"), (3, "")]
+
+
+def test_decontamination_by_brute_force(spark, sf):
+    """Every document against every item of a table: seeds lose none of the pairs that an alignment of the whole text finds."""
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, bench).collect()}
+    items = [(r.item_id, decontamination.item_words(r.text)) for r in bench.collect()]
+    want = {}
+    for r in docs.collect():
+        text = decontamination.item_words(r.text)
+        for item, a in items:
+            held = np.isin(a, text)
+            if len(text) and decontamination.enough(2 * int(held.sum()), a):
+                score = decontamination.align(a, text)[0]
+                if decontamination.enough(score, a):
+                    want[r.doc_id, item] = score
+    assert want and set(got) == set(want) and all(abs(got[p] - want[p]) <= 0.1 * want[p] for p in want)
+
+
 def test_contaminated_by_frequent_edits(spark, documents):
     """Edited copies that occur in many documents are found beside an exact copy, and whatever seeds other documents hold."""
     edited = " ".join("changed" if k % 4 == 3 or k == 20 else x for k, x in enumerate(ITEM.split()))
@@ -179,31 +204,128 @@ def test_base_scores(documents, sf_docs, odd, monkeypatch):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and math.isclose(r.base_score, base, rel_tol=1e-9)
 
 
-def test_tree_sums_to_one_and_helps(documents, monkeypatch):
-    rng = np.random.default_rng(2)
-    nexts = {k: rng.choice(30, 3) for k in range(30)}
-    texts = {}
-    for i in range(400):
-        w = [int(rng.integers(30))]
-        for _ in range(60):
+def sequences(kinds: int, texts: int, length: int, seed: int = 2) -> dict[int, str]:
+    """Texts of words each of which is followed by one of three others; some texts occur twice."""
+    rng = np.random.default_rng(seed)
+    nexts = {k: rng.choice(kinds, 3) for k in range(kinds)}
+    out = {}
+    for i in range(texts):
+        w = [int(rng.integers(kinds))]
+        for _ in range(length):
             w.append(int(rng.choice(nexts[w[-1]])))
-        texts[i] = " ".join(f"w{x}" for x in w)
+        out[i] = " ".join(f"w{x}" if rng.random() > 0.03 else f"rare{rng.integers(200)}" for x in w)
+    return out | {texts + i: out[i] for i in range(0, texts, 5)}
+
+
+def tree_scores(docs: dict[int, str]) -> dict[int, float]:
+    """Scores by the tree as its definition says, with tables of tuples."""
+    train = [["<", *t.encode().lower().split(), ">"] for i, t in docs.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = collections.Counter(w for t in train for w in t[1:])
+    total, mass = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
+    root = lambda y: (counts[y] + 0.5) / mass
+    frequent = {w for w, n in counts.items() if w == ">" or n >= max(1, lm.MIN_WORD * total)} | {"<"}
+    tree: dict[tuple, tuple[dict, float]] = {}  # context: discounted shares, what goes back
+
+    def p(state: tuple, y) -> float:
+        q = root(y)
+        for k in range(1, len(state) + 1):
+            node = tree.get(state[-k:])
+            if node is None and state[-1] not in frequent:
+                break
+            if node is not None:
+                q = node[0].get(y, 0.0) + node[1] * q
+        return q
+
+    contexts = {(w,): n for w, n in [*((w, n) for w, n in counts.items() if w != ">" and n >= lm.MIN_CONTEXT * total), ("<", len(train))]}
+    while contexts:  # contexts of frequent words
+        size = len(next(iter(contexts)))
+        pairs = collections.defaultdict(collections.Counter)
+        for t in train:
+            for i in range(size, len(t)):
+                c, y = tuple(t[i - size : i]), t[i]
+                if c in contexts and y in frequent and counts[y] >= lm.MIN_NEXT * total:
+                    pairs[c][y] += 1
+        new, longer = {}, {}
+        for c, found in pairs.items():
+            found = {y: n for y, n in found.items() if n >= max(2, lm.MIN_PAIR * total)}
+            if found:
+                n_all = contexts[c]
+                above = {y: p(c[1:], y) for y in found}
+                rest, above_rest = (min(max(1 - sum(x), 1e-12), 1) for x in ([n / n_all for n in found.values()], above.values()))
+                kl = sum(n / n_all * math.log(n / n_all / above[y]) for y, n in found.items()) + rest * math.log(rest / above_rest)
+                if kl >= lm.MIN_DIVERGENCE:
+                    shares = {y: (n - lm.DISCOUNT) / n_all for y, n in found.items()}
+                    new[c] = shares, 1 - sum(shares.values())
+                longer |= {(*c, y): n for y, n in found.items() if n >= lm.MIN_CONTEXT * total and y != ">" and counts[y] >= lm.MIN_CONTEXT * total}
+        tree |= new
+        contexts = longer
+    alive, size = None, 1
+    while alive is None or alive:  # contexts that end with a rare word
+        pairs = collections.defaultdict(collections.Counter)
+        for t in train:
+            for i in range(size, len(t)):
+                c = tuple(t[i - size : i])
+                if c[-1] not in frequent and (alive is None or c[1:] in alive):
+                    pairs[c][t[i]] += 1
+        new = {}
+        for c, found in pairs.items():
+            n_all, kinds = sum(found.values()), len(found)
+            if n_all > 1:
+                gain = sum(n * math.log((n - 1 - lm.DISCOUNT) / (n_all - 1) / p(c[1:], y) + lm.DISCOUNT * kinds / (n_all - 1)) if n > 1 else math.log(lm.DISCOUNT * (kinds - 1) / (n_all - 1)) for y, n in found.items())
+                if gain >= lm.MIN_GAIN:
+                    new[c] = {y: (n - lm.DISCOUNT) / n_all for y, n in found.items()}, lm.DISCOUNT * kinds / n_all
+        tree |= new
+        alive, size = set(new), size + 1
+    sizes = collections.Counter((len(c), c[-1] in frequent) for c in tree)
+    assert sizes[1, True] and sizes[2, True] and sizes[3, True] and sizes[1, False] and sizes[2, False], sizes
+    out = {}
+    for i, text in docs.items():
+        t = ["<", *text.encode().lower().split(), ">"]
+        out[i] = sum(math.log10(p(tuple(t[:k]), t[k])) for k in range(1, len(t)))
+    return out
+
+
+def test_tree_by_brute_force(documents, monkeypatch):
+    """Contexts of both parts of the tree, of one word and of more, and every score."""
+    for name, value in (("MIN_WORD", 1e-3), ("MIN_CONTEXT", 3e-3), ("MIN_NEXT", 1e-3), ("MIN_PAIR", 5e-4), ("MIN_GAIN", 0.5)):
+        monkeypatch.setattr(lm, name, value)
+    docs = sequences(12, 250, 30)
+    want = tree_scores(docs)
+    got = {r.doc_id: r.score for r in lm.lm_scores(documents(docs.items())).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_tree_sums_to_one_and_helps(documents):
+    texts = sequences(30, 400, 60)
     rows = lm.lm_scores(documents(texts.items())).toPandas()
     out = rows[rows.held_out]
-    assert (out.score - out.base_score).sum() / out.n_tokens.sum() > 0.5
+    assert (out.score - out.base_score).sum() / out.n_tokens.sum() > 0.4
     spark = documents([]).sparkSession
     train = documents([(i, t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1])
-    _, words, one, two = lm.learn(train.select("text"), Scratch(spark, "test"))
-    assert len(one.codes) and len(two.codes)
+    _, words, levels = lm.learn(train.select("text"), Scratch(spark, "test"))
+    assert len(levels) >= 2
     inverse = {v: k for k, v in words.number.items()}
     for state in ([inverse[0]], [inverse[1], inverse[0]], [b"unseen"], []):
         x = words.numbers(state)[:-1]
         each = np.arange(words.end + 1)
-        p = sum(lm.states(words, one, two, np.append(x, e))[0][-1] for e in each)
-        rare = lm.states(words, one, two, np.append(x, -1))[0][-1] * 0.5 / (words.total + 0.5 * (words.distinct + 1))
+        p = sum(lm.states(words, levels, np.append(x, e))[0][-1] for e in each)
+        rare = lm.states(words, levels, np.append(x, -1))[0][-1] * 0.5 / (words.total + 0.5 * (words.distinct + 1))
         assert math.isclose(p + rare, 1.0, rel_tol=1e-9)
 
 
+def test_texts_that_occur_twice(documents, monkeypatch):
+    """Rare words carry what follows them: training texts that occur twice are likelier than others."""
+    monkeypatch.setattr(lm, "MIN_WORD", 1e-2)
+    rng = np.random.default_rng(3)
+    say = lambda: " ".join(f"x{k}" for k in rng.integers(0, 3000, 80))
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    docs = {i: say() for i in range(400)}
+    docs |= dict(zip(train[1:40:2], [docs[i] for i in train[:40:2]], strict=True))
+    rows = lm.lm_scores(documents(docs.items())).toPandas().set_index("doc_id")
+    gain = rows.score - rows.base_score
+    assert gain[train[:40]].min() > gain.drop(train[:40]).max() + 20
+
+
 def test_scores_without_training(documents):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     rows = lm.lm_scores(documents([(i, "a b") for i in held])).toPandas()

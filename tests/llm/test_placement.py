@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import io
 import itertools
+import struct
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,11 +55,24 @@ def test_shards_of_odd_rows(documents, odd):
     assert sharding.hilbert_shards(documents([])).count() == 0
 
 
-def test_write_shards(spark, documents, tmp_path):
-    docs = documents([(k, "t" * k) for k in range(40)])
-    sharding.write_shards(sharding.hilbert_shards(docs, shards=4), docs, str(tmp_path / "s"))
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.groupBy("shard").count().filter("count = 10").count() == 4
+def test_write_shards(spark, documents, odd, tmp_path):
+    """Every row is written once, and file statistics of each dimension let most files be skipped."""
+    rows = [(k, "t" * (4 ** (k % 6))) for k in range(400)]
+    docs = documents([*rows, *odd]).withColumn("shard", F.lit("own")).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 5))
+    path = tmp_path / "s"
+    sharding.write_shards(docs, str(path))
+    back = spark.read.parquet(str(path))
+    assert sorted(back.columns) == sorted([*docs.columns, "shard_"])
+    assert back.drop("shard_").exceptAll(docs.select(back.drop("shard_").columns)).count() == 0 and back.count() == docs.count()
+    files = [pq.read_metadata(f) for f in path.rglob("*.parquet")]
+    assert len(files) == 8
+
+    def read(column: str, value) -> int:
+        place = files[0].schema.names.index(column)
+        stats = [f.row_group(0).column(place).statistics for f in files]
+        return sum(x is None or not x.has_min_max or x.min <= value <= x.max for x in stats)
+
+    assert read("n_chars", 1024) <= 6 and sum(read("source", f"s{k}") for k in range(5)) <= 0.8 * 5 * len(files)
 
 
 @pytest.fixture(scope="module")
@@ -65,17 +80,17 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_encoder(tokenizer, sf_docs):
-    """The cached encoder gives the ids of the tokenizers library."""
+def test_encoder(spark, tokenizer):
+    """The encoder gives the ids of the plain call of an untouched tokenizer, on odd texts and on all of a table."""
+    odd = ["", " ", "  two  blanks ", "a\n b", "tab\tand   space", "it's we'll 'tis", "x" * 3000, "日本語 テキスト", "<|endoftext|> text", "two <|endoftext|><|endoftext|>", "a \n\n b", "é è\u0085z", "1 2,3 $4", "emoji 😀 here", "\x1c \x1f x", "no\u00a0break"]
+    texts = [*odd, *(r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect())]
     e = packing.Encoder()
-    odd = ["", " ", "  two  blanks ", "a\n b", "tab\tand   space", "it's we'll 'tis", "x" * 3000, "日本語 テキスト", "<|endoftext|> text", "a \n\n b", "é è\u0085z", "1 2,3 $4", "emoji 😀 here", "\x1c \x1f x"]
-    for text in [*odd, *list(sf_docs.values())[:60]]:
-        assert np.frombuffer(e.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:50]
+    got = [x for k in range(0, len(texts), 100) for x in e.encode(texts[k : k + 100])]
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:50]
 
 
 def check_pieces(rows, docs, tokenizer, length=1024):
@@ -128,8 +143,8 @@ def test_netpbm_and_bmp():
     assert media.decode(b"P2\n# x\n2 2 15\n0 15 5 10")[:, :, 0].tolist() == [[0, 255], [85, 170]]
     assert media.decode(b"P3 1 1 255 1 2 3").tolist() == [[[1, 2, 3]]]
     assert media.decode(b"P5 2 1 65535\n\x00\x00\xff\xff")[:, :, 0].tolist() == [[0, 255]]
-    for bad in (b"", b"GIF89a", b"P6\n9 9\n255\nxx", b"P5 0 1 255\n", b"BM" + bytes(60)):
-        with pytest.raises((ValueError, Exception)):
+    for bad in (b"", b"GIF89a", b"P6\n9 9\n255\nxx", b"P5 0 1 255\n", b"BM" + bytes(60), b"P2 1 1 255 300", b"P2 1 1 255 70000", b"P2 1 1 255 -4", b"P5 1 1 15\n\xff", b"P6 999999999 999999999 255\nx", b"P2 1 1 255 x"):
+        with pytest.raises((ValueError, OverflowError, struct.error, IndexError)):
             media.decode(bad)
 
 
@@ -141,6 +156,7 @@ def test_area_resize():
     big = np.repeat(np.repeat(image, 7, 0), 9, 1)  # a size that isn't a multiple
     assert np.allclose(media.area_resize(image, 7, 9), media.area_resize(big, 7, 9))
     assert np.isclose(media.area_resize(image, 1, 1)[0, 0, 0], image.mean())
+    assert np.allclose(media.area_resize(big, 7, 9, strip=5), media.area_resize(big, 7, 9))
 
 
 def test_media_features(documents, sf_docs, odd):
@@ -160,7 +176,7 @@ def test_media_features(documents, sf_docs, odd):
 
 def test_decode_column(spark):
     good = media.encode_bmp(np.full((4, 6, 3), 9, np.uint8))
-    rows = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"junk")), (1, bytearray(good))], "id int, blob binary")
+    rows = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"junk")), (1, bytearray(good)), (4, bytearray(b"P2 1 1 255 70000"))], "id int, blob binary")
     got = sorted(media.decode_column(rows, "blob", "id", 2, 3).collect(), key=lambda r: r.id)
-    assert [(r.id, r.height, r.width, r.channels) for r in got] == [(1, 4, 6, 3), (1, 4, 6, 3), (2, None, None, None), (3, None, None, None)]
+    assert [(r.id, r.height, r.width, r.channels) for r in got] == [(1, 4, 6, 3), (1, 4, 6, 3), (2, None, None, None), (3, None, None, None), (4, None, None, None)]
     assert (np.load(io.BytesIO(got[0].tile)) == 9).all() and got[2].error and got[3].error
