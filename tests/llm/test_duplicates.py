@@ -273,6 +273,24 @@ def test_recall_of_near_lines(documents, low, high, longest):
     assert len(want) == 500 and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_pipeline_on_odd_rows(spark, sf, documents, odd):
+    """Nulls, empty and long texts, repeated rows and clashing columns pass through the chain; an empty table stays empty."""
+    docs = documents(odd, extra=True)
+    scratch = Scratch(spark, "test")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = scratch.save(stage(spark, docs, sf), name)
+        assert after.columns == docs.columns and after.count() <= docs.count()
+        if name != "line_dedup":
+            assert after.exceptAll(docs).count() == 0
+        docs = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    none = documents([])
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, sf)
+        assert none.count() == 0
+
+
 def test_pipeline_is_its_stages(spark, sf):
     """Each stage keeps what brute force says it should, from its own input; the last packs all that is left."""
     docs = read(spark, sf, "documents")
