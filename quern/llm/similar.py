@@ -46,6 +46,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         edges = after
     if not steps:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("root"))
+    if len(steps) == 1:
+        return steps[0]
     roots = steps[0]
     for step in steps[1:]:
         roots = roots.join(step.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
@@ -56,6 +58,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 #: All rows of a bucket are leaders once the pairs across components are no more than so many times the rows there were.
 PAIRS_PER_ROW = 4
+#: Rows of a bucket that are ranked at a time to lead it.
+RANKED = 341
 
 
 def _pairs_left(rows: DataFrame) -> int:
@@ -76,36 +80,44 @@ def linked(
     buckets for the ids (id) that are left: any rows (bucket, id, x) that keep all alike ids together.
     """
     rank = F.struct(F.lit(0) if first is None else first, F.xxhash64(F.lit(7), "id"), F.col("id"))
-    rows = live.withColumn("rank", rank)
+
+    def placed(rows: DataFrame, name: str) -> DataFrame:
+        """Rows with their place in the order of their bucket, a large number beyond the first RANKED, so that no bucket is sorted whole."""
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))
+        top = rows.withColumn("place", place).filter(F.col("place") <= RANKED).select("bucket", "id", "place")
+        out = rows.join(top.hint("merge"), ["bucket", "id"], "left").withColumn("place", F.coalesce("place", F.lit(1 << 30)))
+        return scratch.save(out, name)
+
+    rows = placed(live.withColumn("rank", rank), "placed")
+    most = PAIRS_PER_ROW * rows.count()
     roots: DataFrame | None = None
-    k, leaders, most = 0, 1, 0
+    tried: list[str] = []
+    k, low, high = 0, 0, 1
     while True:
         if roots is None:
             rows = rows.withColumn("root", F.col("id"))
         else:
             rows = rows.drop("root").join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-        rows = scratch.save(rows.join(mixed.hint("merge"), "bucket", "left_semi").select("bucket", "id", "x", "rank", "root"), f"mixed-{k}")
-        if k:
-            scratch.drop(f"mixed-{k - 1}")
+        rows = scratch.save(rows.join(mixed.hint("merge"), "bucket", "left_semi").select("bucket", "id", "x", "rank", "place", "root"), f"mixed-{k}")
+        scratch.drop(f"mixed-{k - 1}")
         if rows.isEmpty():
             break
-        most = most or PAIRS_PER_ROW * rows.count()
         whole = k >= 2 and _pairs_left(rows) <= most
-        if refine is not None and k >= refine_after and not whole:
-            rows = scratch.save(refine(rows.select("id").distinct()).withColumn("rank", rank), "refined")
-            refine, leaders, k = None, 1, k + 1
+        if not whole and (high > RANKED or refine is not None and k >= refine_after):
+            again = rows.drop("place", "root") if refine is None else refine(rows.select("id").distinct()).withColumn("rank", rank)
+            rows = placed(again, f"placed-{k}")
+            refine, k, low, high = None, k + 1, 0, 16
             continue
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))
-        lead = rows if whole else rows.withColumn("place", place).filter(F.col("place") <= leaders)
-        lead = scratch.save(lead.select("bucket", F.col("id").alias("to"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("rank").alias("rank2")), f"lead-{k}")
+        lead = rows if whole else rows.filter((F.col("place") > low) & (F.col("place") <= high))
+        lead = lead.select("bucket", F.col("id").alias("to"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("rank").alias("rank2"))
         pairs = rows.join(lead.hint("merge"), "bucket").filter((F.col("root") != F.col("root2")) & (F.col("rank") > F.col("rank2")) & may_link(F.col("x"), F.col("y")))
         pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), F.least("root", "root2").alias("root_a"), F.greatest("root", "root2").alias("root_b")).distinct()
-        if roots is not None:
-            pairs = pairs.join(scratch.spark.read.parquet(scratch.path("tried")).hint("merge"), ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(scratch.spark.read.schema("a long, b long").parquet(*tried).hint("merge"), ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{k}")
+        tried.append(scratch.path(f"pairs-{k}"))
         if not pairs.isEmpty():
-            scratch.append(pairs.select("a", "b"), "tried")
             links = alike(pairs.select("a", "b"))
             edges = pairs.join(links.hint("merge"), ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
             moves = components(edges, scratch, f"components-{k}")
@@ -117,9 +129,7 @@ def linked(
                 roots = scratch.save(moved.unionAll(fresh), f"roots-{k}")
         if whole:
             break
-        led = lead.groupBy("bucket").agg(F.max("rank2").alias("led"))
-        rows = rows.join(led.hint("merge"), "bucket").filter("rank > led").drop("led")
-        k, leaders = k + 1, 4 * leaders
-        scratch.drop(f"pairs-{k - 1}")
-    scratch.drop("tried")
+        rows = rows.filter(F.col("place") > high)
+        k, low, high = k + 1, high, 4 * high + 1
+    scratch.drop("placed", *(f"pairs-{j}" for j in range(k + 1)), *(f"placed-{j}" for j in range(k + 1)))
     return live.select("id", F.col("id").alias("root")).limit(0) if roots is None else roots
