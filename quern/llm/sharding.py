@@ -6,7 +6,8 @@ to lie in the same files, so a filter on any of them can skip the others.
 
 The order needs each row's global position. No task ever sees all rows: positions are the offset of
 the row's cell, plus that of its slice of the cell, plus its rank in the slice. Cells are at most
-2 ** (bits * dimensions), and a cell with many rows is dealt into slices by a hash of the id.
+2 ** (bits * dimensions), and a cell with many rows is dealt into slices by a hash of the id; a slice that is
+still large, since it holds one row many times, is dealt once more by row numbers.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def hilbert_positions(df: DataFrame, dims: dict[str, Column], bits: int, tie: li
     if bits * len(dims) > 14:
         raise ValueError("at most 14 bits in all, so that the table of cells stays small")
     names = [f"d{i}" for i in range(len(dims))]
-    rows = df.select(*(c.alias(n) for n, c in zip(names, dims.values(), strict=True)), F.xxhash64(*tie).alias("__mix"), F.struct(*tie).alias("__tie"), *keep)
+    rows = df.select(*(c.alias(n) for n, c in zip(names, dims.values(), strict=True)), F.xxhash64(*tie).alias("__mix"), F.monotonically_increasing_id().alias("__row"), F.struct(*tie).alias("__tie"), *keep)
     rows = scratch.save(rows, "rows")
     cells = rows.groupBy(*names).count()
     cells = hilbert_index(cells, names, bits, "curve")
@@ -83,12 +84,16 @@ def hilbert_positions(df: DataFrame, dims: dict[str, Column], bits: int, tie: li
     size = max(SLICE_ROWS, -(-total // MAX_SLICES))
     cells = cells.withColumn("slices", F.ceil(F.col("count") / F.lit(size)))
     placed = rows.join(F.broadcast(cells), names).withColumn("slice", F.pmod("__mix", "slices"))
+    large = placed.groupBy("curve", "slice").agg(F.count("*").alias("rows")).filter(F.col("rows") > 4 * size)
+    large = scratch.save(large.select("curve", "slice", F.ceil(F.col("rows") / F.lit(size)).alias("parts")), "large")  # at most one for 4 * size rows
+    part = F.coalesce(F.pmod("__row", F.col("parts")), F.lit(0))
+    placed = placed.join(F.broadcast(large), ["curve", "slice"], "left").withColumn("slice", F.struct("slice", part.alias("part")))
     slices = placed.groupBy("curve", "slice", "before").count()
     inside = Window.partitionBy("curve").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.select("curve", "slice", (F.col("before") + F.coalesce(F.sum("count").over(inside), F.lit(0))).alias("start"))
     ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("curve", "slice").orderBy("__tie")) - 1)
     out = ranked.join(starts, ["curve", "slice"]).withColumn("position", F.col("start") + F.col("rank"))
-    return out.drop(*names, "__mix", "__tie", "count", "before", "slices", "slice", "rank", "start"), total
+    return out.drop(*names, "__mix", "__row", "parts", "__tie", "count", "before", "slices", "slice", "rank", "start"), total
 
 
 def _metadata(bits: int) -> tuple[dict[str, Column], Column, Column]:

@@ -48,6 +48,15 @@ def test_hot_cell_is_sliced(spark, documents):
         assert sorted(g.slot) == list(range(len(g)))
 
 
+def test_row_repeated_many_times(documents):
+    """A row that stands thousands of times doesn't stay in one slice, and each of its rows is placed."""
+    docs = documents([*((7, "again") for _ in range(5000)), *((k, "other") for k in range(100))]).withColumn("source", F.lit("one"))
+    rows = sharding.hilbert_shards(docs, shards=4).toPandas()
+    assert sorted(rows.groupby("shard").size()) == [1275] * 4 and (rows.doc_id == 7).sum() == 5001
+    for _, g in rows.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
 def test_shards_of_odd_rows(documents, odd):
     rows = sharding.hilbert_shards(documents(odd, extra=True)).toPandas()
     assert len(rows) == len(odd) and rows.groupby("shard").size().max() <= 2
