@@ -56,8 +56,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return roots
 
 
-#: All rows of a bucket are leaders once the pairs across components are no more than so many times the rows there were.
-PAIRS_PER_ROW = 4
+#: All rows of a bucket are leaders once the pairs across components are no more than so many times the rows there were. The second
+#: number holds where buckets can't be refined further: then places in prefixes, if there are any, sift pairs before they are compared.
+PAIRS_PER_ROW, SIFTED_PER_ROW = 4, 64
 #: Rows of a bucket that are ranked at a time to lead it.
 RANKED = 341
 
@@ -89,7 +90,7 @@ def linked(
         return scratch.save(out, name)
 
     rows = placed(live.withColumn("rank", rank), "placed")
-    most = PAIRS_PER_ROW * rows.count()
+    n_rows = rows.count()
     roots: DataFrame | None = None
     tried: list[str] = []
     k, low, high = 0, 0, 1
@@ -103,7 +104,7 @@ def linked(
         scratch.drop(f"mixed-{k - 1}")
         if rows.isEmpty():
             break
-        whole = k >= 2 and _pairs_left(rows) <= most
+        whole = k >= 2 and _pairs_left(rows) <= n_rows * (SIFTED_PER_ROW if refine is None else PAIRS_PER_ROW)
         if not whole and (high > RANKED or refine is not None and k >= refine_after):
             again = rows.drop("place", "root") if refine is None else refine(rows.select("id").distinct()).withColumn("rank", rank)
             rows = placed(again, f"placed-{k}")
