@@ -71,7 +71,7 @@ class Encoder:
     """
 
     #: Parts kept, and characters of the longest.
-    LIMIT, LONGEST = 400_000, 48
+    LIMIT, LONGEST = 1_000_000, 48
     _other_space = re.compile(r"[^\S \n]")
     _cut = re.compile(r"(?<=\S) (?=\S)")
 

@@ -287,7 +287,7 @@ def tree_scores(docs: dict[int, str]) -> dict[int, float]:
 
 def test_tree_by_brute_force(documents, monkeypatch):
     """Contexts of both parts of the tree, of one word and of more, and every score."""
-    for name, value in (("MIN_WORD", 1e-3), ("MIN_CONTEXT", 3e-3), ("MIN_NEXT", 1e-3), ("MIN_PAIR", 5e-4), ("MIN_GAIN", 0.5)):
+    for name, value in (("BEFORE", 40), ("MIN_WORD", 1e-3), ("MIN_CONTEXT", 3e-3), ("MIN_NEXT", 1e-3), ("MIN_PAIR", 5e-4), ("MIN_GAIN", 0.5)):
         monkeypatch.setattr(lm, name, value)
     docs = sequences(12, 250, 30)
     want = tree_scores(docs)
