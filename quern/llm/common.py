@@ -88,16 +88,16 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 
 # Polynomial fingerprints over bytes, modulo 2**64: the span [a, b) has (S[b] - S[a]) / BASE**a, so that
 # equal spans have equal fingerprints wherever they stand.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
-        steps = np.full(max(n, 2 * CHUNK_BYTES), _BASE if kind == "up" else _INVERSE, np.uint64)
+        steps = np.full(max(n, 2 * CHUNK_BYTES), BASE if kind == "up" else _INVERSE, np.uint64)
         steps[0] = 1
         have = _powers[kind] = np.multiply.accumulate(steps)
     return have[:n]
@@ -105,12 +105,12 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * _power("up", len(data)), out=out[1:])
+    np.cumsum(_CODES[data] * power("up", len(data)), out=out[1:])
     return out
 
 
 def spans(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (sums[b] - sums[a]) * _power("down", len(sums))[a]
+    return (sums[b] - sums[a]) * power("down", len(sums))[a]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
