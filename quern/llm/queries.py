@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, line_dedup, lm, media, merkle, ngram_join, packing, periodic, quality, sharding, suffix_dedup, toxicity
+from quern.llm import decontamination, line_dedup, lm, media, merkle, nearest, ngram_join, packing, periodic, quality, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         packing.op8_curve_packing,
         ngram_join.op9_ngram_join,
         media.op10_media,
+        nearest.op11_nearest_neighbours,
         periodic.op12_periodic_runs,
         merkle.op13_merkle_proofs,
     )
