@@ -105,7 +105,6 @@ class Manifest:
     levels: list[DataFrame]
     upper: list[DataFrame]
     root: str | None
-    scratch: Scratch
 
     def records(self) -> DataFrame:
         """The store: (digest, children) of each node that isn't a leaf, each once."""
@@ -116,24 +115,25 @@ class Manifest:
 
     def proofs(self, requests: DataFrame | None = None) -> DataFrame:
         """(kept, leaf, subroot, root, path) of all leaves, or of those whose digests are the column `leaf` of `requests`. A path has segments (left, right) from the leaf up."""
+        scratch = Scratch(self.leaves.sparkSession, "merkle_proofs")
         leaves, asked, wanted = self.leaves, None, lambda k: None
         if requests is not None:
             leaves = leaves.join(requests.select(F.col("leaf").alias("digest")).distinct(), "digest", "left_semi")
-            asked = self.scratch.save(leaves.select("grp", "place").distinct(), "asked")
+            asked = scratch.save(leaves.select("grp", "place").distinct(), "asked")
             wanted = lambda k: asked.select("grp", F.shiftright("place", _DIGIT * k).alias("place")).distinct()
         subroots = self.subroots if asked is None else self.subroots.join(asked.select("grp").distinct(), "grp", "left_semi")
         # from the root to the subroots, by the digits of their ordinals
         front = self.subroots.sparkSession.range(1 if self.root else 0).select(F.lit("").alias("grp"), F.lit(0).cast("long").alias("place"), F.lit(self.root).alias("digest"), F.expr(_NO_PATH).alias("path"))
         for k in range(len(self.upper) - 1, -1, -1):
             some = None if asked is None else subroots.select(F.lit("").alias("grp"), F.shiftright("ordinal", _DIGIT * k).alias("place")).distinct()
-            front = self.scratch.save(_step(front, self.upper[k], some), f"upper-front-{k}")
+            front = scratch.save(_step(front, self.upper[k], some), f"upper-front-{k}")
         tops = front.select(F.col("place").alias("ordinal"), "path").join(subroots, "ordinal")
-        tops = self.scratch.save(tops.select("grp", F.lit(0).cast("long").alias("place"), "digest", "path", "height"), "begin")
+        tops = scratch.save(tops.select("grp", F.lit(0).cast("long").alias("place"), "digest", "path", "height"), "begin")
         # from the subroots to the runs of leaves, by the digits of ranks
         nodes = ("grp", "place", "digest", "path")
         front = tops.filter(F.col("height") == max(1, len(self.levels))).select(*nodes)
         for k in range(len(self.levels) - 1, 0, -1):
-            front = self.scratch.save(_step(front, self.levels[k], wanted(k)), f"front-{k}")
+            front = scratch.save(_step(front, self.levels[k], wanted(k)), f"front-{k}")
             front = front.unionAll(tops.filter(F.col("height") == k).select(*nodes))
         runs = tops.filter("height = 0").select("grp", F.col("place").alias("run"), "path", F.lit(None).cast("array<string>").alias("children"))
         if self.levels:
@@ -165,7 +165,7 @@ def manifest(df: DataFrame, columns: list[str], group: str, order: str, keep: li
     over = subroots.select(F.lit("").alias("grp"), F.lit(n).cast("long").alias("n"), F.col("ordinal").alias("place"), "digest")
     top, upper = _tree(over, n, scratch, "upper")
     root = top.first()
-    return Manifest(leaves, subroots, levels, upper, root.digest if root else None, scratch)
+    return Manifest(leaves, subroots, levels, upper, root.digest if root else None)
 
 
 def op13_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
