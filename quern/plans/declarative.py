@@ -10,9 +10,12 @@ only order the writes.
 
 from __future__ import annotations
 
+import heapq
 import importlib
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable
 from functools import wraps
+from graphlib import CycleError, TopologicalSorter
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,41 +67,55 @@ def pipeline(name: str | None = None):
     return wrap
 
 
+def _repeated(items: Iterable[Any]) -> list[Any]:
+    return [x for x, n in Counter(items).items() if n > 1]
+
+
+def faults(spec: dict[str, Any]) -> dict[str, list[Any]]:
+    """All faults of a document, as the ids or edges (from, to, kind) that have them, by name of the fault; empty lists for faults it hasn't.
+
+    Each is a set over the table of nodes or of edges, as if they were relations; none hides another.
+    """
+    kinds = {n["id"]: n["kind"] for n in spec["nodes"]}
+    rows = [(e["from"], e["to"], e.get("kind", "data"), e.get("boundary", "none")) for e in spec.get("edges", [])]
+    inputs = Counter(to for _, to, kind, _ in rows if kind == "data")
+    fed = {i: inputs[i] for i in kinds}
+    found = {
+        "repeated ids": _repeated(n["id"] for n in spec["nodes"]),
+        f"ids that begin with {RESERVED}": [i for i in kinds if i.startswith(RESERVED)],
+        f"kinds other than {', '.join(KINDS)}": [i for i, kind in kinds.items() if kind not in KINDS],
+        "edges of nodes that aren't there": [r[:3] for r in rows if not {r[0], r[1]} <= kinds.keys()],
+        "repeated edges": _repeated(r[:3] for r in rows),
+        "checkpoints on control edges": [r[:3] for r in rows if r[2:] == ("control", "checkpoint")],
+        "reads with a data input": [i for i, n in fed.items() if n and kinds[i] == "read_parquet"],
+        "nodes other than reads without exactly one data input": [i for i, n in fed.items() if n != 1 and kinds[i] != "read_parquet"],
+    }
+    try:
+        found["cycles"] = []
+        TopologicalSorter(_parents(spec)).prepare()
+    except CycleError as e:
+        found["cycles"] = [tuple(e.args[1])]
+    return found
+
+
+def _parents(spec: dict[str, Any]) -> dict[str, set[str]]:
+    edges = spec.get("edges", [])
+    return {n["id"]: {e["from"] for e in edges if e["to"] == n["id"]} for n in spec["nodes"]}
+
+
 def checked(spec: dict[str, Any]) -> list[str]:
-    """Node ids in an order that keeps all edges; raises on a fault."""
-    ids = [n["id"] for n in spec["nodes"]]
-    if len(ids) != len(set(ids)):
-        raise PlanError("node ids must be unique")
-    if any(i.startswith(RESERVED) for i in ids):
-        raise PlanError(f"names that begin with {RESERVED} are reserved")
-    if bad := [n["kind"] for n in spec["nodes"] if n["kind"] not in KINDS]:
-        raise PlanError(f"unknown kinds: {bad}")
-    edges, seen = spec.get("edges", []), set()
-    for e in edges:
-        kind = e.get("kind", "data")
-        if e["from"] not in ids or e["to"] not in ids:
-            raise PlanError(f"an edge names an unknown node: {e['from']} > {e['to']}")
-        if e["from"] == e["to"]:
-            raise PlanError("an edge may not lead to its own node")
-        if (key := (e["from"], e["to"], kind)) in seen:
-            raise PlanError(f"repeated edge: {e['from']} > {e['to']}")
-        seen.add(key)
-        if kind == "control" and e.get("boundary") == "checkpoint":
-            raise PlanError("checkpoints are for data edges only")
-    into = {i: [e["from"] for e in edges if e["to"] == i] for i in ids}
-    data_in = {i: [e["from"] for e in edges if e["to"] == i and e.get("kind", "data") == "data"] for i in ids}
-    for n in spec["nodes"]:
-        wanted = 0 if n["kind"] == "read_parquet" else 1
-        if len(data_in[n["id"]]) > 1:
-            raise PlanError(f"{n['id']} has several data inputs")
-        if len(data_in[n["id"]]) != wanted:
-            raise PlanError(f"{n['id']} needs {wanted} data inputs")
+    """Node ids in an order that keeps all edges, by id where edges leave it open; raises with all faults of the document."""
+    if found := {name: where for name, where in faults(spec).items() if where}:
+        raise PlanError("; ".join(f"{name}: {', '.join(map(str, where))}" for name, where in found.items()))
+    waiting = TopologicalSorter(_parents(spec))
+    waiting.prepare()
     order: list[str] = []
-    while len(order) < len(ids):
-        free = sorted(i for i in ids if i not in order and all(p in order for p in into[i]))
-        if not free:
-            raise PlanError("the pipeline has a cycle")
-        order.append(free[0])
+    ready: list[str] = []
+    while waiting.is_active():
+        for i in waiting.get_ready():
+            heapq.heappush(ready, i)
+        order.append(heapq.heappop(ready))
+        waiting.done(order[-1])
     return order
 
 

@@ -219,6 +219,47 @@ def b3(spark, d):
     return files.groupBy("folder").agg(F.count("*").cast("int").alias("files"), (F.min("size") > 0).alias("sized"))
 
 
+LINE = "CONCAT(CAST(o_orderkey AS STRING), '|', CAST(o_custkey AS STRING), '|', o_orderstatus, '|', o_orderpriority)"
+FOLDER = "CAST(FLOOR(o_orderkey / 20000) AS BIGINT)"
+CHANGED = f"CASE WHEN o_orderkey % 20000 < 100 AND {FOLDER} % 3 = 0 THEN CONCAT(SUBSTR({LINE}, 1, LENGTH({LINE}) - 1), '?') ELSE {LINE} END"
+
+
+def lines_of_orders(spark, d, line: str, uri: str):
+    """Orders as lines of text, one file for each 20,000 keys, lines in order of keys; its manifest, with those keys in place of names."""
+    rows = table(spark, d, "orders").selectExpr(f"{FOLDER} AS folder", "o_orderkey", f"{line} AS line")
+    rows.repartition("folder").sortWithinPartitions("folder", "o_orderkey").drop("o_orderkey").write.partitionBy("folder").text(uri)
+    return publication.manifest(spark, uri).withColumn("name", F.regexp_extract("name", r"folder=(\d+)/", 1))
+
+
+@R.add("b3_content_digests", f"SELECT CAST({FOLDER} AS STRING) AS name, CAST(SUM(LENGTH({LINE}) + 1) AS BIGINT) AS size, SHA256(STRING_AGG(CONCAT({LINE}, CHR(10)), '' ORDER BY o_orderkey)) AS etag FROM orders GROUP BY {FOLDER}")
+def b3_digests(spark, d):
+    """The digest of each file of a dataset, from its bytes."""
+    return lines_of_orders(spark, d, LINE, Scratch(spark, "digests").path("lines")).select("name", "size", "etag")
+
+
+@R.add("b4_changed_bytes", f"SELECT name, same_size, before <> after AS changed, TRUE AS whole_differs, TRUE AS copy_agrees FROM (SELECT CAST({FOLDER} AS STRING) AS name, SHA256(STRING_AGG({LINE}, '' ORDER BY o_orderkey)) AS before, SHA256(STRING_AGG({CHANGED}, '' ORDER BY o_orderkey)) AS after, SUM(LENGTH({LINE})) = SUM(LENGTH({CHANGED})) AS same_size FROM orders GROUP BY {FOLDER}) q")
+def b4_changed(spark, d):
+    """Some bytes of some files are changed: which files differ, though names and sizes agree, and whether the fingerprint of all tells."""
+    scratch = Scratch(spark, "changed")
+    one, two, copy = (scratch.save(lines_of_orders(spark, d, line, scratch.path(name)), f"{name}-files") for name, line in (("one", LINE), ("two", CHANGED), ("copy", LINE)))
+    prints = [publication.fingerprint(files)[1] for files in (one, two, copy)]
+    both = one.join(two.select("name", F.col("size").alias("size2"), F.col("etag").alias("etag2")), "name")
+    return both.select("name", (F.col("size") == F.col("size2")).alias("same_size"), (F.col("etag") != F.col("etag2")).alias("changed"), F.lit(prints[0] != prints[1]).alias("whole_differs"), F.lit(prints[0] == prints[2]).alias("copy_agrees"))
+
+
+@R.add("b7_concurrent_attempts", "SELECT o_orderkey, o_custkey, 3 AS attempt FROM orders")
+def b7_concurrent(spark, d):
+    """Three attempts commit the same output, each step of one between steps of the others; the one that gets to the marker first wins, and all read its dataset."""
+    base = Scratch(spark, "attempts").base
+    uri = publication.committed_path(base, "run-1", "orders")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    steps = [publication.committing(spark, publication.stage(orders.withColumn("attempt", F.lit(k)), base, "run-1", "orders", k), uri) for k in (1, 2, 3)]
+    for attempt, times in ((0, 2), (1, 3), (2, 2), (0, 1), (2, 9), (1, 9), (0, 9)):
+        for _ in range(times):
+            next(steps[attempt], None)
+    return publication.read_committed(spark, uri)
+
+
 @R.add("b9_delete_prefix", "SELECT o_orderstatus, COUNT(*) AS n, TRUE AS deleted, 0 AS again FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus")
 def b9(spark, d):
     """One folder of a dataset is deleted; others stay, and a second deletion finds nothing."""
@@ -232,7 +273,7 @@ def b9(spark, d):
 
 @R.add("b5_published_size", "SELECT COUNT(*) AS row_count, CAST(7 AS INT) AS columns, TRUE AS committed FROM lineitem")
 def b5(spark, d):
-    """Stage, commit and read back; what the commit recorded."""
+    """Stage, commit and read back; what the commit recorded, whose rows were counted as they were written."""
     base = Scratch(spark, "publish").base
     uri = publication.committed_path(base, "run-1", "lines")
     done = publication.commit(spark, publication.stage(table(spark, d, "lineitem").select(*COLUMNS), base, "run-1", "lines", 1), uri)

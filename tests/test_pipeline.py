@@ -121,6 +121,21 @@ def test_more_faulty_documents():
             declarative.checked(spec)
 
 
+def test_all_faults_at_once():
+    """Faults don't hide one another."""
+    spec = {
+        "nodes": [{"id": "a", "kind": "read_parquet"}, {"id": "a", "kind": "read_parquet"}, {"id": "__quern_b", "kind": "join"}, {"id": "c", "kind": "filter"}, {"id": "d", "kind": "filter"}],
+        "edges": [{"from": "a", "to": "gone"}, {"from": "c", "to": "d"}, {"from": "d", "to": "c"}, {"from": "c", "to": "d"}, {"from": "d", "to": "a", "kind": "control", "boundary": "checkpoint"}, {"from": "c", "to": "a"}],
+    }
+    found = declarative.faults(spec)
+    assert all(found.values()) and found["repeated edges"] == [("c", "d", "data")] and set(found["cycles"][0]) == {"c", "d"}
+    with pytest.raises(declarative.PlanError) as e:
+        declarative.checked(spec)
+    assert all(name in str(e.value) for name in found)
+    fine = {"nodes": [{"id": i, "kind": k} for i, k in (("w", "write_parquet"), ("b", "read_parquet"), ("a", "filter"), ("c", "read_parquet"))], "edges": [{"from": "b", "to": "a"}, {"from": "a", "to": "w"}, {"from": "c", "to": "b", "kind": "control"}]}
+    assert not any(declarative.faults(fine).values()) and declarative.checked(fine) == ["c", "b", "a", "w"]
+
+
 def test_plans(spark, seed, tmp_path):
     read, some, write = {"id": "r", "kind": "read_parquet", "config": {"path": seed}}, {"id": "f", "kind": "filter", "config": {"expr": "value < 9"}}, {"id": "w", "kind": "write_parquet", "config": {"path": str(tmp_path / "out")}}
     assert declarative.execute(spark, declarative.plan_document([read, some, write]), str(tmp_path), "r")["w"].count() == 9
@@ -159,9 +174,72 @@ def test_publication(spark, tmp_path):
         publication.commit(spark, staged, uri, file_format="csv")
     with pytest.raises(publication.PublicationError):
         publication.commit(spark, str(tmp_path / "nothing"), uri)
-    # a second commit replaces the files of the first
-    again = publication.commit(spark, publication.stage(spark.range(7), base, "run 1", "a/b", 2), uri)
+    # the first commit stays, unless it is to be replaced
+    second = publication.stage(spark.range(7), base, "run 1", "a/b", 2)
+    assert publication.commit(spark, second, uri) == done and publication.read_committed(spark, uri).count() == 100
+    again = publication.commit(spark, second, uri, replace=True)
     assert again.row_count == publication.read_committed(spark, uri).count() == 7
+    assert publication.clear_leftovers(spark, uri) == 1 and publication.read_committed(spark, uri).count() == 7
+
+
+def _run(steps, n):
+    """n steps of a commit; its result if it has ended."""
+    for _ in range(n):
+        try:
+            next(steps)
+        except StopIteration as e:
+            return e.value
+    return None
+
+
+@pytest.mark.parametrize("before", range(6))
+def test_two_commits_interleaved(spark, tmp_path, before):
+    """One attempt does some steps, another some or all, then both end: one has won, its data is whole and both know it."""
+    staged = [publication.stage(spark.range(n).coalesce(1), str(tmp_path), "r", "n", k + 1) for k, n in enumerate((10, 20))]
+    for between in range(1, 6):
+        uri = str(tmp_path / f"committed-{between}")
+        one, two = (publication.committing(spark, s, uri) for s in staged)
+        results = [_run(one, before), _run(two, between)]
+        assert not publication.is_committed(spark, uri) or publication.read_committed(spark, uri).count() in (10, 20)
+        results = [results[0] or _run(one, 9), results[1] or _run(two, 9)]
+        first = 0 if before >= 4 or between < 4 else 1  # who came to the marker first
+        assert results[0] == results[1] == publication.committed_as(spark, uri) and results[0].source == staged[first]
+        assert publication.read_committed(spark, uri).count() == results[0].row_count == (10, 20)[first]
+        assert sorted(os.listdir(uri)) == sorted([publication.MARKER, f".{publication.MARKER}.crc", results[0].folder]) or sorted(os.listdir(uri)) == sorted([publication.MARKER, results[0].folder])
+
+
+def test_marker_is_made_once(spark, tmp_path):
+    """Of many that create one file at once, one does, and the file is whole."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    uri = str(tmp_path / "marker")
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda k: publication.create_once(spark, uri, {"k": k}), range(40)))
+    assert sum(made) == 1 and json.load(open(uri))["k"] == made.index(True)
+
+
+def test_contents_are_identity(spark, tmp_path):
+    """Files with the same names and sizes but another byte have another fingerprint; copies have the same."""
+    uri = tmp_path / "data"
+    spark.range(1000).repartition(5).write.parquet(str(uri))
+    before = publication.fingerprint(publication.manifest(spark, str(uri)))
+    assert before == publication.fingerprint(publication.manifest(spark, str(uri))) and before[2] == 5
+    file = sorted(uri.glob("*.parquet"))[0]
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 1
+    file.write_bytes(data)
+    for crc in uri.glob(".*.crc"):
+        crc.unlink()
+    after = publication.fingerprint(publication.manifest(spark, str(uri)))
+    assert (before[0], before[2]) == (after[0], after[2]) and before[1] != after[1]
+
+
+def test_rows_are_counted_while_written(spark, tmp_path):
+    """The staged data is scanned for its bytes only; without the record of its rows it is counted."""
+    staged = publication.stage(spark.range(50), str(tmp_path), "r", "n", 1)
+    assert json.load(open(f"{staged}/{publication.STAGED}"))["rows"] == 50
+    os.unlink(f"{staged}/{publication.STAGED}")
+    assert publication.commit(spark, staged, str(tmp_path / "c")).row_count == 50
 
 
 def test_deletion_stays_in_its_folder(spark, tmp_path):
