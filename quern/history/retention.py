@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.states import is_terminal
@@ -55,18 +55,30 @@ def candidates(owned: DataFrame, w: Windows, now: Column, order: list[str], limi
 
 
 def after(rows: DataFrame, order: list[str], last: tuple | None, limit: int) -> DataFrame:
-    """Keyset scan: the next `limit` rows after the key `last`; from the start when `last` is None or nothing follows it."""
-    if last is None:
-        return rows.orderBy(*order).limit(limit)
-    later = None
-    for k in range(len(order)):
-        part = F.col(order[k]) > F.lit(last[k])
-        for j in range(k):
-            part = part & (F.col(order[j]) == F.lit(last[j]))
-        later = part if later is None else later | part
-    top = rows.withColumn("__later", F.coalesce(later, F.lit(False))).orderBy(F.desc("__later"), *order).limit(limit)
-    some = top.withColumn("__some", F.max("__later").over(Window.partitionBy()))  # `limit` rows
-    return some.filter(F.col("__later") | ~F.col("__some")).drop("__later", "__some").orderBy(*order)
+    """Keyset scan: the next `limit` rows after the key `last`; from the start when `last` is None or nothing follows it.
+
+    The key is a filter that reaches the scan, so a table written by `write_clustered` is read from the key's row group on. Only
+    where nothing follows, which one row of the same scan tells, is the table's beginning read.
+    """
+    if last is not None:
+        later = rows.filter(follows(order, last))
+        if not later.isEmpty():
+            rows = later
+    return rows.orderBy(*order).limit(limit)
+
+
+def follows(order: list[str], last: tuple) -> Column:
+    """Whether a row's key comes after `last`. The first part is said once more on its own, for scans that skip by one column."""
+    later = F.lit(False)
+    for k in range(len(order) - 1, -1, -1):
+        column, value = F.col(order[k]), F.lit(last[k])
+        later = (column > value) | ((column == value) & later) if k < len(order) - 1 else column > value
+    return (F.col(order[0]) >= F.lit(last[0])) & later
+
+
+def write_clustered(rows: DataFrame, path: str, order: list[str], **options: str) -> None:
+    """Write rows in order of a key, files and row groups too, so that filters on it skip the others."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**options).parquet(path)
 
 
 def targets(owned: DataFrame, w: Windows, now: Column, committed_at: str = "finished_at") -> DataFrame:

@@ -2,52 +2,83 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.selection import positions
 from quern.sources.shared import Scratch
 
 
 def unsatisfied(requests: DataFrame, groups: DataFrame, keys: dict[str, str], kind: tuple[str, str] | None = None, satisfied: bool = False) -> DataFrame:
     """Requests that no worker group can hold (or those that one can): every amount of `keys` (request: group) must fit; null asks for nothing.
 
-    `kind` (request column, group column): a request that names a kind needs a group of that kind. With one or two amounts, requests
-    and groups are one stream by falling first amount, range-partitioned: a request fits if the largest second amount
-    so far is enough. Of what lies in other ranges only one number a range is looked at. More amounts have no such
-    order: then the groups' distinct amounts are compared with each request, so that should be a short list.
+    `kind` (request column, group column): a request that names a kind needs a group of that kind. Only distinct requests are looked at.
+    All amounts but two are turned into kinds (see `_as_kinds`), the last two are one sorted stream (see `_dominated`). So time is that of sorting,
+    times a logarithm for each amount beyond two, and no request meets groups one by one.
     """
-    if len(keys) > 2:
-        return _by_pairs(requests, groups, keys, kind, satisfied)
-    (r1, g1), *more = keys.items()
-    r2, g2 = (F.coalesce(requests[more[0][0]], F.lit(0)), groups[more[0][1]]) if more else (F.lit(0), F.lit(0))
+    scratch, n = Scratch(requests.sparkSession, "capacity"), len(keys)
     any_kind = F.lit("*")
     wanted = F.coalesce(F.concat(F.lit("="), requests[kind[0]].cast("string")), any_kind) if kind else any_kind
     offered = F.array(any_kind, F.concat(F.lit("="), groups[kind[1]].cast("string"))) if kind else F.array(any_kind)
-    row = F.struct(*requests.columns)
-    offers = groups.select(F.explode(offered).alias("kind"), groups[g1].alias("x"), g2.alias("y"), F.lit(0).alias("asks")).filter("kind is not null and x is not null and y is not null").distinct()
-    offers = offers.withColumn("row", F.lit(None).cast(requests.select(row).schema[0].dataType))
-    asked = requests.select(wanted.alias("kind"), F.coalesce(requests[r1], F.lit(0)).alias("x"), r2.alias("y"), F.lit(1).alias("asks"), row.alias("row"))
-    order = ["kind", F.desc("x"), "asks"]
-    both = offers.unionByName(asked).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    both = Scratch(requests.sparkSession, "capacity").save(both, "stream")
+    amounts = [f"a{k}" for k in range(n)]
+    asked = requests.select(wanted.alias("kind"), *(F.coalesce(requests[r], F.lit(0)).alias(a) for r, a in zip(keys, amounts, strict=True))).distinct()
+    asked = scratch.save(asked.withColumn("id", F.monotonically_increasing_id()), "asked")
+    offers = groups.select(F.explode(offered).alias("kind"), *(groups[g].alias(a) for g, a in zip(keys.values(), amounts, strict=True))).dropna().distinct()
+    asks = asked
+    while len(amounts) > 2:
+        asks, offers = _as_kinds(asks, offers, amounts.pop(0), scratch)
+    if n == 1:
+        asks, offers, amounts = asks.withColumn("a1", F.lit(0)), offers.withColumn("a1", F.lit(0)), ["a0", "a1"]
+    fits = _dominated(asks.select("kind", F.col(amounts[0]).alias("x"), F.col(amounts[1]).alias("y"), "id"), offers.select("kind", F.col(amounts[0]).alias("x"), F.col(amounts[1]).alias("y")), scratch)
+    able = asked.join(fits, "id", "left_semi").drop("id")
+    names = [fresh_name(requests, c) for c in able.columns]
+    marked = requests.withColumns({names[0]: wanted, **{c: F.coalesce(requests[r], F.lit(0)) for c, r in zip(names[1:], keys, strict=True)}})
+    return marked.join(able.toDF(*names), names, "left_semi" if satisfied else "left_anti").select(*(F.col(f"`{c}`") for c in requests.columns))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def _as_kinds(asks: DataFrame, offers: DataFrame, amount: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Do without an amount: an offer's is at least an ask's in just those pairs whose rows have one kind in common in the result.
+
+    All values of the amount are numbered in order, offers' numbers raised by one. Then the offer has enough if its number exceeds the
+    ask's, that is if there is a bit that it has and the ask has not, with all higher bits equal. So each row goes under one kind for each
+    such bit: the old kind, the bit's place and the bits above.
+    """
+    values = asks.select(F.col(amount).alias("value")).unionAll(offers.select(F.col(amount).alias("value"))).distinct()
+    placed, n = positions(values, ["value"], "place")
+    placed = scratch.save(placed, f"{amount}-places")
+
+    def spread(df: DataFrame, number: Column, bit: int, name: str) -> DataFrame:
+        rows = df.join(placed.withColumnRenamed("value", amount), amount).withColumn("number", number)
+        bits = F.filter(F.sequence(F.lit(0), F.lit(n.bit_length())), lambda b: F.call_function("shiftright", F.col("number"), b).bitwiseAND(F.lit(1)) == bit)
+        each = rows.withColumn("bit", F.explode(bits))
+        under = F.concat_ws("|", "kind", F.col("bit").cast("string"), F.call_function("shiftright", F.col("number"), F.col("bit") + 1).cast("string"))
+        return scratch.save(each.withColumn("kind", under).drop("place", "number", "bit", amount), f"{amount}-{name}")
+
+    return spread(asks, F.col("place"), 0, "asks"), spread(offers, F.col("place") + 1, 1, "offers").distinct()
+
+
+def _dominated(asks: DataFrame, offers: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id) of asks (kind, x, y, id) for which some offer (kind, x, y) of their kind has at least as much of both.
+
+    Both are one stream by falling x, offers first, range-partitioned: an ask fits if the largest y of offers so far is enough. Of what
+    lies in other ranges only one number a range is looked at. Asks with one x go to many ranges, by their ids.
+    """
+    offers = offers.groupBy("kind", "x").agg(F.max("y").alias("y"))
+    both = offers.select("kind", "x", "y", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("id")).unionByName(asks.withColumn("asks", F.lit(1)))
+    order = ["kind", F.desc("x"), "asks", "id"]
+    both = scratch.save(both.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "stream")
     offer = F.when(F.col("asks") == 0, F.col("y"))
     before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     tops = both.groupBy("kind", "part").agg(F.max(offer).alias("top")).withColumn("above", F.max("top").over(before)).select("kind", "part", "above")
     inside = Window.partitionBy("kind", "part").orderBy(F.desc("x"), "asks").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     best = both.withColumn("best", F.max(offer).over(inside)).join(tops, ["kind", "part"]).filter("asks = 1")
-    fits = F.coalesce(F.greatest("best", "above") >= F.col("y"), F.lit(False))
-    return best.filter(fits if satisfied else ~fits).select("row.*")
-
-
-def _by_pairs(requests: DataFrame, groups: DataFrame, keys: dict[str, str], kind: tuple[str, str] | None, satisfied: bool) -> DataFrame:
-    amounts = list(keys.values())
-    edge = groups.groupBy(*([kind[1]] if kind else []), *amounts[:-1]).agg(F.max(amounts[-1]).alias(amounts[-1]))
-    fits = reduce(lambda a, b: a & b, (F.coalesce(requests[r], F.lit(0)) <= edge[g] for r, g in keys.items()))
-    if kind:
-        fits = fits & (requests[kind[0]].isNull() | (requests[kind[0]] == edge[kind[1]]))
-    return requests.join(edge, fits, "left_semi" if satisfied else "left_anti")
+    return best.filter(F.greatest("best", "above") >= F.col("y")).select("id").distinct()
 
 
 def in_force(rows: DataFrame, revisions: DataFrame, key: str, at: str, since: str, fields: list[str], block_s: int = 30 * 86_400) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.states import WAITING_UNIT_STATES, is_terminal
-from quern.plans.segments import segments
+from quern.operators.reach import reaching
 from quern.sources.shared import Scratch
 
 
@@ -30,30 +30,14 @@ def ready_units(units: DataFrame, depends_on: str, unit: str = "unit_no", run: s
 def cancelled_by_upstream(units: DataFrame, depends_on: str, unit: str = "unit_no", run: str = "run_id") -> DataFrame:
     """The next snapshot: pending units below a failed or cancelled one, at any distance through pending ones, are cancelled.
 
-    A pending unit with one dependency is hit if the head of its chain of such units is, so chains are shortened by
-    pointer doubling, in log2(length) joins. Only units with several dependencies need a join for each level
-    of theirs. What has been reached is written each round and takes the place of the last.
+    They are reached in rounds that grow with the logarithm of their depth (see `quern.operators.reach`).
     """
     scratch = Scratch(units.sparkSession, "cancel")
-    deps = dependencies(units, depends_on, unit, run).select(run, unit, "dep").distinct()
-    pending = units.filter("status = 'PENDING'").select(run, unit)
-    deps = scratch.save(deps.join(pending, [run, unit], "left_semi"), "deps")
-    single = deps.groupBy(run, unit).agg(F.count("*").alias("n"), F.min("dep").alias("dep")).filter("n = 1")
-    links = deps.select(run, F.col("dep").alias("node")).unionAll(deps.select(run, unit)).distinct().join(single.select(run, F.col(unit).alias("node"), F.col("dep").alias("parent")), [run, "node"], "left")
-    heads = scratch.save(segments(links.select(run, "node", "parent"), run), "heads").filter("segment is not null")
-    several = deps.join(single.select(run, unit), [run, unit], "left_anti").join(heads.withColumnRenamed("node", "dep"), [run, "dep"]).select(run, unit, F.col("segment").alias("dep"))
-    several = scratch.save(several, "several")
-    hit = scratch.save(units.filter("status in ('FAILED', 'CANCELLED')").select(run, F.col(unit).alias("dep")), "hit-0")
-    k = 0
-    while True:
-        below = several.join(hit, [run, "dep"], "left_semi").select(run, F.col(unit).alias("dep")).distinct().join(hit, [run, "dep"], "left_anti")
-        below = scratch.save(below, f"below-{k}")
-        if below.isEmpty():
-            break
-        k += 1
-        hit = scratch.save(hit.unionAll(below), f"hit-{k}")
-        scratch.drop(f"hit-{k - 1}", f"below-{k - 1}")
-    reached = heads.join(hit.withColumnRenamed("dep", "segment"), [run, "segment"], "left_semi").select(run, F.col("node").alias(unit), F.lit(True).alias("__hit"))
+    deps = dependencies(units, depends_on, unit, run).select(run, F.col(unit).alias("node"), F.col("dep").alias("on"))
+    pending = units.filter("status = 'PENDING'").select(run, F.col(unit).alias("node"))
+    bad = units.filter("status in ('FAILED', 'CANCELLED')").select(run, F.col(unit).alias("node"))
+    hit = reaching(deps.join(pending, [run, "node"], "left_semi"), bad, run, scratch)
+    reached = hit.select(run, F.col("node").alias(unit), F.lit(True).alias("__hit"))
     return units.join(reached, [run, unit], "left").withColumn("status", F.when(F.col("__hit") & (F.col("status") == "PENDING"), "CANCELLED").otherwise(F.col("status"))).select(*units.columns)
 
 

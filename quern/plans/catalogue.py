@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources.shared import Scratch
+from quern.operators.reach import endless_nodes
 
 RESERVED = "__quern_"
 
@@ -38,23 +38,10 @@ def faults(nodes: DataFrame, edges: DataFrame, pipeline: str = "pipeline_id", re
 def cyclic_nodes(edges: DataFrame, pipeline: str = "pipeline_id") -> DataFrame:
     """(pipeline, node) of nodes that lie on a cycle or between cycles, self edges included.
 
-    Edges whose source nothing enters are peeled off, then edges whose target nothing leaves, until none is left
-    to peel: what remains runs from cycle to cycle. Three levels of either kind go in a job, whose result is written to the
-    shared folder.
+    These are the nodes from which edges go on for ever both ways. Backwards first; of the nodes that are left, which are few if the
+    pipelines are sound, forwards. Rounds don't grow with the longest chain (see `quern.operators.reach`).
     """
-    scratch = Scratch(edges.sparkSession, "cycles")
-    left = scratch.save(edges.select(pipeline, "src", "dst").distinct(), "edges-0")
-    n, k = left.count(), 0
-    while n:
-        for _ in range(3):
-            into = left.select(pipeline, F.col("dst").alias("src")).distinct()
-            out = left.select(pipeline, F.col("src").alias("dst")).distinct()
-            left = left.join(into, [pipeline, "src"], "left_semi").join(out, [pipeline, "dst"], "left_semi").select(pipeline, "src", "dst")
-        k += 1
-        left = scratch.save(left, f"edges-{k}")
-        scratch.drop(f"edges-{k - 1}")
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    return left.select(pipeline, F.col("src").alias("node")).distinct()
+    back = endless_nodes(edges.select(pipeline, F.col("dst").alias("node"), F.col("src").alias("on")), pipeline)
+    left = edges.select(pipeline, F.col("src").alias("node"), F.col("dst").alias("on"))
+    left = left.join(back, [pipeline, "node"], "left_semi").join(back.withColumnRenamed("node", "on"), [pipeline, "on"], "left_semi")
+    return endless_nodes(left, pipeline)

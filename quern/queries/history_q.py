@@ -10,6 +10,8 @@ from quern.functions.states import ATTEMPT_STATES, UNIT_STATES
 from quern.history import audit, listings, retention
 from quern.queries.views import Registry, view
 from quern.sources.publication import abort_rows, committed_only, first_commit
+from quern.sources.shared import Scratch
+from quern.sources.snapshots import Snapshots
 
 R = Registry({}, {})
 NOW = "TIMESTAMP '2002-01-01 00:00:00'"
@@ -198,6 +200,24 @@ def c20(spark, d):
     return retention.upsert_targets(view(spark, d, "h_gc_targets"), retention.targets(owned(spark, d), WINDOWS, ts(NOW)))
 
 
+CHANGES = "run_id % 40 = 7"
+
+
+@R.add("c20_next_version", f"""
+    SELECT run_id, node_id, attempt_number, target_kind, CASE WHEN {CHANGES} THEN CONCAT(uri, '/moved') ELSE uri END AS uri, eligible_at, attempts, state FROM h_gc_targets
+    WHERE NOT ({CHANGES} AND attempts > 1)""", "h_gc_targets")
+def c20_next(spark, d):
+    """Targets of some runs get another address, some go: the next version of the table rewrites the partitions of these runs only, and is read."""
+    known = view(spark, d, "h_gc_targets")
+    known = known.select("run_id", "node_id", "attempt_number", "target_kind", "uri", "eligible_at", "attempts", "state")
+    kept = Snapshots(spark, Scratch(spark, "targets").base, ["run_id"])
+    kept.create(known)
+    some = kept.read().filter(CHANGES)
+    moved = some.filter("attempts <= 1").withColumn("uri", F.concat("uri", F.lit("/moved")))
+    kept.change(moved, some.select("run_id"))
+    return kept.read()
+
+
 @R.add("c21_work_queue", f"SELECT * FROM h_gc_work WHERE state <> 'DELETED' AND eligible_at <= {NOW} ORDER BY updated_at, eligible_at, run_id, node_id, attempt_number, target_kind LIMIT 64", "h_gc_work")
 def c21(spark, d):
     return retention.work(view(spark, d, "h_gc_work"), ts(NOW), ["updated_at", "eligible_at", *retention.KEYS, "target_kind"], 64)

@@ -13,7 +13,8 @@ from quern.operators import matching, rollup, selection
 from quern.plans import catalogue, segments
 from quern.queries.history_q import CANDIDATES, TERMINAL
 from quern.queries.views import Registry, table, view
-from quern.streaming.latest import latest_states
+from quern.sources.shared import Scratch
+from quern.streaming.latest import latest_states, run_to_now
 
 R = Registry({}, {})
 
@@ -249,6 +250,29 @@ def d17(spark, d):
     return matching.unsatisfied(requests, groups, {"p_size": "cpu", "p_retailprice": "memory"})
 
 
+@R.add("d17_capacity_three", """
+    SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, l.l_extendedprice, l.l_partkey FROM lineitem l
+    WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE l.l_quantity <= s.s_nationkey * 2 AND l.l_extendedprice <= s.s_acctbal * 10 AND l.l_partkey % 100 <= s.s_suppkey % 90)""")
+def d17_three(spark, d):
+    """Capacity in three amounts, of line items as requests."""
+    requests = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey", (F.col("l_partkey") % 100).alias("slots"))
+    groups = table(spark, d, "supplier").select((F.col("s_nationkey") * 2).cast("double").alias("cpu"), (F.col("s_acctbal") * 10).alias("memory"), (F.col("s_suppkey") % 90).alias("free"))
+    return matching.unsatisfied(requests, groups, {"l_quantity": "cpu", "l_extendedprice": "memory", "slots": "free"}).drop("slots")
+
+
+@R.add("d18_stream_restarted", """
+    SELECT user_id, event_type, event_id, n AS n_events FROM (
+      SELECT user_id, event_type, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r, COUNT(*) OVER (PARTITION BY user_id) AS n FROM events) q WHERE r = 1""")
+def d18_stream(spark, d):
+    """The same as a stream over a folder of files: it takes in what is there and ends, files are added, and it is started again from its checkpoint."""
+    scratch, events = Scratch(spark, "stream"), table(spark, d, "events").select("user_id", "event_type", "event_id")
+    log, target, checkpoint = (scratch.path(x) for x in ("log", "states", "checkpoint"))
+    for late in (0, 1):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == late).write.mode("append").parquet(log)
+        states = run_to_now(spark, log, target, checkpoint, events.schema, "user_id", "event_type", "event_id")
+    return states
+
+
 @R.add("d18_latest_states", """
     SELECT user_id, event_type, event_id, n AS n_events FROM (
       SELECT user_id, event_type, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r, COUNT(*) OVER (PARTITION BY user_id) AS n FROM events) q WHERE r = 1""")
@@ -299,6 +323,27 @@ def d23b(spark, d):
     return found.select("event_id", "event_type", F.round("p95", 6).alias("p95"))
 
 
+@R.add("d23_sliding_quantiles", """
+    WITH e AS (SELECT event_type, value, TIME_BUCKET(INTERVAL 30 MINUTE, created_at, TIMESTAMP '1970-01-01 00:00:00') AS step FROM h_events WHERE value IS NOT NULL),
+    w AS (SELECT event_type, value, step + INTERVAL 30 MINUTE * (1 + CAST(k AS INT)) AS window_end FROM e, (SELECT UNNEST(RANGE(12)) AS k) q)
+    SELECT event_type, window_end, COUNT(*) AS n, TRUE AS median_near, TRUE AS p95_near FROM w GROUP BY event_type, window_end""", "h_events")
+def d23_sketches(spark, d):
+    """Median and 95th percentile over sliding windows of 6 hours, by sketches, and whether their exact ranks in the window's rows are within 2 % of it."""
+    events = view(spark, d, "h_events").filter("value is not null").select("event_type", "created_at", "value")
+    found = Scratch(spark, "quantiles").save(metrics.sliding_quantiles(events, "created_at", 1800, 12, ["event_type"], "value", [0.5, 0.95]), "found")
+    step = F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / 1800)
+    rows = events.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("window_end", F.timestamp_seconds((step + F.col("k")) * 1800))
+    rows = rows.join(found.withColumnRenamed("n", "n_sketch"), ["event_type", "window_end"])
+
+    def near(k: int, share: float):
+        """The ranks that the value takes up, from below its least copy to its last, meet the share within 2 %."""
+        q = F.col("quantiles")[k]
+        return (F.count_if(F.col("value") <= q) >= F.count("*") * F.lit(share - 0.02)) & (F.count_if(F.col("value") < q) <= F.count("*") * F.lit(share + 0.02))
+
+    out = rows.groupBy("event_type", "window_end").agg(F.count("*").alias("n"), F.first("n_sketch").alias("n_sketch"), near(0, 0.5).alias("median_near"), near(1, 0.95).alias("p95_near"))
+    return out.filter("n = n_sketch").drop("n_sketch")
+
+
 @R.add("d23_rates", "SELECT TIME_BUCKET(INTERVAL 10 MINUTE, created_at, TIMESTAMP '1970-01-01 00:00:00') AS window_start, event_type, COUNT(*) AS n, COUNT(*) / 600.0::DOUBLE AS rate FROM h_events GROUP BY ALL", "h_events")
 def d23c(spark, d):
     return metrics.by_window(view(spark, d, "h_events"), "created_at", "10 minutes", ["event_type"], {"n": F.count("*"), "rate": F.count("*") / F.lit(600.0)})

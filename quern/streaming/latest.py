@@ -20,6 +20,25 @@ def stream_latest_states(spark: SparkSession, path: str, schema: StructType, key
     return latest_states(spark.readStream.schema(schema).options(**options).parquet(path), key, state, order)
 
 
+def run_to_now(spark: SparkSession, log: str, target: str, checkpoint: str, schema: StructType, key: str, state: str, order: str) -> DataFrame:
+    """Take in all files that a log folder has gained since the last run with this checkpoint, and end; the latest states so far.
+
+    Started again, it goes on where it ended or died: the checkpoint holds which files were read and the counts of each object, `target` the snapshots.
+    """
+    stream = stream_latest_states(spark, log, schema, key, state, order)
+    query = stream.writeStream.outputMode("update").foreachBatch(upsert_latest(target, key, state, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return newest_snapshot(spark, target)
+
+
+def newest_snapshot(spark: SparkSession, target: str) -> DataFrame:
+    """The snapshot of the last batch that was written whole."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{s.getPath().getName()}/_SUCCESS"))]
+    return spark.read.parquet(f"{target}/v={max(done)}")
+
+
 def upsert_latest(target: str, key: str, state: str, order: str):
     """A foreachBatch function that keeps the latest states as a Parquet snapshot; each batch writes a new version folder `v=<batch>`.
 

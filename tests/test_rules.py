@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import json
@@ -15,9 +16,9 @@ from quern.functions.canonical import canonical_fingerprint, content_fingerprint
 from quern.functions.retry import Retries, job_state
 from quern.functions.states import MOVES, moves
 from quern.history import audit, listings, retention
-from quern.operators import matching, rollup, selection
+from quern.operators import matching, reach, rollup, selection
 from quern.plans import catalogue, segments
-from quern.streaming.latest import stream_latest_states, upsert_latest
+from quern.streaming.latest import newest_snapshot, run_to_now, stream_latest_states, upsert_latest
 
 
 def greedy(rows: list[dict], n: int, free: dict[str, int], last: dict[int, int]) -> list[tuple]:
@@ -136,21 +137,32 @@ def test_capacity(spark):
 
 
 @pytest.mark.parametrize("kind", [None, ("acc", "kind")])
-@pytest.mark.parametrize("amounts", [1, 2, 3])
+@pytest.mark.parametrize("amounts", [1, 2, 3, 4])
 def test_capacity_by_brute_force(spark, kind, amounts):
     rng = random.Random(amounts)
     some = lambda top: rng.choice([None, *range(top)])
-    requests = [(k, some(9), some(9), some(9), rng.choice([None, "a", "b", "c"])) for k in range(120)]
-    groups = [(some(9), some(8), some(9), rng.choice(["a", "b", None])) for _ in range(9)]
-    keys = dict(list({"r0": "g0", "r1": "g1", "r2": "g2"}.items())[:amounts])
-    fits = {r[0] for r in requests if any(all(g[j] is not None and (r[1 + j] or 0) <= g[j] for j in range(amounts)) and (kind is None or r[4] is None or r[4] == g[3]) for g in groups)}
-    rdf = spark.createDataFrame(requests, "id int, r0 int, r1 int, r2 int, acc string")
-    gdf = spark.createDataFrame(groups, "g0 int, g1 int, g2 int, kind string")
+    requests = [(k, some(9), some(9), some(9), some(5), rng.choice([None, "a", "b", "c"])) for k in range(120)]
+    groups = [(some(9), some(8), some(9), some(6), rng.choice(["a", "b", None])) for _ in range(9)]
+    keys = dict(list({"r0": "g0", "r1": "g1", "r2": "g2", "r3": "g3"}.items())[:amounts])
+    fits = {r[0] for r in requests if any(all(g[j] is not None and (r[1 + j] or 0) <= g[j] for j in range(amounts)) and (kind is None or r[5] is None or r[5] == g[4]) for g in groups)}
+    rdf = spark.createDataFrame(requests, "id int, r0 int, r1 int, r2 int, r3 int, acc string")
+    gdf = spark.createDataFrame(groups, "g0 int, g1 int, g2 int, g3 int, kind string")
     assert sorted(r.id for r in matching.unsatisfied(rdf, gdf, keys, kind).collect()) == sorted({r[0] for r in requests} - fits)
     assert {r.id for r in matching.unsatisfied(rdf, gdf, keys, kind, satisfied=True).collect()} == fits
     assert matching.unsatisfied(rdf, gdf.limit(0), keys, kind).count() == len(requests)
 
 
+def test_capacity_has_no_nested_loop(spark):
+    """Three amounts, half of all requests alike: no plan compares requests with groups pair by pair, and clashing columns stay."""
+    requests = spark.range(2000).selectExpr("id", "if(id % 2 = 0, 5, id % 50) AS a", "id % 7 AS b", "id % 11 AS c", "'x' AS kind", "1 AS a0")
+    groups = spark.range(40).selectExpr("id AS ga", "7 - id % 8 AS gb", "id % 12 AS gc")
+    got = matching.unsatisfied(requests, groups, {"a": "ga", "b": "gb", "c": "gc"})
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and got.columns == requests.columns
+    have = [(g, 7 - g % 8, g % 12) for g in range(40)]
+    want = [i for i in range(2000) if not any((5 if i % 2 == 0 else i % 50) <= x and i % 7 <= y and i % 11 <= z for x, y, z in have)]
+    assert sorted(r.id for r in got.collect()) == want
+
+
 def test_in_force_by_brute_force(spark):
     """Hot keys, blocks without revisions, ties and nulls."""
     rng = random.Random(4)
@@ -214,6 +226,41 @@ def test_trailing_crosses_blocks(spark):
     assert got == {k: sum(0 <= k - j <= 20 for j in range(0, 100, 7)) for k in range(0, 100, 7)}
 
 
+def test_sliding_quantiles(spark):
+    """Exact for small windows; for large ones the rank error stays in its bound. Sketches are shuffled, not rows."""
+    rng = random.Random(1)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("a", start + dt.timedelta(seconds=rng.randrange(7200)), rng.gauss(0, 1)) for _ in range(300)] + [("b", start, None), ("b", start, float("nan")), ("b", None, 1.0)]
+    got = metrics.sliding_quantiles(spark.createDataFrame(rows, "l string, at timestamp, v double"), "at", 600, 3, ["l"], "v", [0.0, 0.5, 1.0]).collect()
+    for r in got:
+        inside = sorted(v for label, at, v in rows if label == "a" and dt.timedelta(0) < r.window_end - at <= dt.timedelta(seconds=1800))
+        assert r.l == "a" and r.n == len(inside) and list(r.quantiles) == [inside[0], inside[-(-len(inside) // 2) - 1], inside[-1]]
+    assert len(got) == 14
+    large = spark.range(200_000).selectExpr("timestamp_seconds(id div 100) AS at", "cast(xxhash64(id) % 1000003 AS double) AS v")
+    values = sorted(r.v for r in large.collect())
+    found = metrics.sliding_quantiles(large, "at", 500, 4, [], "v", [0.05, 0.5, 0.99])
+    (whole,) = found.filter("n = 200000").collect()
+    for share, q in zip((0.05, 0.5, 0.99), whole.quantiles, strict=True):
+        assert abs(bisect.bisect_right(values, q) / len(values) - share) < 0.01
+    assert "hashpartitioning(step" in found._jdf.queryExecution().toString()
+
+
+def test_stream_goes_on_after_its_end(spark, tmp_path):
+    """Each run takes in what is new and ends; a run with nothing new changes nothing; half a snapshot isn't read."""
+    log, out, check = (str(tmp_path / x) for x in ("log", "out", "check"))
+    schema = spark.createDataFrame([], "id int, n int, s string").schema
+    seen = {}
+    for batch in ([(1, 1, "A"), (2, 1, "A")], [(1, 3, "B"), (3, 1, "C")], [], [(1, 2, "X")]):
+        if batch:
+            spark.createDataFrame(batch, schema).write.mode("append").parquet(log)
+        for i, n, s in batch:
+            seen[i] = max(seen.get(i, (0, "")), (n, s))
+        got = run_to_now(spark, log, out, check, schema, "id", "s", "n")
+        assert {r.id: (r.n, r.s) for r in got.collect()} == seen
+    (tmp_path / "out" / "v=99").mkdir()
+    assert newest_snapshot(spark, out).count() == 3
+
+
 def test_listings(spark):
     v = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "p string, v int, t string")
     parents = spark.createDataFrame([("a",), ("b",), ("c",)], "p string")
@@ -247,3 +294,90 @@ def test_stream(spark, tmp_path):
     newest = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
     assert newest <= last
     assert {r.id: r.s for r in spark.read.parquet(f"{out}/v={newest}").collect()} == {1: "B", 2: "C", 3: "A"}
+
+
+def _brute_cycles(edges):
+    """Nodes on or between cycles, by walks."""
+    out = set()
+    for p in {e[0] for e in edges}:
+        succ = {}
+        for q, a, b in edges:
+            if q == p:
+                succ.setdefault(a, set()).add(b)
+        pred = {}
+        for a, bs in succ.items():
+            for b in bs:
+                pred.setdefault(b, set()).add(a)
+
+        def endless(step):
+            live = {n for n in {*succ, *pred}}
+            while gone := {n for n in live if not step.get(n, set()) & live}:
+                live -= gone
+            return live
+
+        out |= {(p, n) for n in endless(succ) & endless(pred)}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("growth", [0, 16])
+def test_cycles_on_random_graphs(spark, seed, growth, monkeypatch):
+    """Sparse and dense graphs, by squaring and, with no room for it, by levels."""
+    monkeypatch.setattr(reach, "GROWTH", growth)
+    rng = random.Random(seed)
+    edges = list({(p, rng.randrange(30), rng.randrange(30)) for p in range(3) for _ in range([12, 25, 40, 70][seed])})
+    got = catalogue.cyclic_nodes(spark.createDataFrame(edges, "pipeline_id int, src int, dst int"))
+    assert {(r.pipeline_id, r.node) for r in got.collect()} == _brute_cycles(edges)
+
+
+def _jobs(spark, run):
+    """Jobs that a call starts, and its result."""
+    spark.sparkContext.setJobGroup(name := f"g{random.random()}", "")
+    result = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)), result
+
+
+def test_long_chain_beside_a_cycle(spark):
+    """A chain of 10,000 nodes, one of width two as long, and a cycle: rounds by logarithm, not by length."""
+    n = 10_000
+    cycle = [(1, n + k, n + (k + 1) % 7) for k in range(7)]
+    chain = [(1, k, k + 1) for k in range(n - 1)]
+    few, found = _jobs(spark, lambda: catalogue.cyclic_nodes(spark.createDataFrame(chain + cycle, "pipeline_id int, src int, dst int")).collect())
+    assert {r.node for r in found} == {n + k for k in range(7)}
+    ladder = [(1, 2 * k + a, 2 * k + 2 + b) for k in range(n // 2 - 1) for a in (0, 1) for b in (0, 1)]
+    more, found = _jobs(spark, lambda: catalogue.cyclic_nodes(spark.createDataFrame(ladder + cycle, "pipeline_id int, src int, dst int")).collect())
+    assert {r.node for r in found} == {n + k for k in range(7)}
+    assert few < 450 and more < 450  # jobs of Spark, several of which a join may start; level by level there would be thousands
+
+
+@pytest.mark.parametrize("width,depth", [(3, 1000), (1, 1000), (40, 12)])
+def test_cancel_in_layers(spark, width, depth):
+    """Each unit needs all or some of the layer above; one unit of the first layer fails."""
+    rng = random.Random(width)
+    units, hit = [], {0}
+    for k in range(width * depth):
+        deps = [] if k < width else rng.sample(range((k // width - 1) * width, k // width * width), rng.choice([1, min(2, width), width]))
+        units.append((1, k, deps, "FAILED" if k == 0 else "PENDING"))
+        if any(d in hit for d in deps):
+            hit.add(k)
+    df = spark.createDataFrame(units, "run_id int, unit_no int, needs array<int>, status string")
+    got = rollup.cancelled_by_upstream(df, "needs").filter("status = 'CANCELLED'").collect()
+    assert {r.unit_no for r in got} == hit - {0}
+
+
+def test_pages_skip_row_groups(spark, tmp_path):
+    """The key reaches the scan, and a page late in the table reads few of its rows."""
+    path = str(tmp_path / "t")
+    rows = spark.range(40_000).select(F.floor(F.col("id") / 10).alias("t"), "id", F.repeat(F.lit("x"), 20).alias("s"))
+    retention.write_clustered(rows, path, ["t", "id"], **{"parquet.block.size": "16384", "parquet.page.size": "4096"})
+    page = retention.after(spark.read.parquet(path), ["t", "id"], (3990, 39_905), 20)
+    assert [r.id for r in page.collect()] == list(range(39_906, 39_926))
+    plan = page._jdf.queryExecution().executedPlan()
+    assert "PushedFilters: [IsNotNull(t), GreaterThanOrEqual(t,3990), Or(GreaterThan(t,3990),And(EqualTo(t,3990)," in plan.toString()
+    leaves = plan.collectLeaves()
+    if leaves.head().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        leaves = leaves.head().executedPlan().collectLeaves()
+    read = leaves.head().metrics().get("numOutputRows").get().value()
+    assert 0 < read < 20_000
+    assert [r.id for r in retention.after(spark.read.parquet(path), ["t", "id"], (3999, 39_999), 3).collect()] == [0, 1, 2]
