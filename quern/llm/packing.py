@@ -11,9 +11,9 @@ in that partition. Only one number for each partition is looked at together.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,43 +64,129 @@ def curve_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of byte_bpe_50k as the plain `tokenizers` call gives them, as bytes of little-endian 16-bit numbers.
+    """Ids of byte_bpe_50k as the plain `tokenizers` call gives them, as little-endian 16-bit numbers.
 
-    This vocabulary's pre-tokens never span a single blank between two characters that aren't white space, so a
-    text is cut there; parts are encoded once, in batches, and kept. A text that holds one of the vocabulary's special tokens is encoded whole.
+    This vocabulary's pre-tokens never span the place before a single blank or line feed between two characters that aren't white space, so a
+    text is cut there. The parts of a chunk of texts are numbered by Arrow, and new ones encoded once and kept: those without other white space
+    together, as one text in which each begins with the token that has its blank or line feed. A text that holds one of the vocabulary's special tokens,
+    or white space beyond ASCII, is encoded whole.
     """
 
-    #: Parts kept, and characters of the longest.
-    LIMIT, LONGEST = 1_000_000, 48
-    _other_space = re.compile(r"[^\S \n]")
-    _cut = re.compile(r"(?<=\S) (?=\S)")
+    #: Parts kept, and their bytes; beyond that only those stay that a second chunk had.
+    LIMIT, BYTES = 800_000, 32 << 20
+    _white = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+    #: The first two bytes of white space beyond ASCII in UTF-8 (U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000); number of each first byte.
+    _pairs = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+    _lead = np.zeros(256, np.int64)
+    _lead[[0xC2, 0xE1, 0xE2, 0xE3]] = [1, 2, 3, 4]
+    _blank = np.zeros(5 * 256, bool)
+    for _a, _b in _pairs:
+        _blank[_lead[_a] * 256 + _b] = True
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str]:
-        """Parts that are encoded on their own; all but the first begin with a blank."""
-        if any(x in text for x in self.special):
-            return [text]
-        parts = text.split(" ")
-        if "" in parts or "\n " in text or " \n" in text or self._other_space.search(text):
-            parts = self._cut.split(text)
-        return [parts[0], *(" " + x for x in parts[1:])]
+        self.special = [t.content.encode() for t in self.full.get_added_tokens_decoder().values()]
+        vocabulary = self.full.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(("Ġ", "Ċ"))]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin with no parts: number of each, and by number its ids' place and count, and the chunks that had it."""
+        self.known: dict[bytes, int] = {}
+        self.first, self.count, self.ids, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u2"), 0
+        self.chunks = np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keep what more than one chunk had, if that is not most."""
+        stay = self.chunks > 1
+        if 2 * stay.sum() > self.LIMIT:
+            return self._forget()
+        kept = [x for x, k in self.known.items() if stay[k]]  # in order of their numbers
+        self.ids = self.ids[np.repeat(stay, self.count)]
+        self.count = self.count[stay]
+        self.first, self.chunks = np.cumsum(self.count) - self.count, np.ones(len(kept), np.int64)
+        self.known, self.held = {x: k for k, x in enumerate(kept)}, sum(map(len, kept))
+
+    def parts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where parts begin in the bytes of texts; all but a text's first begin with a blank or line feed."""
+        white = self._white[data]
+        cut = (data == 32) | (data == 10)
+        cut[:1] = cut[-1:] = False
+        cut[1:-1] &= ~white[:-2] & ~white[2:]
+        inner = starts[1:-1][(starts[1:-1] > 0) & (starts[1:-1] < len(data))]
+        cut[inner] = cut[inner - 1] = False  # at a text's ends
+        for k in np.unique(np.searchsorted(starts, self._odd(data), side="right") - 1):
+            cut[starts[k] : starts[k + 1]] = False
+        cut[starts[:-1][starts[:-1] < starts[1:]]] = True
+        return np.flatnonzero(cut)
+
+    def _odd(self, data: np.ndarray) -> np.ndarray:
+        """Places of special tokens, and of characters of which some are white space beyond ASCII."""
+        raw, found = data.tobytes(), []
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(token, at + 1)
+        code = self._lead[data[:-1]] * 256 + data[1:]
+        return np.concatenate([np.array(found, np.int64), np.flatnonzero(self._blank[code])])
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Number new parts and keep their ids."""
+        ids, counts, order, rest = [], [], [], []
+        plain = [x[:1] in (b" ", b"\n") and x[1:].split() == [x[1:]] for x in parts]
+        simple = [x for x, p in zip(parts, plain, strict=True) if p]
+        bunches = [simple[k : k + 256] for k in range(0, len(simple), 256)]
+        for some, whole in zip(bunches, self.full.encode_batch_fast([b"".join(x).decode() for x in bunches], add_special_tokens=False), strict=True):
+            found = np.array(whole.ids, "<u2")
+            at = np.flatnonzero(self.begins[found])
+            if len(at) == len(some):
+                ids.append(found)
+                counts.append(np.diff(np.append(at, len(found))))
+                order += some
+            else:  # of another vocabulary
+                rest += some
+        rest += [x for x, p in zip(parts, plain, strict=True) if not p]
+        each = [np.array(e.ids, "<u2") for e in self.full.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)]
+        count = np.concatenate([self.count, *counts, np.fromiter(map(len, each), np.int64, len(each))])
+        self.known.update(zip(order + rest, range(len(self.known), len(count)), strict=True))
+        self.ids, self.count, self.first = np.concatenate([self.ids, *ids, *each]), count, np.cumsum(count) - count
+        self.held += sum(map(len, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        each = [self.parts(t) for t in texts]
-        known = self.known
-        new = list({x for parts in each for x in parts if x not in known})
-        found = {x: np.array(e.ids, "<u2").tobytes() for x, e in zip(new, self.full.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        out = [b"".join([found[x] if x in found else known[x] for x in parts]) for parts in each]
-        if len(known) < self.LIMIT:
-            known.update((x, ids) for x, ids in found.items() if len(x) <= self.LONGEST)
-        return out
+        """The ids of each text."""
+        return [ids for _, _, data, starts in chunks(pa.array(texts, pa.large_string()), TOGETHER) for ids in self.encode_chunk(data, starts)]
+
+    def _numbers(self, parts: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+
+    def encode_chunk(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """The ids of each text of a chunk."""
+        begin = self.parts(data, starts)
+        offsets = np.append(begin, len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        unique = parts.dictionary.to_pylist()
+        numbers = self._numbers(unique)
+        if len(self.known) + (numbers < 0).sum() > self.LIMIT or self.held > self.BYTES:
+            self._thin()
+            numbers = self._numbers(unique)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new = [unique[k] for k in missing.tolist()]
+            self._learn(new)
+            numbers[missing] = self._numbers(new)
+        self.chunks = np.append(self.chunks, np.zeros(len(self.count) - len(self.chunks), np.int64))
+        self.chunks[numbers] += 1
+        number = numbers[parts.indices.to_numpy()]
+        count = self.count[number]
+        end = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.repeat(self.first[number] - end[:-1], count) + np.arange(end[-1])].tobytes()
+        bounds = (2 * end[np.searchsorted(begin, starts)]).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 _encoders: dict[str | None, Encoder] = {}
@@ -115,7 +201,7 @@ def encoder(path: str | None) -> Encoder:
 
 
 #: Characters of text that are encoded together, and bytes of ids that a range should hold.
-TOGETHER, RANGE_BYTES = 1 << 20, 16 << 20
+TOGETHER, RANGE_BYTES = 4 << 20, 16 << 20
 
 
 def _encode(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -126,8 +212,7 @@ def _encode(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         row = (context.partitionId() if context else 0) << 36
         for batch in batches:
             for first, last, data, starts in chunks(batch.column(1), TOGETHER):
-                texts = [data[a:b].tobytes().decode() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                ids = [x + b"\0\0" for x in encoder(path).encode(texts)]
+                ids = [x + b"\0\0" for x in encoder(path).encode_chunk(data, starts)]
                 rows = np.arange(row, row + last - first)
                 row += last - first
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(curve_keys(data, starts)), pa.array(rows), pa.array(ids, pa.binary())], ["doc_id", "key", "row", "ids"])
