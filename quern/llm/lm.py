@@ -10,9 +10,9 @@ and the rest of the mass goes to the parent's distribution:
 The root is the smoothed distribution of words, P(x) = (c + 0.5) / (N + 0.5 (V + 1)), of which every training token counts.
 
 The tree has two parts, by the last word of a context.
-* Frequent words, with a share of MIN_WORD of all tokens: contexts with a share of MIN_CONTEXT and next words whose pair with the context has
-  one of MIN_PAIR, retained by a divergence of MIN_DIVERGENCE nats. These are bounded by their shares and broadcast. Each length takes a pass over the texts,
-  so `longest` bounds it.
+* Frequent words, with a share of MIN_WORD of all tokens: each is a context, whose next words are those frequent ones that follow it with a share of MIN_PAIR
+  of all tokens, and at least twice; with such a word it is a longer context. Retained are those with a divergence of MIN_DIVERGENCE nats. The tables are bounded by
+  the shares (at most 2 million words and contexts and 5 million pairs a length) and broadcast. Each length takes a pass over the texts, so `longest` bounds it.
 * All rarer words, whose number grows with the corpus: contexts that end with one are counted whatever their share, and retained if the next
   words, each predicted from the others (leave-one-out), are likelier than at the parent by MIN_GAIN nats in all. These tables grow with the corpus: they
   are made and joined to the texts by shuffles, one length at a time; only places whose shorter contexts were all retained go on.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import Scratch, as_bytes, fold, mix, read
 
 #: Shares of all training tokens: of a word that is broadcast, a next word in the tree, a context, and a context with its next word.
-MIN_WORD, MIN_NEXT, MIN_CONTEXT, MIN_PAIR = 5e-7, 1e-5, 1e-4, 1e-6
+MIN_WORD, MIN_NEXT, MIN_CONTEXT, MIN_PAIR = 5e-7, 5e-7, 5e-7, 2e-7
 MIN_DIVERGENCE, MIN_GAIN, DISCOUNT = 0.02, 2.0, 0.5
 #: Distinct words a task counts before it passes its counts on.
 FLUSH = 400_000
@@ -180,7 +180,7 @@ def _count_codes(docs: DataFrame, codes_of: Callable[[bytes], np.ndarray], least
     return codes[order], n[order].astype(np.float64)
 
 
-def learn(train: DataFrame, scratch: Scratch, longest: int = 2) -> tuple[DataFrame, Words, list[Level]]:
+def learn(train: DataFrame, scratch: Scratch, longest: int = 3) -> tuple[DataFrame, Words, list[Level]]:
     """Count the words of (text) and grow the part of the tree that ends with frequent words: all word counts, the frequent words, and a level for each length up to `longest`; each takes a pass over the texts."""
     spark = train.sparkSession
     counts = scratch.save(train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
@@ -216,7 +216,7 @@ def learn(train: DataFrame, scratch: Scratch, longest: int = 2) -> tuple[DataFra
 
 
 #: Words before the last one that a context of the second part may have.
-BEFORE = 4
+BEFORE = 8
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<int>, after array<struct<context:long,next:long,word:binary,p:double,before:array<long>>>"
 
 
@@ -296,7 +296,7 @@ def grown(after: DataFrame, scratch: Scratch) -> DataFrame | None:
     return None if gains is None else gains.groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, longest: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, longest: int = 3) -> DataFrame:
     """Score each text of (doc_id, text) by a tree learned from the texts outside the held-out fold.
 
     Returns doc_id, held_out, n_tokens (words and the end), n_known (those seen in training), train_tokens,
