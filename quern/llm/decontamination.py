@@ -1,10 +1,13 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of a test item is a seed. One pass over the texts finds all seeds, cuts the passages around
-them and aligns each with its item by words, which scores edited and paraphrased copies as well. Whether a
-passage is aligned depends on itself and its item alone, never on how often its seeds occur elsewhere: a
-passage is left out only if it holds so few of the item's words that no alignment can score enough. That
-takes the place of a choice of rare seeds and loses nothing.
+A seed is two words of a test item with at most one between them; a text has it if they occur there in this order, again with at most
+one between. One pass over the texts finds seeds, cuts the passages around them and aligns each with its item by words, which scores edited
+and paraphrased copies as well.
+
+Nothing is lost by that. An alignment of M matches and E edits scores 2 M - E. Of the M - 1 steps from one match to the next, those with two edits or more
+are E / 2 at most; each other step is a seed. With a score of s there are at least s / 2 - 1 seeds (at distinct words of the item), so a passage
+with fewer is left out. As many of an item's seeds can be spared as half of that number, and those that most items have are: the seeds looked for are the
+rarer ones, and a passage needs the other half of them. A passage is also left out if it holds so few of the item's words that no alignment can score enough.
 
 The test items are the stated query set: they are read in blocks of bounded size, each one an index that
 is broadcast and matched against all texts.
@@ -24,16 +27,23 @@ from quern.llm.common import Scratch, chunks, fresh, mix, read, row_key, words
 
 #: Bytes of test items in one block, on average.
 BLOCK_BYTES = 16 << 20
-SEED_WORDS, MIN_WORDS = 3, 8
+MIN_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the best score an item can have, or least score whatever the item's length.
 MIN_SHARE, MIN_SCORE = 0.4, 60
-_MULT = np.array([pow(0xC2B2AE3D27D4EB4F, j + 1, 1 << 64) for j in range(SEED_WORDS)], np.uint64)
+_MULT = np.array([pow(0xC2B2AE3D27D4EB4F, j + 1, 1 << 64) for j in range(2)], np.uint64)
+
+
+def _seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of some words: fingerprint, and place of the first word."""
+    pairs = [(h[:-k], h[k:]) for k in (1, 2) if len(h) > k]
+    place = [np.arange(len(h) - k) for k in (1, 2) if len(h) > k]
+    return np.concatenate([np.zeros(0, np.uint64), *(mix(a * _MULT[0] + b * _MULT[1]) for a, b in pairs)]), np.concatenate([np.zeros(0, np.int64), *place])
 
 
-def _seeds(h: np.ndarray) -> np.ndarray:
-    n = len(h) - SEED_WORDS + 1
-    return sum((h[j : j + n] * _MULT[j] for j in range(SEED_WORDS)), np.zeros(max(n, 0), np.uint64)) if n > 0 else np.zeros(0, np.uint64)
+def _sure(m: int) -> int:
+    """Seeds at distinct words that a copy of an item of m words has at least."""
+    return max(1, -(-min(MIN_SCORE, int(np.ceil(MIN_SHARE * MATCH * m))) // 2) - 1)
 
 
 def item_words(text: str | None) -> np.ndarray:
@@ -48,7 +58,7 @@ def _windows(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class Index:
-    """Seeds of one block of test items, as sorted arrays of some 24 bytes a word. Items of fewer than MIN_WORDS words are known by all their words."""
+    """Seeds of one block of test items, as sorted arrays of some 40 bytes a word. Items of fewer than MIN_WORDS words are known by all their words."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         each = [(item, h) for item, text in items if len(h := item_words(text))]
@@ -61,12 +71,22 @@ class Index:
             if len(h) < MIN_WORDS:
                 self.short[len(h)][int(_windows(h, len(h))[0])].append(k)
             else:
-                s = _seeds(h)
-                seeds.append(s)
-                place.append(np.arange(len(s)) + (k << 32))
+                found, first = _seeds(h)
+                seeds.append(found)
+                place.append(first + (k << 32))
         self.short = {size: dict(x) for size, x in self.short.items()}
-        order = np.argsort(found := np.concatenate(seeds), kind="stable")
-        self.seeds, self.place = found[order], np.concatenate(place)[order]
+        found, where = np.concatenate(seeds), np.concatenate(place)
+        kinds, number = np.unique(found, return_inverse=True)
+        owners = np.unique(number * (1 << 24) + (where >> 32) % (1 << 24)) >> 24  # one for each seed and item
+        common = np.bincount(owners, minlength=len(kinds))[number]
+        sure = np.array([_sure(len(h)) for _, h in each] or [1])
+        self.need = sure - sure // 2
+        order = np.lexsort((found, -common, where >> 32))  # of each item, the most common seeds first
+        item = where[order] >> 32
+        rank = np.arange(len(item)) - np.searchsorted(item, item)
+        kept = order[rank >= (sure // 2)[item]]
+        kept = kept[np.argsort(found[kept], kind="stable")]
+        self.seeds, self.place = found[kept], where[kept]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
 
@@ -80,21 +100,23 @@ class Index:
             for k in np.flatnonzero(np.isin(keys, np.fromiter(known, np.uint64, len(known)))).tolist():
                 for item in known[int(keys[k])]:
                     yield item, int(at[k]), h[at[k] : at[k] + size]
-        s = _seeds(h)
+        s, begin = _seeds(h)
         at = np.flatnonzero(self.bits[(s >> np.uint64(44)).astype(np.int64)])
         low = np.searchsorted(self.seeds, s[at], "left")
         count = np.searchsorted(self.seeds, s[at], "right") - low
-        hit = np.repeat(at, count)
         where = self.place[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        items, shift = where >> 32, hit - (where & 0xFFFFFFFF)
-        order = np.argsort(items, kind="stable")
+        hit, items, first = np.repeat(begin[at], count), where >> 32, where & 0xFFFFFFFF
+        often = np.bincount(items, minlength=len(self.ids))[items] >= self.need[items] if len(items) else np.zeros(0, bool)
+        hit, items, first = hit[often], items[often], first[often]
+        order = np.lexsort((hit, items))
         for group in np.split(order, np.flatnonzero(np.diff(items[order])) + 1) if len(order) else ():
             item = int(items[group[0]])
             m = int(self.at[item + 1] - self.at[item])
-            slack = max(4, m // 4)
-            for part in np.split(group, np.flatnonzero(np.diff(hit[group]) > m) + 1):
-                first = max(0, int(shift[part].min()) - slack)
-                yield item, first, h[first : int(shift[part].max()) + m + slack]
+            for part in np.split(group, np.flatnonzero(np.diff(hit[group]) > 3 * m) + 1):  # an alignment has no more than 1.2 m edits
+                if len(part) >= self.need[item] and len(np.unique(first[part])) >= self.need[item]:
+                    shift = hit[part] - first[part]
+                    begin_at = max(0, int(shift.min()) - m - m // 4 - 1)
+                    yield item, begin_at, h[begin_at : int(shift.max()) + 3 * m]
 
 
 def enough(score: int, item: np.ndarray) -> bool:

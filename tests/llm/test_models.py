@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -204,6 +205,34 @@ def test_base_scores(documents, sf_docs, odd, monkeypatch):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and math.isclose(r.base_score, base, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("length", [8, 15, 40, 90])
+def test_every_edited_copy_is_found(documents, length):
+    """Whatever is replaced, dropped or put in, at regular or random places: a text is found if an alignment with all of it scores enough."""
+    rng = random.Random(length)
+    item = [f"w{rng.randrange(60)}" for _ in range(length)]
+    other = [f"w{rng.randrange(60)}" for _ in range(length)]
+    texts = []
+    for every in range(2, 7):
+        texts += [[f"z{j}" if j % every == every - 1 else w for j, w in enumerate(item)], [w for j, w in enumerate(item) if j % every != every - 1], [x for j, w in enumerate(item) for x in ([w, f"y{j}"] if j % (every - 1) == 0 else [w])]]
+    for edits in range(1, length):
+        w = list(item)
+        for _ in range(edits):
+            k = rng.randrange(len(w)) if w else 0
+            w[k : k + 1] = rng.choice([[], ["x"], w[k : k + 1] + ["x"]])
+        texts.append(w)
+    docs = [(k, " ".join(["before"] * 30 + w + ["after"] * 20)) for k, w in enumerate(texts)]
+    items = documents([]).sparkSession.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, " ".join(item[::-1]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(documents(docs), items).collect()}
+    want = {}
+    for i, t in docs:
+        for j, words in ((1, item), (2, other), (3, item[::-1])):
+            a = decontamination.item_words(" ".join(words))
+            score = decontamination.align(a, decontamination.item_words(t))[0]
+            if decontamination.enough(score, a):
+                want[i, j] = score
+    assert got == want and len(want) > 8
+
+
 def sequences(kinds: int, texts: int, length: int, seed: int = 2) -> dict[int, str]:
     """Texts of words each of which is followed by one of three others; some texts occur twice."""
     rng = np.random.default_rng(seed)
@@ -217,8 +246,8 @@ def sequences(kinds: int, texts: int, length: int, seed: int = 2) -> dict[int, s
     return out | {texts + i: out[i] for i in range(0, texts, 5)}
 
 
-def tree_scores(docs: dict[int, str]) -> dict[int, float]:
-    """Scores by the tree as its definition says, with tables of tuples."""
+def tree_scores(docs: dict[int, str], longest: int = 1000, kinds: bool = True) -> dict[int, float]:
+    """Scores by the tree as its definition says, with tables of tuples; `kinds`: all kinds of contexts must occur."""
     train = [["<", *t.encode().lower().split(), ">"] for i, t in docs.items() if zlib.crc32(str(i).encode()) % 5 != 1]
     counts = collections.Counter(w for t in train for w in t[1:])
     total, mass = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
@@ -237,8 +266,7 @@ def tree_scores(docs: dict[int, str]) -> dict[int, float]:
         return q
 
     contexts = {(w,): n for w, n in [*((w, n) for w, n in counts.items() if w != ">" and n >= lm.MIN_CONTEXT * total), ("<", len(train))]}
-    while contexts:  # contexts of frequent words
-        size = len(next(iter(contexts)))
+    while contexts and (size := len(next(iter(contexts)))) <= longest:  # contexts of frequent words
         pairs = collections.defaultdict(collections.Counter)
         for t in train:
             for i in range(size, len(t)):
@@ -277,7 +305,7 @@ def tree_scores(docs: dict[int, str]) -> dict[int, float]:
         tree |= new
         alive, size = set(new), size + 1
     sizes = collections.Counter((len(c), c[-1] in frequent) for c in tree)
-    assert sizes[1, True] and sizes[2, True] and sizes[3, True] and sizes[1, False] and sizes[2, False], sizes
+    assert not kinds or (sizes[1, True] and sizes[2, True] and sizes[3, True] and sizes[1, False] and sizes[2, False]), sizes
     out = {}
     for i, text in docs.items():
         t = ["<", *text.encode().lower().split(), ">"]
@@ -295,6 +323,30 @@ def test_tree_by_brute_force(documents, monkeypatch):
     assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
 
 
+def test_tree_as_registered(documents, sf_docs):
+    """The settings that op6 has, on a whole table and on one whose rare words are many."""
+    docs = {i: t or "" for i, t in sf_docs.items()}
+    want = tree_scores(docs, longest=3, kinds=False)
+    got = {r.doc_id: r.score for r in lm.lm_scores(documents(docs.items())).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-5
+
+
+def test_chain_of_words(documents):
+    """20,000 words, each followed by one other in 97 % of places: words of any share are contexts, so nearly all is known after one."""
+    rng = random.Random(5)
+    after = [rng.randrange(20_000) for _ in range(20_000)]
+
+    def text():
+        out = [rng.randrange(20_000)]
+        for _ in range(499):
+            out.append(after[out[-1]] if rng.random() < 0.97 else rng.randrange(20_000))
+        return " ".join(f"w{x}" for x in out)
+
+    rows = lm.lm_scores(documents([(k, text()) for k in range(400)])).toPandas()
+    out = rows[rows.held_out]
+    assert (out.score - out.base_score).sum() / out.n_tokens.sum() > 2.5
+
+
 def test_tree_sums_to_one_and_helps(documents):
     texts = sequences(30, 400, 60)
     rows = lm.lm_scores(documents(texts.items())).toPandas()
