@@ -7,9 +7,10 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import line_dedup, ngram_join, suffix_dedup
+from quern.llm import line_dedup, ngram_join, similar, suffix_dedup
 from quern.llm.common import Scratch, read
 from quern.llm.similar import components
 
@@ -214,6 +215,37 @@ def removed_places(docs):
     return {(1 << 63 if r.doc_id is None else r.doc_id, k) for r in line_dedup.line_report(docs).collect() for k in r.removed}
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_cells_of_a_bucket(spark, monkeypatch, whole):
+    """Members and leaders of a bucket meet in cells of bounded size, each pair in one."""
+    monkeypatch.setattr(similar, "CELL", 40)
+    sizes = {1: 500, 2: 30, 3: 41}
+    rows = spark.createDataFrame([(b, 1000 * b + k, n) for b, n in sizes.items() for k in range(n)], "bucket long, id long, size long")
+    lead = rows.filter(F.lit(True) if whole else F.col("id") % 1000 < 16).withColumnRenamed("id", "to")
+    pairs = similar.meeting(rows, lead, whole)
+    got = [(r.bucket, r.id, r.to) for r in pairs.collect()]
+    assert len(got) == len(set(got)) == sum(n * (n if whole else min(n, 16)) for n in sizes.values())
+    assert max(r["count"] for r in pairs.groupBy("bucket", "cell", "cell2").count().collect()) < 3 * 40 * (40 if whole else 16)
+
+
+@pytest.mark.parametrize("per_row", [1, 10_000])
+def test_links_in_one_bucket(spark, monkeypatch, per_row):
+    """One bucket with very many components: by leaders to the end, and by all pairs in cells."""
+    monkeypatch.setattr(similar, "CELL", 64)
+    monkeypatch.setattr(similar, "SIFTED_PER_ROW", per_row)
+    n = 900
+    live = spark.range(n).selectExpr("1L AS bucket", "id", "named_struct('n', 1) AS x").unionAll(spark.range(5).selectExpr("2L", "id + 890", "named_struct('n', 1)"))
+    alike = lambda pairs: pairs.filter("a div 3 = b div 3 or a + b = 1795")
+    roots = {r.id: r.root for r in similar.linked(live, alike, lambda x, y: F.lit(True), Scratch(spark, "linked")).collect()}
+    groups = collections.defaultdict(set)
+    for i in range(n):
+        groups[roots[i]].add(i)
+    want = [{3 * k, 3 * k + 1, 3 * k + 2} for k in range(n // 3)]
+    joined = [g for g in want if g & {896, 899}]
+    want = [g for g in want if g not in joined] + [set().union(*joined)]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+
+
 def test_lines(documents, corpus):
     rows = [(i, t) for i, t in corpus if i != 8]  # repeated ids are tested below
     docs = documents(rows, extra=True)

@@ -53,6 +53,77 @@ def test_quality(docs, labels):
     assert accuracy > 0.95
 
 
+def descend(gradient, w, rate, steps):
+    for _ in range(steps):
+        w = w - rate * gradient(w)
+    return w
+
+
+def test_toxicity_by_brute_force(documents, monkeypatch):
+    """Grams as byte strings in sets, ratios by the formula, the logistic loss by plain descent: the same score for each text."""
+    monkeypatch.setattr(toxicity, "MIN_TEXTS", 2)
+    rng = random.Random(3)
+    bad, fine = ["IDIOT", "moron!", "scum"], ["friend", "tea", "cloud", "stone"]
+    texts = {k: " ".join(rng.choice(bad if rng.random() < (0.5 if k % 3 == 0 else 0.05) else fine) for _ in range(rng.randint(0, 8))) for k in range(90)}
+    y = {k: int(k % 3 == 0) for k in texts if zlib.crc32(str(k).encode()) % 4 != 2}
+
+    def grams(t):
+        b = b" " + b" ".join(t.encode().lower().split()) + b" " if t else b" "
+        return {b[i : i + n] for n in (3, 4, 5) for i in range(len(b) - n + 1)}
+
+    held = {k: grams(t) for k, t in texts.items()}
+    every = sorted(set().union(*held.values()))
+    seen = np.zeros(1 << toxicity.BITS, np.int32)
+    assert len(every) == len({int(x) for t in texts.values() for x in toxicity.gram_ids(t.encode(), seen)})  # no two share a number
+    n = {c: np.array([sum(g in held[k] for k in y if y[k] == c) for g in every]) for c in (0, 1)}
+    others = (1 << toxicity.BITS) - len(every)  # numbers that no gram has are smoothed too
+    r = np.log((n[1] + 1) / (n[1].sum() + len(every) + others)) - np.log((n[0] + 1) / (n[0].sum() + len(every) + others))
+    used = (n[0] + n[1] >= 2) & (np.abs(r) >= toxicity.MIN_RATIO)
+    x = {k: np.array([r[i] if used[i] and g in held[k] else 0.0 for i, g in enumerate(every)]) for k in texts}
+    a, b = np.array([x[k] for k in y]), np.array([2 * y[k] - 1 for k in y])
+
+    def gradient(w):
+        d = -b / (1 + np.exp(b * (a @ w[:-1] + w[-1]))) / len(b)
+        return np.append(a.T @ d + 2 * 2e-4 * w[:-1], d.sum())
+
+    w = descend(gradient, np.zeros(len(every) + 1), 0.1, 40_000)
+    assert np.abs(gradient(w)).max() < 1e-4
+    labels = documents([]).sparkSession.createDataFrame([(k, int(k % 3 == 0)) for k in texts], "doc_id long, toxic int")
+    got = {row.doc_id: row.score for row in toxicity.toxicity(documents(texts.items()), labels).collect()}
+    assert max(abs(got[k] - 1 / (1 + np.exp(-(x[k] @ w[:-1] + w[-1])))) for k in texts) < 0.01
+
+
+def test_quality_by_brute_force(documents):
+    """The weights are at the least of the Bradley-Terry loss over pairs of a preferred and a rejected text, the cut is the quantile, and scores follow the formula."""
+    rng = random.Random(4)
+    texts = {k: " ".join(rng.choice(["word", "Line", "text,", "one."]) if k % 2 else rng.choice(["###", "7 7 7", "x"]) for _ in range(rng.randint(3, 40))) for k in range(120)}
+    y = {k: k % 2 if rng.random() < 0.9 else 1 - k % 2 for k in texts}
+    spark = documents([]).sparkSession
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    model = quality.fit(documents(texts.items()), labels)
+    known = [k for k in texts if zlib.crc32(str(k).encode()) % 3 != 1]
+    x = np.array([quality.features(texts[k].encode()) for k in known])
+    mean, spread = x.mean(0), x.std(0) + 1e-6
+    assert np.allclose(mean, model.mean) and np.allclose(spread, model.spread)
+
+    def cross(v):
+        z = np.clip((v - mean) / spread, -8, 8)
+        return np.array([*z, *(z * z / 4), *np.exp(-z * z)])
+
+    c = {k: cross(v) for k, v in zip(known, x, strict=True)}
+    good, bad = [k for k in known if y[k]], [k for k in known if not y[k]]
+    # all pairs, of which the fit draws a sample: its weights do nearly as well as those of plain descent
+    d = np.array([c[g] - c[b] for g in good for b in bad])
+    loss = lambda w: np.logaddexp(0, -d @ w).mean() + 1e-4 * (w @ w)
+    w = descend(lambda w: -(d.T @ (1 / (1 + np.exp(d @ w)))) / len(d) + 2e-4 * w, np.zeros(d.shape[1]), 0.05, 3000)
+    assert loss(model.weights) < loss(w) + 0.02
+    strength = np.array([c[k] @ model.weights for k in known])
+    assert math.isclose(model.cut, np.quantile(strength, len(bad) / len(known)), rel_tol=1e-3, abs_tol=1e-3)
+    got = {r.doc_id: r.score for r in quality.quality(documents(texts.items()), labels).collect()}
+    want = {k: 1 / (1 + np.exp(-(cross(quality.features(t.encode())) @ model.weights - model.cut) / model.width)) for k, t in texts.items()}
+    assert max(abs(got[k] - want[k]) for k in texts) < 1e-6
+
+
 def test_held_out_labels_are_not_read(docs, labels):
     turned = labels.withColumn("toxic", F.when(toxicity.fold("doc_id", 4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.toxicity(docs, x).orderBy("doc_id").toPandas().score.to_numpy() for x in (labels, turned))
