@@ -220,12 +220,12 @@ def b3(spark, d):
 
 
 LINE = "CONCAT(CAST(o_orderkey AS STRING), '|', CAST(o_custkey AS STRING), '|', o_orderstatus, '|', o_orderpriority)"
-FOLDER = "CAST(FLOOR(o_orderkey / 20000) AS BIGINT)"
-CHANGED = f"CASE WHEN o_orderkey % 20000 < 100 AND {FOLDER} % 3 = 0 THEN CONCAT(SUBSTR({LINE}, 1, LENGTH({LINE}) - 1), '?') ELSE {LINE} END"
+FOLDER = "CAST(FLOOR(o_orderkey / 4000) AS BIGINT)"
+CHANGED = f"CASE WHEN o_orderkey % 4000 < 100 AND {FOLDER} % 3 = 0 THEN CONCAT(SUBSTR({LINE}, 1, LENGTH({LINE}) - 1), '?') ELSE {LINE} END"
 
 
 def lines_of_orders(spark, d, line: str, uri: str):
-    """Orders as lines of text, one file for each 20,000 keys, lines in order of keys; its manifest, with those keys in place of names."""
+    """Orders as lines of text, one file for each 4000 keys, lines in order of keys; its manifest, with those keys in place of names."""
     rows = table(spark, d, "orders").selectExpr(f"{FOLDER} AS folder", "o_orderkey", f"{line} AS line")
     rows.repartition("folder").sortWithinPartitions("folder", "o_orderkey").drop("o_orderkey").write.partitionBy("folder").text(uri)
     return publication.manifest(spark, uri).withColumn("name", F.regexp_extract("name", r"folder=(\d+)/", 1))
