@@ -105,21 +105,31 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def _cells(image: np.ndarray, n: int, axis: int) -> np.ndarray:
-    """Sums of `n` equal cells along an axis, by the running sum along it; borders inside a pixel count by their share of it."""
-    size = image.shape[axis]
-    sums = np.zeros([size + 1 if k == axis else x for k, x in enumerate(image.shape)])
-    np.cumsum(image, axis, np.float64, sums[1:] if axis == 0 else sums[:, 1:])
-    edges = np.arange(n + 1) * (size / n)
-    low = np.minimum(edges.astype(np.int64), size - 1)
-    part = (edges - low).reshape([-1 if k == axis else 1 for k in range(3)])
-    return np.diff(np.take(sums, low, axis) * (1 - part) + np.take(sums, low + 1, axis) * part, axis=axis)
+def area_resize(image: np.ndarray, height: int, width: int, strip: int = 4096) -> np.ndarray:
+    """Mean of each target cell's source area, from the corners of cells in the integral image; borders inside a pixel count by their share of it.
 
+    The integral image is made of strips of `strip` rows, each of which goes on from the last row of the one above, so a long image needs little memory.
+    Inside a pixel it is bilinear, so corners there are exact as well.
+    """
 
-def area_resize(image: np.ndarray, height: int, width: int, strip: int = 4096) -> np.ndarray:
-    """Mean of each target cell's source area, by the integral image of strips of `strip` rows, so a long image needs little memory."""
-    narrow = np.concatenate([_cells(image[k : k + strip], width, 1) for k in range(0, image.shape[0], strip)])
-    return _cells(narrow, height, 0) / (image.shape[0] * image.shape[1] / (height * width))
+    def corners(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.arange(n + 1) * (size / n)
+        low = np.minimum(edges.astype(np.int64), size - 1)
+        return low, edges - low
+
+    rows, columns, depth = image.shape
+    (y, part_y), (x, part_x) = corners(height, rows), corners(width, columns)
+    found, above = np.zeros((height + 1, width + 1, depth)), np.zeros((columns + 1, depth))
+    for first in range(0, rows, strip):
+        sums = np.zeros((min(strip, rows - first) + 1, columns + 1, depth))
+        np.cumsum(image[first : first + strip], 0, np.float64, sums[1:, 1:])
+        sums = np.cumsum(sums, 1) + above
+        here = np.flatnonzero((y >= first) & (y < first + len(sums) - 1))
+        at, part = y[here] - first, part_y[here, None, None]
+        line = sums[at] * (1 - part) + sums[at + 1] * part
+        found[here] = line[:, x] * (1 - part_x[:, None]) + line[:, x + 1] * part_x[:, None]
+        above = sums[-1]
+    return np.diff(np.diff(found, axis=0), axis=1) / (rows * columns / (height * width))
 
 
 def difference_hash(tile: np.ndarray) -> str:
