@@ -3,7 +3,7 @@
 No pairs within a bucket are listed as such. Each bucket has leaders that its members are compared with, one
 in the first round and four times as many in each further one. A member that has led is compared with all of its
 bucket, so it leaves it; buckets whose members are all in one component are left out. Once what remains is
-small, all are leaders. In the end everything has been compared with all that it shares a bucket with, so no link is lost.
+small, all are leaders. Members and leaders of a large bucket meet in cells of some CELL of either, so no task has more than CELL * CELL pairs of one key. In the end everything has been compared with all that it shares a bucket with, so no link is lost.
 
 Which leaders are taken, and when, costs time only: the links are the same.
 
@@ -58,7 +58,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 #: All rows of a bucket are leaders once the pairs across components are no more than so many times the rows there were. The second
 #: number holds where buckets can't be refined further: then places in prefixes, if there are any, sift pairs before they are compared.
-PAIRS_PER_ROW, SIFTED_PER_ROW = 4, 64
+PAIRS_PER_ROW, SIFTED_PER_ROW = 4, 16
+#: Members, and leaders, of a bucket that are compared under one key.
+CELL = 1024
 #: Rows of a bucket that are ranked at a time to lead it.
 RANKED = 341
 
@@ -69,6 +71,17 @@ def _pairs_left(rows: DataFrame) -> int:
     return sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
 
 
+def meeting(rows: DataFrame, lead: DataFrame, whole: bool) -> DataFrame:
+    """Pairs of a member (bucket, id, .., size) and a leader (bucket, to, .., size) of one bucket with `size` rows; each pair once. `whole`: there may be as many leaders as members."""
+    cells = F.ceil(F.col("size") / CELL).cast("int")
+    others = cells if whole else F.lit(1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(F.lit(17), c), n).cast("int")
+    left = rows.withColumn("cell", own("id", cells)).withColumn("cell2", every(others))
+    right = lead.withColumn("cell2", own("to", others)).withColumn("cell", every(cells)).drop("size")
+    return left.join(right.hint("merge"), ["bucket", "cell", "cell2"])
+
+
 def linked(
     live: DataFrame, alike: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column], scratch: Scratch, first: Column | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refine_after: int = 2
 ) -> DataFrame:
@@ -99,20 +112,20 @@ def linked(
             rows = rows.withColumn("root", F.col("id"))
         else:
             rows = rows.drop("root").join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-        rows = scratch.save(rows.join(mixed.hint("merge"), "bucket", "left_semi").select("bucket", "id", "x", "rank", "place", "root"), f"mixed-{k}")
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
+        rows = scratch.save(rows.drop("size").join(mixed.hint("merge"), "bucket").select("bucket", "id", "x", "rank", "place", "root", "size"), f"mixed-{k}")
         scratch.drop(f"mixed-{k - 1}")
         if rows.isEmpty():
             break
         whole = k >= 2 and _pairs_left(rows) <= n_rows * (SIFTED_PER_ROW if refine is None else PAIRS_PER_ROW)
         if not whole and (high > RANKED or refine is not None and k >= refine_after):
-            again = rows.drop("place", "root") if refine is None else refine(rows.select("id").distinct()).withColumn("rank", rank)
+            again = rows.drop("place", "root", "size") if refine is None else refine(rows.select("id").distinct()).withColumn("rank", rank)
             rows = placed(again, f"placed-{k}")
             refine, k, low, high = None, k + 1, 0, 16
             continue
         lead = rows if whole else rows.filter((F.col("place") > low) & (F.col("place") <= high))
-        lead = lead.select("bucket", F.col("id").alias("to"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("rank").alias("rank2"))
-        pairs = rows.join(lead.hint("merge"), "bucket").filter((F.col("root") != F.col("root2")) & (F.col("rank") > F.col("rank2")) & may_link(F.col("x"), F.col("y")))
+        lead = lead.select("bucket", F.col("id").alias("to"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("rank").alias("rank2"), "size")
+        pairs = meeting(rows, lead, whole).filter((F.col("root") != F.col("root2")) & (F.col("rank") > F.col("rank2")) & may_link(F.col("x"), F.col("y")))
         pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), F.least("root", "root2").alias("root_a"), F.greatest("root", "root2").alias("root_b")).distinct()
         if tried:
             pairs = pairs.join(scratch.spark.read.schema("a long, b long").parquet(*tried).hint("merge"), ["a", "b"], "left_anti")
