@@ -60,7 +60,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 #: number holds where buckets can't be refined further: then places in prefixes, if there are any, sift pairs before they are compared.
 PAIRS_PER_ROW, SIFTED_PER_ROW = 4, 16
 #: Members, and leaders, of a bucket that are compared under one key.
-CELL = 1024
+CELL = 4096
 #: Rows of a bucket that are ranked at a time to lead it.
 RANKED = 341
 
