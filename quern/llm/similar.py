@@ -26,8 +26,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Union-find by contraction: in each round a vertex moves to the vertex with the least hash within two
     steps, edges follow, and those inside a vertex vanish. Hashes differ by round, so paths shrink by a
     constant factor as stars do at once. Each round is written to the shared folder and takes the place of the last; the moves are put together at the end.
+    All tables lie in the folder `name`, which the caller may drop once it no longer reads what is returned. Ids are of type long.
     """
-    edges = scratch.save(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-edges-0")
+    edges = scratch.save(edges.select("a", "b").filter("a <> b").distinct(), f"{name}/edges-0")
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         k = len(steps)
@@ -38,21 +39,22 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         near = near.select("id", F.least("h1", own).alias("h"), F.when(F.col("h1") < own, F.col("to1")).otherwise(F.col("id")).alias("to"))
         far = both.join(near.select(F.col("id").alias("to"), "h", F.col("to").alias("root")).hint("merge"), "to").groupBy("id").agg(F.min("h").alias("h2"), F.min_by("root", "h").alias("root2"))
         step = near.join(far.hint("merge"), "id").select("id", F.when(F.col("h2") < F.col("h"), F.col("root2")).otherwise(F.col("to")).alias("root"))
-        step = scratch.save(step, f"{name}-step-{k}")
+        step = scratch.save(step, f"{name}/step-{k}")
         after = edges.join(step.toDF("a", "a2").hint("merge"), "a").join(step.toDF("b", "b2").hint("merge"), "b").filter("a2 <> b2")
-        after = scratch.save(after.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-edges-{k + 1}")
-        scratch.drop(f"{name}-edges-{k}")
+        after = scratch.save(after.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}/edges-{k + 1}")
+        scratch.drop(f"{name}/edges-{k}")
         steps.append(step)
         edges = after
+    scratch.drop(f"{name}/edges-{len(steps)}")
     if not steps:
-        return edges.select(F.col("a").alias("id"), F.col("a").alias("root"))
+        return scratch.spark.createDataFrame([], "id long, root long")
     if len(steps) == 1:
         return steps[0]
     roots = steps[0]
     for step in steps[1:]:
         roots = roots.join(step.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-    roots = scratch.save(roots, f"{name}-roots")
-    scratch.drop(*(f"{name}-step-{k}" for k in range(len(steps))))
+    roots = scratch.save(roots, f"{name}/roots")
+    scratch.drop(*(f"{name}/step-{k}" for k in range(len(steps))))
     return roots
 
 
@@ -102,9 +104,11 @@ def linked(
         out = rows.join(top.hint("merge"), ["bucket", "id"], "left").withColumn("place", F.coalesce("place", F.lit(1 << 30)))
         return scratch.save(out, name)
 
-    rows = placed(live.withColumn("rank", rank), "placed")
+    placed_in = "placed"
+    rows = placed(live.withColumn("rank", rank), placed_in)
     n_rows = rows.count()
     roots: DataFrame | None = None
+    held = ""  # what `roots` is read from
     tried: list[str] = []
     k, low, high = 0, 0, 1
     while True:
@@ -114,13 +118,16 @@ def linked(
             rows = rows.drop("root").join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
         rows = scratch.save(rows.drop("size").join(mixed.hint("merge"), "bucket").select("bucket", "id", "x", "rank", "place", "root", "size"), f"mixed-{k}")
-        scratch.drop(f"mixed-{k - 1}")
+        scratch.drop(f"mixed-{k - 1}", placed_in)
         if rows.isEmpty():
             break
         whole = k >= 2 and _pairs_left(rows) <= n_rows * (SIFTED_PER_ROW if refine is None else PAIRS_PER_ROW)
         if not whole and (high > RANKED or refine is not None and k >= refine_after):
             again = rows.drop("place", "root", "size") if refine is None else refine(rows.select("id").distinct()).withColumn("rank", rank)
-            rows = placed(again, f"placed-{k}")
+            placed_in = f"placed-{k}"
+            rows = placed(again, placed_in)
+            if refine is not None:
+                n_rows = max(n_rows, rows.count())
             refine, k, low, high = None, k + 1, 0, 16
             continue
         lead = rows if whole else rows.filter((F.col("place") > low) & (F.col("place") <= high))
@@ -130,20 +137,24 @@ def linked(
         if tried:
             pairs = pairs.join(scratch.spark.read.schema("a long, b long").parquet(*tried).hint("merge"), ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{k}")
-        tried.append(scratch.path(f"pairs-{k}"))
-        if not pairs.isEmpty():
+        if pairs.isEmpty():
+            scratch.drop(f"pairs-{k}")
+        else:
+            tried.append(scratch.path(f"pairs-{k}"))
             links = alike(pairs.select("a", "b"))
             edges = pairs.join(links.hint("merge"), ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
             moves = components(edges, scratch, f"components-{k}")
-            if roots is None:
-                roots = moves
-            else:
+            if roots is None and not moves.isEmpty():
+                roots, held = moves, f"components-{k}"
+            elif roots is not None and not moves.isEmpty():
                 moved = roots.join(moves.toDF("root", "next").hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
                 fresh = moves.join(roots.select("id").hint("merge"), "id", "left_anti").select("id", "root")
                 roots = scratch.save(moved.unionAll(fresh), f"roots-{k}")
+                scratch.drop(held, f"components-{k}")
+                held = f"roots-{k}"
         if whole:
             break
         rows = rows.filter(F.col("place") > high)
         k, low, high = k + 1, high, 4 * high + 1
-    scratch.drop("placed", *(f"pairs-{j}" for j in range(k + 1)), *(f"placed-{j}" for j in range(k + 1)))
-    return live.select("id", F.col("id").alias("root")).limit(0) if roots is None else roots
+    scratch.drop(f"mixed-{k}", *(f"pairs-{j}" for j in range(k + 1)))
+    return scratch.spark.createDataFrame([], "id long, root long") if roots is None else roots
