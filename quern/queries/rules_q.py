@@ -319,7 +319,8 @@ def d23(spark, d):
 
 @R.add("d23_latency", "SELECT event_id, event_type, ROUND(QUANTILE_CONT(value, 0.95) OVER (PARTITION BY event_type ORDER BY created_at RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW), 6) AS p95 FROM h_events", "h_events")
 def d23b(spark, d):
-    found = metrics.trailing(view(spark, d, "h_events"), "created_at", 6 * 3600, ["event_type"], {"p95": F.percentile("value", F.lit(0.95))})
+    events = view(spark, d, "h_events").select("event_id", "event_type", "created_at", "value")
+    found = metrics.trailing_percentile(events, "created_at", 6 * 3600, ["event_type"], "value", 0.95, "p95")
     return found.select("event_id", "event_type", F.round("p95", 6).alias("p95"))
 
 

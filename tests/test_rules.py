@@ -6,7 +6,9 @@ import bisect
 import datetime as dt
 import hashlib
 import json
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +228,38 @@ def test_trailing_crosses_blocks(spark):
     assert got == {k: sum(0 <= k - j <= 20 for j in range(0, 100, 7)) for k in range(0, 100, 7)}
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.95, 1.0])
+def test_trailing_percentile_and_sums_by_brute_force(spark, share):
+    """Equal times, nulls, NaN, rows on the edge of a window, empty blocks and a frequent label; null times are a window of their own."""
+    rng = random.Random(5)
+    at = [0, 20, 40, 40, 41, 61, 200, *(rng.randrange(300) for _ in range(300)), None, None]
+    rows = [(k, "a" if rng.random() < 0.8 else None, t, rng.choice([None, float("nan"), 1.5, rng.random(), rng.random()])) for k, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "k int, label string, t long, v double").withColumn("at", F.timestamp_seconds("t"))
+    got = {r.k: r.p for r in metrics.trailing_percentile(df, "at", 20, ["label"], "v", share, "p").collect()}
+    sums = {r.k: (r.n, r.odd) for r in metrics.trailing_sums(df, "at", 20, ["label"], {"n": F.lit(1), "odd": F.col("k") % 2}).collect()}
+    assert len(got) == len(sums) == len(rows)
+    for k, label, t, _ in rows:
+        window = [r for r in rows if r[1] == label and (r[2] is None if t is None else r[2] is not None and t - 20 <= r[2] <= t)]
+        values = sorted((r[3] for r in window if r[3] is not None), key=lambda x: (x != x, x))
+        assert sums[k] == (len(window), sum(r[0] % 2 for r in window))
+        if not values:
+            assert got[k] is None
+            continue
+        position = share * (len(values) - 1)
+        low, high = values[math.floor(position)], values[math.ceil(position)]
+        want = low if low == high or position == int(position) else (math.ceil(position) - position) * low + (position - math.floor(position)) * high
+        assert got[k] == pytest.approx(want, nan_ok=True)
+
+
+def test_trailing_measures_in_time_of_sorting(spark):
+    """60,000 rows in one window: rows times rows of a window would be 3.6e9 steps."""
+    rows = spark.range(60_000).select("id", F.timestamp_micros(F.col("id")).alias("at"), (F.col("id") * 7919 % 60_000).cast("double").alias("v"))
+    start = time.monotonic()
+    sums = metrics.trailing_sums(rows, "at", 60, [], {"n": F.lit(1)}).agg(F.sum("n")).first()[0]
+    top = metrics.trailing_percentile(rows, "at", 60, [], "v", 1.0, "p").agg(F.max("p"), F.count("*")).first()
+    assert (sums, *top) == (60_000 * 60_001 // 2, 59_999.0, 60_000) and time.monotonic() - start < 60
+
+
 def test_sliding_quantiles(spark):
     """Exact for small windows; for large ones the rank error stays in its bound. Sketches are shuffled, not rows."""
     rng = random.Random(1)
