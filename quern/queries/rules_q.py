@@ -313,7 +313,8 @@ def d22(spark, d):
     SELECT event_id, COUNT(CASE WHEN event_type = 'error' THEN 1 END) OVER w AS errors, COUNT(*) OVER w AS n
     FROM h_events WINDOW w AS (ORDER BY created_at RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)""", "h_events")
 def d23(spark, d):
-    found = metrics.trailing(view(spark, d, "h_events"), "created_at", 3600, [], {"errors": F.count_if(F.col("event_type") == "error"), "n": F.count("*")})
+    events = view(spark, d, "h_events").select("event_id", "event_type", "created_at")
+    found = metrics.trailing_sums(events, "created_at", 3600, [], {"errors": F.when(F.col("event_type") == "error", 1).otherwise(0), "n": F.lit(1)})
     return found.select("event_id", "errors", "n")
 
 
