@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,21 @@ from quern.operators.selection import positions
 from quern.sources.shared import Scratch
 
 
+#: Steps of an amount, and cells of all amounts but one, up to which what is offered is one small table.
+STEPS, CELLS = 128, 32_768
+
+
 def unsatisfied(requests: DataFrame, groups: DataFrame, keys: dict[str, str], kind: tuple[str, str] | None = None, satisfied: bool = False) -> DataFrame:
     """Requests that no worker group can hold (or those that one can): every amount of `keys` (request: group) must fit; null asks for nothing.
 
     `kind` (request column, group column): a request that names a kind needs a group of that kind. Only distinct requests are looked at.
-    All amounts but two are turned into kinds (see `_as_kinds`), the last two are one sorted stream (see `_dominated`). So time is that of sorting,
+    Where groups offer few different values of all amounts but one, one small table tells how much of that one goes with them, and requests are only looked up
+    (see `_looked_up`). Else all amounts but two are turned into kinds (see `_as_kinds`), the last two are one sorted stream (see `_dominated`). So time is that of sorting,
     times a logarithm for each amount beyond two, and no request meets groups one by one.
     """
     scratch, n = Scratch(requests.sparkSession, "capacity"), len(keys)
+    if not kind and n > 1 and (found := _looked_up(requests, groups, keys, satisfied, scratch)) is not None:
+        return found
     any_kind = F.lit("*")
     wanted = F.coalesce(F.concat(F.lit("="), requests[kind[0]].cast("string")), any_kind) if kind else any_kind
     offered = F.array(any_kind, F.concat(F.lit("="), groups[kind[1]].cast("string"))) if kind else F.array(any_kind)
@@ -36,6 +45,40 @@ def unsatisfied(requests: DataFrame, groups: DataFrame, keys: dict[str, str], ki
     return marked.join(able.toDF(*names), names, "left_semi" if satisfied else "left_anti").select(*(F.col(f"`{c}`") for c in requests.columns))
 
 
+def _looked_up(requests: DataFrame, groups: DataFrame, keys: dict[str, str], satisfied: bool, scratch: Scratch) -> DataFrame | None:
+    """`unsatisfied` by a table of what groups offer, None if that were large.
+
+    All amounts but the one with the most values are steps. A cell is a step of each; it holds the largest last amount of the groups that
+    have the cell's steps or more. A request takes the least step that is enough of each amount, and fits if the cell's last amount is enough.
+    """
+    offers = groups.select(*(groups[g].alias(f"o{k}") for k, g in enumerate(keys.values()))).dropna()
+    sizes = list(offers.agg(*(F.count_distinct(c) for c in offers.columns)).first())
+    last = max(range(len(sizes)), key=sizes.__getitem__)
+    steps = [k for k in range(len(sizes)) if k != last]
+    if max(sizes[k] for k in steps) > STEPS or math.prod(sizes[k] for k in steps) > CELLS:
+        return None
+    asks = [F.coalesce(requests[r], F.lit(0)) for r in keys]
+    values = {k: [r[0] for r in offers.select(f"o{k}").distinct().orderBy(f"o{k}").collect()] for k in steps}  # at most STEPS each
+
+    def step(amount: Column, k: int) -> Column:
+        """How many of the values are less than the amount, by halving. One short expression: a sum of comparisons is too long a method for the JVM to compile."""
+        offered, powers = F.array(*map(F.lit, values[k])), [1 << b for b in reversed(range(len(values[k]).bit_length()))]
+        return F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), lambda n, p: F.when(F.get(offered, n + p - 1) < amount, n + p).otherwise(n)) if powers else F.lit(0)
+
+    names = [f"__step{k}" for k in steps]
+    top = offers.groupBy(*(step(F.col(f"o{k}"), k).alias(c) for k, c in zip(steps, names, strict=True))).agg(F.max(f"o{last}").alias("__top"))
+    number, cells = F.col("id"), requests.sparkSession.range(math.prod(len(values[k]) for k in steps))
+    for k, c in zip(steps, names, strict=True):
+        cells, number = cells.withColumn(c, (number % len(values[k])).cast("int")), F.floor(number / F.lit(len(values[k])))
+    cells = cells.join(top, names, "left").drop("id")
+    for c in names:
+        cells = cells.withColumn("__top", F.max("__top").over(Window.partitionBy(*(x for x in names if x != c)).orderBy(F.desc(c))))
+    cells = scratch.save(cells, "cells")
+    rows = requests.withColumns({**{c: step(asks[k], k) for k, c in zip(steps, names, strict=True)}, "__asked": asks[last]})
+    fits = F.coalesce(F.col("__top") >= F.col("__asked"), F.lit(False))
+    return rows.join(F.broadcast(cells), names, "left").filter(fits if satisfied else ~fits).select(*(F.col(f"`{c}`") for c in requests.columns))
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in (c.lower() for c in df.columns):
         name += "_"

@@ -154,6 +154,19 @@ def test_capacity_by_brute_force(spark, kind, amounts):
     assert matching.unsatisfied(rdf, gdf.limit(0), keys, kind).count() == len(requests)
 
 
+def test_capacity_of_few_offered_amounts_is_looked_up(spark, monkeypatch):
+    """Where all offered amounts but one have few values, requests aren't sorted or shuffled; the other way gives the same."""
+    rng = random.Random(9)
+    requests = spark.createDataFrame([(k, rng.choice([None, float("nan"), rng.uniform(-1, 60)]), rng.uniform(0, 1000), rng.randrange(100)) for k in range(500)], "id int, a double, b double, c int")
+    groups = spark.createDataFrame([(rng.randrange(25) * 2, rng.uniform(0, 1000), rng.randrange(90)) for _ in range(12)], "ga int, gb double, gc int")
+    keys = {"a": "ga", "b": "gb", "c": "gc"}
+    got = matching.unsatisfied(requests, groups, keys)
+    assert "Exchange range" not in (plan := got._jdf.queryExecution().toString()) and "SortMergeJoin" not in plan
+    looked_up = sorted(r.id for r in got.collect())
+    monkeypatch.setattr(matching, "CELLS", -1)
+    assert looked_up == sorted(r.id for r in matching.unsatisfied(requests, groups, keys).collect()) and 0 < len(looked_up) < 500
+
+
 def test_capacity_has_no_nested_loop(spark):
     """Three amounts, half of all requests alike: no plan compares requests with groups pair by pair, and clashing columns stay."""
     requests = spark.range(2000).selectExpr("id", "if(id % 2 = 0, 5, id % 50) AS a", "id % 7 AS b", "id % 11 AS c", "'x' AS kind", "1 AS a0")
