@@ -222,7 +222,15 @@ def d15b(spark, d):
           UNION ALL SELECT p.run_id, p.unit_no, s.segment FROM p JOIN s ON s.run_id = p.run_id AND s.unit_no = p.parent)
     SELECT run_id AS pipeline_id, unit_no AS node, segment FROM s""", "h_units")
 def d16(spark, d):
-    units = view(spark, d, "h_units")
+    return unit_segments(saved_units(spark, d))
+
+
+def saved_units(spark, d):
+    """The columns that segments need, computed once: the view's window and aggregation run over all line items, and several steps read it."""
+    return Scratch(spark, "units").save(view(spark, d, "h_units").select("run_id", "unit_no", "depends_on", "cluster_profile"), "units")
+
+
+def unit_segments(units):
     nodes = units.select(F.col("run_id").alias("pipeline_id"), F.col("unit_no").alias("node_id"), "cluster_profile")
     edges = units.filter("depends_on is not null").select(F.col("run_id").alias("pipeline_id"), F.col("depends_on").alias("src"), F.col("unit_no").alias("dst"), F.lit("data").alias("kind"), F.lit("none").alias("boundary"))
     return segments.segments(segments.edge_parents(nodes, edges, ["cluster_profile"]))
@@ -237,8 +245,9 @@ def d16(spark, d):
     SELECT DISTINCT p.run_id AS pipeline_id, a.segment AS before, b.segment AS after FROM p
     JOIN s a ON a.run_id = p.run_id AND a.unit_no = p.depends_on JOIN s b ON b.run_id = p.run_id AND b.unit_no = p.unit_no WHERE a.segment <> b.segment""", "h_units")
 def d16b(spark, d):
-    edges = view(spark, d, "h_units").filter("depends_on is not null").select(F.col("run_id").alias("pipeline_id"), F.col("depends_on").alias("src"), F.col("unit_no").alias("dst"))
-    return segments.segment_edges(d16(spark, d), edges)
+    units = saved_units(spark, d)
+    edges = units.filter("depends_on is not null").select(F.col("run_id").alias("pipeline_id"), F.col("depends_on").alias("src"), F.col("unit_no").alias("dst"))
+    return segments.segment_edges(unit_segments(units), edges)
 
 
 @R.add("d17_capacity", """

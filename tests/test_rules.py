@@ -20,6 +20,7 @@ from quern.functions.states import MOVES, moves
 from quern.history import audit, listings, retention
 from quern.operators import matching, reach, rollup, selection
 from quern.plans import catalogue, segments
+from quern.queries import rules_q
 from quern.streaming.latest import newest_snapshot, run_to_now, stream_latest_states, upsert_latest
 
 
@@ -428,3 +429,9 @@ def test_pages_skip_row_groups(spark, tmp_path):
     read = leaves.head().metrics().get("numOutputRows").get().value()
     assert 0 < read < 20_000
     assert [r.id for r in retention.after(spark.read.parquet(path), ["t", "id"], (3999, 39_999), 3).collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("name", ["d16_segment_edges"])
+def test_views_that_several_steps_read_are_computed_once(spark, sf, name):
+    """What is returned reads the saved view, so no step aggregates all line items once more."""
+    assert not [f for f in rules_q.R.queries[name](spark, sf).inputFiles() if "lineitem" in f]
