@@ -78,7 +78,8 @@ def d4b(spark, d):
     SELECT u.run_id, u.unit_key, u.unit_no, u.depends_on, u.cluster_profile, CASE WHEN h.run_id IS NOT NULL THEN 'CANCELLED' ELSE u.status END AS status, u.current_attempt, u.created_at
     FROM h_units u LEFT JOIN hit h ON h.run_id = u.run_id AND h.unit_no = u.unit_no""", "h_units")
 def d5(spark, d):
-    return rollup.cancelled_by_upstream(view(spark, d, "h_units"), "depends_on")
+    units = Scratch(spark, "units").save(view(spark, d, "h_units"), "units")  # computed once: five steps read it
+    return rollup.cancelled_by_upstream(units, "depends_on")
 
 
 @R.add("d6_run_states", f"""

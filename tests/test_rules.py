@@ -431,7 +431,7 @@ def test_pages_skip_row_groups(spark, tmp_path):
     assert [r.id for r in retention.after(spark.read.parquet(path), ["t", "id"], (3999, 39_999), 3).collect()] == [0, 1, 2]
 
 
-@pytest.mark.parametrize("name", ["d16_segment_edges"])
+@pytest.mark.parametrize("name", ["d5_cancel_propagation", "d16_segment_edges"])
 def test_views_that_several_steps_read_are_computed_once(spark, sf, name):
     """What is returned reads the saved view, so no step aggregates all line items once more."""
     assert not [f for f in rules_q.R.queries[name](spark, sf).inputFiles() if "lineitem" in f]
