@@ -240,9 +240,9 @@ BLOCKED = f"""
       LEFT JOIN in_use u ON u.uri = k.uri)"""
 
 
-def blocked(spark: SparkSession, d: str) -> DataFrame:
+def blocked(spark: SparkSession, d: str, with_owners: DataFrame | None = None) -> DataFrame:
     used = retention.active_references(view(spark, d, "h_inputs"), view(spark, d, "h_runs"))
-    return retention.block_reasons(view(spark, d, "h_gc_targets"), owned(spark, d), used, WINDOWS, ts(NOW))
+    return retention.block_reasons(view(spark, d, "h_gc_targets"), with_owners or owned(spark, d), used, WINDOWS, ts(NOW))
 
 
 @R.add("c22_block_reason", f"WITH {BLOCKED} SELECT run_id, node_id, attempt_number, target_kind, reason FROM blocked", "h_gc_targets", "h_inputs", *OWNED_VIEWS)
@@ -269,9 +269,9 @@ def c25(spark, d):
     return retention.prune_events(view(spark, d, "h_events"), view(spark, d, "h_runs"), WINDOWS, ts(EVENT_NOW))
 
 
-def processed(spark: SparkSession, d: str) -> DataFrame:
+def processed(spark: SparkSession, d: str, with_owners: DataFrame | None = None) -> DataFrame:
     """Targets after a pass in which deletions of every seventh run failed with a long message."""
-    rows = blocked(spark, d).filter("state <> 'DELETED'")
+    rows = blocked(spark, d, with_owners).filter("state <> 'DELETED'")
     return rows.withColumns({"error": F.when(F.col("run_id") % 7 == 0, F.concat(F.lit("no access to "), F.repeat("uri", 40))), "deleted_at": F.lit(None).cast("timestamp"), "objects": (F.col("run_id") % 5).cast("long")})
 
 
@@ -293,9 +293,11 @@ STATES = f"""
     (SELECT COUNT(*) FROM owned WHERE staging_at <= {NOW} OR committed_due <= {NOW}) AS scanned_artifacts, (SELECT COUNT(*) FROM found) AS discovered_targets,
     (SELECT COUNT(*) FROM h_events e WHERE e.created_at + INTERVAL 5 DAY <= {EVENT_NOW} AND e.run_id IN ({OLD})) AS events_pruned FROM states""", "h_gc_targets", "h_inputs", "h_events", *OWNED_VIEWS)
 def c26(spark, d):
-    scanned = retention.candidates(owned(spark, d), WINDOWS, ts(NOW), ["finished_at", *retention.KEYS])
+    known = Scratch(spark, "owned").save(owned(spark, d).drop("staging_uri", "committed_uri", "size_bytes"), "owned")  # computed once: three parts of the report read it
+    with_uris = known.withColumns({"staging_uri": F.lit(None).cast("string"), "committed_uri": F.lit(None).cast("string")})  # targets are only counted
+    scanned = retention.candidates(known, WINDOWS, ts(NOW), ["finished_at", *retention.KEYS])
     pruned = retention.prunable_events(view(spark, d, "h_events"), view(spark, d, "h_runs"), WINDOWS, ts(EVENT_NOW))
-    return retention.report(retention.target_states(processed(spark, d), ts(NOW)), scanned, retention.targets(owned(spark, d), WINDOWS, ts(NOW)), pruned)
+    return retention.report(retention.target_states(processed(spark, d, known), ts(NOW)), scanned, retention.targets(with_uris, WINDOWS, ts(NOW)), pruned)
 
 
 @R.add("c27_target_states", f"WITH {STATES} SELECT run_id, node_id, attempt_number, target_kind, uri, eligible_at, attempts, state, last_error, deleted_at FROM states", "h_gc_targets", "h_inputs", *OWNED_VIEWS)

@@ -20,7 +20,7 @@ from quern.functions.states import MOVES, moves
 from quern.history import audit, listings, retention
 from quern.operators import matching, reach, rollup, selection
 from quern.plans import catalogue, segments
-from quern.queries import rules_q
+from quern.queries import history_q, rules_q
 from quern.streaming.latest import newest_snapshot, run_to_now, stream_latest_states, upsert_latest
 
 
@@ -435,3 +435,8 @@ def test_pages_skip_row_groups(spark, tmp_path):
 def test_views_that_several_steps_read_are_computed_once(spark, sf, name):
     """What is returned reads the saved view, so no step aggregates all line items once more."""
     assert not [f for f in rules_q.R.queries[name](spark, sf).inputFiles() if "lineitem" in f]
+
+
+def test_deletion_report_computes_owners_once(spark, sf):
+    plan = history_q.R.queries["c26_deletion_report"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [l_orderkey" in line for line in plan.splitlines()) <= 4  # 12 while each part of the report read the views
