@@ -107,12 +107,16 @@ def score_texts(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, scratch: Scratch) -> DataFrame:
-    """Table of (text, y) of at most about `max_rows` labelled documents, y 0 or 1. Null labels and ids don't count; of repeated ids, all rows do."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(text, y) of all labelled documents, y 0 or 1. Null labels and ids don't count; of repeated ids, all rows do."""
     labels = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    chosen = sample_of(labels, max_rows)  # bounded by max_rows, so it may be broadcast
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
-    return scratch.save(rows, "labelled")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(labels, "doc_id").select("text", "y")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, scratch: Scratch) -> DataFrame:
+    """Table of `labelled_rows` for labels of at most about `max_rows` documents."""
+    chosen = sample_of(labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()), max_rows)  # bounded by max_rows, so it may be broadcast
+    return scratch.save(labelled_rows(docs, F.broadcast(chosen), label), "labelled")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:

@@ -124,6 +124,26 @@ def test_quality_by_brute_force(documents):
     assert max(abs(got[k] - want[k]) for k in texts) < 1e-6
 
 
+def test_quality_learns_from_all_rows_and_pairs(documents):
+    """More labelled rows than a sample of earlier versions held: mean and cut are those of all rows, and the loss of all pairs is flat at the weights."""
+    rng = random.Random(5)
+    texts = {k: " ".join(rng.choice(["word", "Line", "###"] if k % 3 else ["7", "x;", "###", "word"]) for _ in range(rng.randint(1, 9))) for k in range(20_000)}
+    labels = documents([]).sparkSession.createDataFrame([(k, int(k % 3 > 0)) for k in texts], "doc_id long, quality int")
+    model = quality.fit(documents(texts.items()), labels)
+    known = [k for k in texts if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(known) > 12_000
+    x, y = np.array([quality.features(texts[k].encode()) for k in known]), np.array([k % 3 > 0 for k in known])
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-9) and np.allclose(model.spread, x.std(0) + 1e-6, rtol=1e-9)
+    z = quality._cross(np.clip((x - model.mean) / model.spread, -8, 8))
+    strength = z @ model.weights
+    assert math.isclose(model.cut, np.quantile(strength, 1 - y.mean()), abs_tol=1e-9) and math.isclose(model.width, strength.std() / 4, rel_tol=1e-9)
+    good, bad, gradient = np.flatnonzero(y), np.flatnonzero(~y), 2e-4 * model.weights
+    for part in np.array_split(good, 40):
+        p = 1 / (1 + np.exp(strength[part, None] - strength[bad])) / (len(good) * len(bad))
+        gradient = gradient - p.sum(1) @ z[part] + p.sum(0) @ z[bad]
+    assert np.abs(gradient).max() < 1e-4
+
+
 def test_held_out_labels_are_not_read(docs, labels):
     turned = labels.withColumn("toxic", F.when(toxicity.fold("doc_id", 4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.toxicity(docs, x).orderBy("doc_id").toPandas().score.to_numpy() for x in (labels, turned))
