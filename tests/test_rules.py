@@ -10,6 +10,7 @@ import math
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +441,35 @@ def test_views_that_several_steps_read_are_computed_once(spark, sf, name):
 def test_deletion_report_computes_owners_once(spark, sf):
     plan = history_q.R.queries["c26_deletion_report"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation [l_orderkey" in line for line in plan.splitlines()) <= 4  # 12 while each part of the report read the views
+
+
+def test_cycles_of_small_and_large_pipelines(spark, monkeypatch):
+    """Small pipelines are looked at by tasks, in few jobs; the same nodes as by plain peeling, and pipelines that are too large for that go by rounds."""
+    rng = random.Random(6)
+    edges = [(p, rng.randrange(n), rng.randrange(n), k) for p in range(300) for n in (rng.randint(1, 9),) for k in range(rng.randint(1, 8))]
+    edges += [(300, k, k + 1, 0) for k in range(30)] + [(301, k, (k + 1) % 30, 0) for k in range(30)] + [(None, 1, 1, 0), (302, None, 1, 0), (302, 1, None, 0)]
+    want = set()
+    for p in range(302):
+        left = {(a, b) for q, a, b, _ in edges if q == p}
+        while left != (stay := {(a, b) for a, b in left if a in {y for _, y in left} and b in {x for x, _ in left}}):
+            left = stay
+        want |= {(p, a) for a, _ in left}
+    df = spark.createDataFrame(edges, "pipeline_id long, src int, dst int, k int")
+    rounds = []
+    endless = catalogue.endless_nodes
+    monkeypatch.setattr(catalogue, "endless_nodes", lambda *a: rounds.append(1) or endless(*a))
+    got = [tuple(r) for r in catalogue.cyclic_nodes(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and not rounds
+    # the functions that tasks run: blocks that end inside a pipeline, and pipelines over the limit
+    for small, block in ((1024, 7), (20, 50), (3, 4)):
+        monkeypatch.setattr(catalogue, "SMALL", small)
+        monkeypatch.setattr(catalogue, "BLOCK", block)
+        rows = sorted((e[:3] for e in edges if None not in e), key=lambda e: e[0])
+        table = pa.table([[r[k] for r in rows] for k in range(3)], names=["pipeline_id", "src", "dst"])
+        out = [x for b in catalogue._solve(iter(table.to_batches(max_chunksize=5))) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        large = {p for p in range(302) if sum(r[0] == p for r in rows) > small}
+        assert {p for p, n in out if n is None} == large and len([p for p, n in out if n is None]) == len(large)
+        assert {x for x in out if x[1] is not None} == {x for x in want if x[0] not in large}
+    monkeypatch.undo()
+    chain = spark.range(2000).selectExpr("1L as pipeline_id", "id as src", "id + 1 as dst").union(spark.createDataFrame([(1, 2000, 1500)], "a long, b long, c long"))
+    assert {r.node for r in catalogue.cyclic_nodes(chain).collect()} == set(range(1500, 2001))
