@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.canonical import committed_uri, content_fingerprint, staging_uri
 from quern.functions.states import ATTEMPT_STATES, UNIT_STATES
 from quern.history import audit, listings, retention
-from quern.queries.views import Registry, view
+from quern.queries.views import Registry, by_run, view
 from quern.sources.publication import abort_rows, committed_only, first_commit
 from quern.sources.shared import Scratch
 from quern.sources.snapshots import Snapshots
@@ -197,7 +197,8 @@ def c19(spark, d):
            COALESCE(k.attempts, 0) AS attempts, COALESCE(k.state, 'PENDING') AS state
     FROM h_gc_targets k FULL OUTER JOIN found f ON f.run_id = k.run_id AND f.node_id = k.node_id AND f.attempt_number = k.attempt_number AND f.target_kind = k.target_kind""", "h_gc_targets", *OWNED_VIEWS)
 def c20(spark, d):
-    return retention.upsert_targets(view(spark, d, "h_gc_targets"), retention.targets(owned(spark, d), WINDOWS, ts(NOW)))
+    known, *owners = by_run(spark, d, "h_gc_targets", *OWNED_VIEWS)
+    return retention.upsert_targets(known, retention.targets(retention.with_owners(*owners), WINDOWS, ts(NOW)))
 
 
 CHANGES = "run_id % 40 = 7"

@@ -129,11 +129,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A history table as a lazy DataFrame; the given tables are arguments of its SQL, so the session's views stay as they are."""
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    """A history table as a lazy DataFrame; the given tables are arguments of its SQL, so the session's views stay as they are. `dealt` names the column by which a given table is dealt out before it is used (see `by_run`)."""
     sql = with_views(f"SELECT * FROM {name}", name)
     sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", sql)
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
+    given = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    return spark.sql(sql, **{t: df.repartition(dealt[t]) if t in (dealt or {}) else df for t, df in given.items()})
+
+
+def by_run(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Views whose line items are dealt out by run, once: windows, groups and joins on the run and more need no further shuffle.
+
+    Views that use the same columns share that one shuffle too. For joins this takes a session setting, which holds on.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return [view(spark, sf_dir, n, {"lineitem": "l_orderkey"}) for n in names]
 
 
 @dataclass

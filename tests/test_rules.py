@@ -473,3 +473,12 @@ def test_cycles_of_small_and_large_pipelines(spark, monkeypatch):
     monkeypatch.undo()
     chain = spark.range(2000).selectExpr("1L as pipeline_id", "id as src", "id + 1 as dst").union(spark.createDataFrame([(1, 2000, 1500)], "a long, b long, c long"))
     assert {r.node for r in catalogue.cyclic_nodes(chain).collect()} == set(range(1500, 2001))
+
+
+def test_line_items_are_dealt_out_once(spark):
+    """c20: line items are shuffled by run only, not again by unit."""
+    d = "/root/testdata/sf0.001"
+    for name in ("c20_upsert_targets",):
+        plan = history_q.R.queries[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+        assert shuffles and not any(c in line for line in shuffles for c in ("unit_key", "node_id", "l_linenumber")), name
