@@ -154,7 +154,9 @@ def c14(spark, d):
     JOIN h_units u ON u.run_id = r.run_id LEFT JOIN t ON t.run_id = u.run_id AND t.unit_key = u.unit_key
     LEFT JOIN f ON f.run_id = u.run_id AND f.node_id = u.unit_key LEFT JOIN x ON x.run_id = r.run_id""", "h_runs", "h_versions", "h_pipelines", "h_units", "h_attempts", "h_artifacts", "h_events")
 def c15(spark, d):
-    v = {n: view(spark, d, f"h_{n}") for n in ("runs", "versions", "pipelines", "units", "attempts", "artifacts", "events")}
+    v = {n: view(spark, d, f"h_{n}") for n in ("versions", "pipelines", "events")}
+    dealt = ("runs", "units", "attempts", "artifacts")
+    v |= dict(zip(dealt, by_run(spark, d, *(f"h_{n}" for n in dealt)), strict=True))
     found = listings.diagnostics(**v, last=20).select("run_id", "status", "pipeline_name", "version", F.explode("units").alias("u"), "events")
     return found.select("run_id", "status", "pipeline_name", "version", "u.unit_key", F.col("u.status").alias("unit_status"), F.size("u.attempts").alias("attempts"), F.size("u.artifacts").alias("artifacts"),
                         F.size("events").alias("events"), F.try_element_at("events", F.lit(1))["event_id"].alias("first_event"), F.try_element_at("events", F.lit(-1))["event_id"].alias("last_event"))
