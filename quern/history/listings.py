@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.states import RECOVERABLE_UNIT_STATES, RESERVED_UNIT_STATES, is_terminal
 from quern.operators.selection import positions
+from quern.sources.shared import Scratch
 
 MAX_PAGE, MAX_EVENTS = 500, 1000
 
@@ -137,12 +138,15 @@ def reconcile_admissions(admissions: DataFrame, units: DataFrame, now: Column, k
     requeue = (F.col("u_status") == "READY") & (F.col("state").isNull() | (F.col("state") == "RELEASED"))
     action = F.when(recover, "RECOVERED").when(requeue, "QUEUED").when(gone, "RELEASED").otherwise("KEPT")
     state = F.when(recover, "ADMITTED").when(requeue, "WAITING").otherwise(state1)
-    both = both.withColumn("action", action).withColumn("next_state", state).filter("next_state is not null")
-    last = admissions.agg(F.coalesce(F.max("admission_sequence"), F.lit(0))).first()[0]
-    again, _ = positions(both.filter("action = 'RECOVERED'").select(*keys, "u_created"), ["u_created", *reversed(keys)])
-    both = both.join(again.select(*keys, (F.col("position") + last + 1).alias("new_sequence")), list(keys), "left")
+    both = both.withColumn("action", action).withColumn("next_state", state)
+    both = Scratch(admissions.sparkSession, "reconciled").save(both, "both")  # joined once; what is recovered is then numbered apart
+    last = both.agg(F.coalesce(F.max("admission_sequence"), F.lit(0))).first()[0]
+    both = both.filter("next_state is not null")
+    again, _ = positions(both.filter("action = 'RECOVERED'"), ["u_created", *reversed(keys)])
+    numbered = again.select(*both.columns, (F.col("position") + last + 1).alias("new_sequence"))
+    both = both.filter("action <> 'RECOVERED'").withColumn("new_sequence", F.lit(None).cast("long")).unionAll(numbered)
     return both.select(
-        *keys, F.when(recover | F.col("state").isNull(), F.col("u_profile")).otherwise(F.col("cluster_profile")).alias("cluster_profile"), F.col("next_state").alias("state"),
+        *keys, F.when((F.col("action") == "RECOVERED") | F.col("state").isNull(), F.col("u_profile")).otherwise(F.col("cluster_profile")).alias("cluster_profile"), F.col("next_state").alias("state"),
         F.when(F.col("action") == "RECOVERED", F.col("new_sequence")).otherwise(F.col("admission_sequence")).cast("long").alias("admission_sequence"),
         F.when((F.col("action") == "QUEUED") | F.col("state").isNull(), now).otherwise(F.col("queued_at")).alias("queued_at"), "action",
     )

@@ -366,7 +366,7 @@ def c30(spark, d):
            CAST(seq AS BIGINT) AS admission_sequence, CASE WHEN action = 'QUEUED' OR state IS NULL THEN {NOW} ELSE queued_at END AS queued_at, action
     FROM y WHERE next_state IS NOT NULL""", "h_admissions", "h_units")
 def c31(spark, d):
-    return listings.reconcile_admissions(view(spark, d, "h_admissions"), view(spark, d, "h_units"), ts(NOW))
+    return listings.reconcile_admissions(*by_run(spark, d, "h_admissions", "h_units"), ts(NOW))
 
 
 CANDIDATES = """
