@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, chunks, fresh, mix, read, row_key, shingles, signed
+from quern.llm.common import Scratch, chunks, fresh, how_common, mix, read, row_key, shingles, signed
 from quern.llm.similar import linked
 
 #: Counters of the sketch, in binary digits, and counters in one row of a task's part of it.
@@ -72,13 +72,12 @@ def ranks(s: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
 
 
 def _levels(profiles: DataFrame) -> np.ndarray:
-    """How common the tokens of each counter are: 0 up to 8 times the median counter, then one more for each doubling. 2 ** SKETCH_BITS numbers."""
+    """How common the tokens of each counter are (see `how_common`), 2 ** SKETCH_BITS numbers."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     parts = profiles.filter("part is not null").select("part", "counts")
     for part, counts in parts.repartition((1 << SKETCH_BITS) // CHUNK, "part").mapInArrow(_add_up, "part int, counts binary").collect():
         sketch[part * CHUNK : (part + 1) * CHUNK] += np.frombuffer(counts, np.int64)
-    usual = np.median(sketch) + 4 * np.sqrt(np.median(sketch)) + 8
-    return np.clip(np.ceil(np.log2(np.maximum(sketch, 1) / usual)) + 1, 0, 63).astype(np.uint8)
+    return how_common(sketch)
 
 
 def _may_link(x: Column, y: Column) -> Column:

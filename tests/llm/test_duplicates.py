@@ -269,6 +269,24 @@ def test_lines_of_repeated_ids(documents):
     assert sum("shared line of many" in t for t in set(ones)) == 1 and len(set(ones)) == 2
 
 
+def test_prefixes_of_a_large_group(spark):
+    """Lines of one large group with many edits each share no rare shingle: rows of prefixes grow with the lines, not with the square of the group. Each pair of similarity 0.8 shares one that lies early enough in both."""
+    rng = random.Random(21)
+    template = [f"{rng.randrange(10**6)}" for _ in range(60)]
+    edited = lambda n: " ".join("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6)) if k in at else w for at in [rng.sample(range(60), n)] for k, w in enumerate(template))
+    lines = [edited(1) for _ in range(20)] + [edited(2) for _ in range(20)] + [edited(20) for _ in range(300)]
+    text = spark.createDataFrame(list(enumerate(lines)), "id long, line string").select("id", line_dedup.tokens(F.col("line")).alias("tokens"))
+    rows = line_dedup.prefixes(text.select("id", F.size("tokens").alias("n"), "tokens"), Scratch(spark, "test")).collect()
+    assert len({r.id for r in rows if r.id >= 40}) < 15  # they meet nobody, but for chance
+    buckets = collections.defaultdict(list)
+    for r in rows:
+        buckets[r.bucket].append((r.id, r.x.n, r.x.pos))
+    met = {(i, j) for b in buckets.values() for i, n, p in b for j, m, q in b if i < j and p - (-4 * (n + m) // 9) <= n and q - (-4 * (n + m) // 9) <= m}  # so many shingles may still be shared
+    sets = [line_shingles(x) for x in lines[:40]]
+    links = {(i, j) for i in range(40) for j in range(i + 1, 40) if similar_lines(sets[i], sets[j])}
+    assert len(links) > 100 and links <= met
+
+
 def test_line_text_without_blanks(documents):
     rng = random.Random(3)
     text = "".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(200))
