@@ -23,22 +23,23 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, as_bytes, fold, mix, read
+from quern.llm.common import Scratch, as_bytes, fold, read
 
 #: Shares of all training tokens: of a word that is broadcast, a next word in the tree, a context, and a context with its next word.
 MIN_WORD, MIN_NEXT, MIN_CONTEXT, MIN_PAIR = 5e-7, 5e-7, 5e-7, 2e-7
 MIN_DIVERGENCE, MIN_GAIN, DISCOUNT = 0.02, 2.0, 0.5
-#: Distinct words a task counts before it passes its counts on.
-FLUSH = 400_000
+#: Distinct words a task counts before it passes its counts on, and bytes of text that are looked up together.
+FLUSH, GROUP = 400_000, 1 << 19
 
 
 def split(text: bytes) -> list[bytes]:
@@ -77,33 +78,48 @@ class Words:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of a text's words and its end, with its start before them; -1 for rarer words."""
-        out = np.empty(len(words) + 2, np.int64)
-        out[0], out[-1] = self.start, self.end
-        out[1:-1] = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        return out
+        return self.all_numbers([words])[0]
+
+    def all_numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of several texts, one after another, and where each begins. No context reaches into another text, since an end is none."""
+        size = np.array([len(t) + 2 for t in texts], np.int64)
+        ends = np.cumsum(size)
+        out = np.empty(ends[-1], np.int64)
+        inner = np.ones(len(out), bool)
+        for at, number in ((ends - size, self.start), (ends - 1, self.end)):
+            out[at], inner[at] = number, False
+        out[inner] = np.fromiter(map(self.number.get, chain.from_iterable(texts), repeat(-1)), np.int64, len(out) - 2 * len(texts))
+        return out, ends - size
+
+
+def _groups(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
+    """The words of successive texts, of about GROUP bytes together."""
+    held, size = [], 0
+    for text in texts:
+        held.append(split(text))
+        size += len(text)
+        if size > GROUP:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 @dataclass
 class Level:
-    """Contexts of one length: code of each (place of the context without its last word in the level before, and that word), what goes back to
+    """Contexts of one length, as hash tables: code of each (place of the context without its last word in the level before, and that word), what goes back to
     the parent (NaN: not retained), and the next words: code of context and word, discounted share."""
 
-    codes: np.ndarray
+    codes: pd.Index
     back: np.ndarray
-    pairs: np.ndarray
+    pairs: pd.Index
     share: np.ndarray
 
     def shares(self, size: int, places: np.ndarray, nexts: np.ndarray) -> np.ndarray:
-        at = _find(self.pairs, places * size + nexts)
-        return np.where(at >= 0, np.append(self.share, 0.0)[at], 0.0)
-
-
-def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Places of values in a sorted table, -1 where one isn't in it."""
-    if not len(table):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
+        at = self.pairs.get_indexer(places * size + nexts)
+        out = np.zeros(len(at))
+        out[at >= 0] = self.share[at[at >= 0]]
+        return out
 
 
 def places(words: Words, levels: list[Level], x: np.ndarray) -> list[np.ndarray]:
@@ -111,18 +127,24 @@ def places(words: Words, levels: list[Level], x: np.ndarray) -> list[np.ndarray]
     out: list[np.ndarray] = []
     for k, level in enumerate(levels):
         before = np.append(-1, out[-1][:-1]) if k else np.zeros(len(x), np.int64)
-        out.append(_find(level.codes, np.where((x >= 0) & (before >= 0), before * words.size + x, -2)))
+        ask = np.flatnonzero((x >= 0) & (before >= 0))
+        at = np.full(len(x), -1)
+        at[ask] = level.codes.get_indexer(before[ask] * words.size + x[ask])
+        out.append(at)
     return out
 
 
 def states(words: Words, levels: list[Level], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token after the start: its probability (of a rare word, the factor of its probability at the root) and whether it is rare."""
+    """For each token after the first: its probability (of a rare word, the factor of its probability at the root; of a start nothing of use) and whether it is rare."""
     nexts = x[1:]
     rare = nexts < 0
-    p = np.where(rare, 1.0, words.base[nexts])
+    p = np.where(rare, 1.0, words.base[np.minimum(nexts, words.end)])
     for level, at in zip(levels, places(words, levels, x[:-1]), strict=True):
-        back = np.append(level.back, np.nan)[at]
-        p = np.where(np.isnan(back), p, np.where(rare, 0.0, level.shares(words.size, at, nexts)) + back * p)
+        held = np.flatnonzero(at >= 0)
+        held = held[~np.isnan(level.back[at[held]])]
+        p[held] *= level.back[at[held]]
+        held = held[~rare[held]]
+        p[held] += level.shares(words.size, at[held], nexts[held])
     return p, rare
 
 
@@ -132,7 +154,7 @@ def _at_parent(words: Words, levels: list[Level], spelled: np.ndarray, place: np
     for length, level in enumerate(levels, 1):
         at = np.zeros(len(spelled), np.int64)
         for below, word in zip(levels[:length], spelled[:, -length:].T, strict=True):
-            at = np.where(at >= 0, _find(below.codes, at * words.size + word), -1)
+            at = np.where(at >= 0, below.codes.get_indexer(at * words.size + word), -1)
         back = np.append(level.back, np.nan)[at[place]]
         p = np.where(np.isnan(back), p, level.shares(words.size, at[place], nexts) + back * p)
     return p
@@ -150,28 +172,39 @@ def _retain(words: Words, codes: np.ndarray, totals: np.ndarray, pairs: np.ndarr
     share = (counts - DISCOUNT) / totals[place]
     back = np.ones(len(codes))
     np.subtract.at(back, place, share)
-    return Level(codes, np.where(divergence >= MIN_DIVERGENCE, back, np.nan), pairs, share)
+    return Level(pd.Index(codes), np.where(divergence >= MIN_DIVERGENCE, back, np.nan), pd.Index(pairs), share)
 
 
-def _count_codes(docs: DataFrame, codes_of: Callable[[bytes], np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes that occur at least `least` times over all texts, sorted, and their counts. `codes_of` gives a text's codes."""
+def _count_codes(docs: DataFrame, codes_of: Callable[[list[list[bytes]]], np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Codes that occur at least `least` times over all texts, sorted, and their counts. `codes_of` gives the codes of the words of some texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            new, times = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            if not len(codes):
+                return new, times
+            both, order = np.concatenate([codes, new]), np.concatenate([n, times])
+            by = np.argsort(both, kind="stable")  # two sorted parts: merged
+            both, order = both[by], order[by]
+            first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+            return both[first], np.add.reduceat(order, first)
 
-        size = 0
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                held.append(codes_of(text))
+            for texts in _groups(as_bytes(batch.column(0))):
+                held.append(codes_of(texts))
                 size += len(held[-1])
             if size > 1 << 21:
-                yield out()
+                codes, n = counted()
                 held, size = [], 0
-        yield out()
+                if len(codes) > 1 << 21:
+                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
+                    codes, n = codes[:0], n[:0]
+        codes, n = counted()
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
     counted = docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     rows = counted.toArrow()
@@ -195,13 +228,13 @@ def learn(train: DataFrame, scratch: Scratch, longest: int = 3) -> tuple[DataFra
     codes = np.flatnonzero(words.is_context) if n_texts else np.zeros(0, np.int64)
     totals, spelled = np.append(words.counts, n_texts)[codes], codes[:, None]
     while len(codes) and len(levels) < longest:
-        shared = spark.sparkContext.broadcast((words, [*levels, Level(codes, np.full(len(codes), np.nan), np.zeros(0, np.int64), np.zeros(0))]))
+        shared = spark.sparkContext.broadcast((words, [*levels, Level(pd.Index(codes), np.full(len(codes), np.nan), pd.Index(np.zeros(0, np.int64)), np.zeros(0))]))
 
-        def pairs_of(text: bytes, shared=shared) -> np.ndarray:
+        def pairs_of(texts: list[list[bytes]], shared=shared) -> np.ndarray:
             w, below = shared.value
-            x = w.numbers(split(text))
+            x, _ = w.all_numbers(texts)
             at, nexts = places(w, below, x[:-1])[-1], x[1:]
-            keep = (at >= 0) & (nexts >= 0) & w.is_next[nexts]
+            keep = (at >= 0) & (nexts >= 0) & w.is_next[np.minimum(nexts, w.end)]
             return at[keep] * w.size + nexts[keep]
 
         pairs, n = _count_codes(train, pairs_of, max(2.0, MIN_PAIR * total))
@@ -217,24 +250,42 @@ def learn(train: DataFrame, scratch: Scratch, longest: int = 3) -> tuple[DataFra
 
 #: Words before the last one that a context of the second part may have.
 BEFORE = 8
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<int>, after array<struct<context:long,next:long,word:binary,p:double,before:array<long>>>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, context array<long>, next array<long>, word array<binary>, p array<double>, before array<array<long>>"
 
 
-def _marks(x: np.ndarray, tokens: list[bytes]) -> np.ndarray:
-    """A 64-bit mark of the start, each word, and the end of a text."""
-    out = mix(x.astype(np.uint64) + np.uint64(1))
-    at = np.flatnonzero(x < 0)
-    out[at] = np.fromiter((xxhash.xxh64_intdigest(tokens[i - 1]) for i in at.tolist()), np.uint64, len(at))
-    return out.view(np.int64)
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
+
 
+def _scores(w: Words, levels: list[Level], log_base: np.ndarray, texts: list[list[bytes]]) -> list[pa.Array]:
+    """Of each text: tokens, known ones, log10 of its probability at the root and by the first part of the tree (rare words left out), the rare words, and the places
+    after them: mark of the word and of what follows, that if it is rare, else its probability at the root, and the marks before the word, nearest first.
 
-def _after(w: Words, x: np.ndarray, tokens: list[bytes]) -> tuple:
-    """The places after rare words of a text: mark of the word and of what follows, probability of that at the root if it is known, the marks before the word (nearest first) and their number, and what follows if it is rare."""
-    marks, at = _marks(x, tokens), np.flatnonzero(x < 0)
-    y = x[at + 1] if len(at) else at
+    A mark is the number of a frequent word, the start or the end, and a hash of 63 bits below zero of a rare word.
+    """
+    x, begins = w.all_numbers(texts)
+    p, rare = states(w, levels, x)
+    start = x == w.start
+    log = np.zeros(len(x))
+    log[1:] = np.log10(p)
+    log[start] = 0
+    seen = np.flatnonzero((x >= 0) & ~start)
+    base, known = np.zeros(len(x)), np.zeros(len(x), np.int64)
+    base[seen], known[seen] = log_base[x[seen]], w.counts[x[seen]] > 0
+    at = np.flatnonzero(x < 0)
+    row = np.searchsorted(begins, at, side="right") - 1
+    words = list(chain.from_iterable(texts))
+    names = [words[i] for i in (at - 2 * row - 1).tolist()]
+    marks = x.copy()
+    marks[at] = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(at)).view(np.int64) | np.int64(-1 << 63)
+    y = x[at + 1]
+    nexts = pa.array([words[i] if i >= 0 else None for i in np.where(y < 0, at - 2 * row, -1).tolist()], pa.binary())
     back = at[:, None] - np.arange(1, BEFORE + 1)
-    names = [tokens[i] if rare else None for i, rare in zip(at.tolist(), (y < 0).tolist(), strict=True)]
-    return marks[at], marks[at + 1] if len(at) else at, w.base[y] if len(at) else np.zeros(0), y >= 0, marks[np.maximum(back, 0)][back >= 0], (back >= 0).sum(1), names
+    inside = back >= begins[row][:, None]
+    ends = np.cumsum(np.bincount(row, minlength=len(texts)))
+    own = [pa.array(np.diff(np.append(begins, len(x))) - 1), *(pa.array(np.add.reduceat(v, begins)) for v in (known, base, log))]
+    places = [pa.array(marks[at]), pa.array(marks[at + 1]), nexts, pa.array(w.base[np.maximum(y, 0)] if len(at) else np.zeros(0), mask=y < 0), _lists(np.cumsum(inside.sum(1)), pa.array(marks[np.maximum(back, 0)][inside]))]
+    return [*own, *(_lists(ends, v) for v in [pa.array(names, pa.binary()), *places])]
 
 
 def _scoring(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -242,31 +293,15 @@ def _scoring(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, levels = shared.value
-        context, row = TaskContext.get(), 0
+        context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 36
         log_base = np.log10(w.base)
         for batch in batches:
-            out, after, sizes = [], [_after(w, np.zeros(1, np.int64), [])], []
-            for doc, text, held in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                tokens = split(text)
-                x = w.numbers(tokens)
-                p, rare = states(w, levels, x)
-                seen = x[1:][~rare]
-                tail = Counter([tokens[i] for i in np.flatnonzero(rare)])
-                out.append((row, doc, held, len(x) - 1, int((w.counts[seen] > 0).sum()), float(log_base[seen].sum()), float(np.log10(p).sum()), list(tail), list(tail.values())))
-                row += 1
-                at = np.flatnonzero(x < 0)
-                sizes.append(len(at))
-                if len(at):
-                    after.append(_after(w, x, tokens))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
-            context, nexts, p, known, before, n_before = (np.concatenate(c) for c in list(zip(*after, strict=True))[:6])
-            names = [word for a in after for word in a[6]]
-            ends = pa.array(np.append(0, np.cumsum(n_before)).astype(np.int32))
-            fields = [pa.array(context), pa.array(nexts), pa.array(names, pa.binary()), pa.array(p, mask=~known), pa.ListArray.from_arrays(ends, pa.array(before))]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.StructArray.from_arrays(fields, ["context", "next", "word", "p", "before"]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), lists], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "after"])
+            done = 0
+            for texts in _groups(as_bytes(batch.column(1))):
+                ids, held = batch.column(0).slice(done, len(texts)), batch.column(2).slice(done, len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), ids, held, *_scores(w, levels, log_base, texts)], [c.split()[0] for c in SCORED.split(", ")])
+                row, done = row + len(texts), done + len(texts)
 
     return run
 
@@ -274,25 +309,30 @@ def _scoring(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 def grown(after: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(row, gain): what the second part of the tree adds to the log10 probability of each text, from (row, held_out, context, next, p, before).
 
-    A row of `after` is a token whose state so far is the root, where it has probability p. Each round makes the contexts of one more word.
+    A row of `after`, the table of that name in `scratch`, is a token whose state so far is the root, where it has probability p. Each round makes the contexts of one more word.
     """
-    at, gains, k = scratch.save(after, "after-0"), None, 0
+    scratch.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # the second join reads what the first one dealt out
+    at, held, gains, k = after, "after", None, 0
     while not at.isEmpty():
-        pairs = at.filter("not held_out").groupBy("context", "next").agg(F.count("*").alias("n"), F.max("p").alias("p"))
-        own = Window.partitionBy("context")  # contexts end with words that are rare
-        pairs = scratch.save(pairs.withColumns({"c": F.sum("n").over(own), "kinds": F.count("*").over(own)}).filter("c > 1"), f"pairs-{k}")
+        # contexts end with words that are rare, so few training places share one: they are dealt out by it once
+        pairs = at.filter("not held_out").select("context", "next", "p").repartition("context").groupBy("context", "next").agg(F.count("*").alias("n"), F.max("p").alias("p"))
+        own = Window.partitionBy("context")
+        pairs = pairs.withColumns({"c": F.sum("n").over(own), "kinds": F.count("*").over(own)}).filter("c > 1")
         n, c, kinds = F.col("n"), F.col("c"), F.col("kinds")
         again = n * F.log((n - 1 - DISCOUNT) / (c - 1) / F.col("p") + DISCOUNT * kinds / (c - 1))
         once = F.log(DISCOUNT * (kinds - 1) / (c - 1))
-        kept = pairs.groupBy("context", "c", "kinds").agg(F.sum(F.when(n > 1, again).otherwise(once)).alias("gain")).filter(F.col("gain") >= MIN_GAIN).select("context", "c", "kinds")
+        pairs = pairs.withColumn("gain", F.sum(F.when(n > 1, again).otherwise(once)).over(own)).filter(F.col("gain") >= MIN_GAIN)
+        pairs = scratch.save(pairs.withColumn("first", F.col("next") == F.min("next").over(own)).select("context", "next", "n", "c", "kinds", "first"), f"pairs-{k}")
+        kept = pairs.filter("first").select("context", "c", "kinds")
         now = at.join(kept.hint("merge"), "context").join(pairs.select("context", "next", "n").hint("merge"), ["context", "next"], "left")
         q = F.greatest(F.coalesce("n", F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col("c") + DISCOUNT * F.col("kinds") / F.col("c") * F.col("p")
         now = scratch.save(now.select("row", "held_out", "context", "next", q.alias("p"), F.log10(q / F.col("p")).alias("gain"), "before"), f"now-{k}")
+        scratch.drop(held, f"pairs-{k}")
         gains = scratch.append(now.groupBy("row").agg(F.sum("gain").alias("gain")), "gains")
         longer = F.xxhash64("context", F.get("before", F.lit(k)))
-        at = scratch.save(now.filter(F.size("before") > k).select("row", "held_out", longer.alias("context"), "next", "p", "before"), f"after-{k + 1}")
-        scratch.drop(f"after-{k}", f"pairs-{k}", f"now-{k}")
+        at, held = now.filter(F.size("before") > k).select("row", "held_out", longer.alias("context"), "next", "p", "before"), f"now-{k}"
         k += 1
+    scratch.drop(held)
     return None if gains is None else gains.groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
@@ -313,19 +353,22 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, longest: int =
     shared.destroy()
     below = counts.filter(F.col("n") < max(1.0, MIN_WORD * words.total))
     mass = words.total + 0.5 * (words.distinct + 1)
-    each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    each = scored.select("row", F.explode("rare").alias("word"))
     rare = each.join(below, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(mass))).alias("log"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
+        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(mass))).alias("log"),
+        F.count("n").alias("more"),
     )
     rare = scratch.save(rare, "rare")
-    after = scored.select("row", "held_out", F.inline("after"))
+    texts = scratch.save(scored.drop("rare", "context", "next", "word", "p", "before"), "texts")
+    after = scored.select("row", "held_out", F.inline(F.arrays_zip("context", "next", "word", "p", "before")))
     known, unknown = after.filter("word is null").drop("word"), after.filter("word is not null")
     unknown = unknown.join(below, "word", "left").withColumn("p", (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(mass))
-    gains = grown(known.unionByName(unknown.drop("word", "n")), scratch)
+    after = scratch.save(known.unionByName(unknown.drop("word", "n")), "after")
+    scratch.drop("scored", "counts")  # the places are in one table at a time
+    gains = grown(after, scratch)
     gains = rare.select("row", F.lit(0.0).alias("gain")).limit(0) if gains is None else scratch.save(gains, "gain")
     log, more = F.coalesce("log", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    out = scored.drop("rare", "times", "after").join(rare, "row", "left").join(gains, "row", "left")
+    out = texts.join(rare, "row", "left").join(gains, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + log + F.coalesce("gain", F.lit(0.0))).alias("score")
     )

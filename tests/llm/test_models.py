@@ -456,6 +456,22 @@ def test_tree_sums_to_one_and_helps(documents):
         assert math.isclose(p + rare, 1.0, rel_tol=1e-9)
 
 
+def test_texts_looked_up_together(documents):
+    """Many texts in one array have the states that each has alone, and a batch of texts the same scores as single ones."""
+    texts = [t.encode() for t in sequences(30, 40, 60).values()] + [b"", b"unseen"]
+    spark = documents([]).sparkSession
+    _, words, levels = lm.learn(documents(enumerate(t.decode() for t in texts[:20])).select("text"), Scratch(spark, "test"))
+    split = [lm.split(t) for t in texts]
+    x, begins = words.all_numbers(split)
+    p, rare = lm.states(words, levels, x)
+    for s, first in zip(split, begins, strict=True):
+        alone = lm.states(words, levels, words.numbers(s))
+        assert np.array_equal(p[first : first + len(s) + 1], alone[0]) and np.array_equal(rare[first : first + len(s) + 1], alone[1])
+    together = [c.to_pylist() for c in lm._scores(words, levels, np.log10(words.base), split)]
+    single = [[c.to_pylist() for c in lm._scores(words, levels, np.log10(words.base), [s])] for s in split]
+    assert [[c[k] for c in together] for k in range(len(split))] == [[c[0] for c in one] for one in single]
+
+
 def test_texts_that_occur_twice(documents, monkeypatch):
     """Rare words carry what follows them: training texts that occur twice are likelier than others."""
     monkeypatch.setattr(lm, "MIN_WORD", 1e-2)
