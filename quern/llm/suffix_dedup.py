@@ -11,7 +11,7 @@ fingerprint of all the bytes its windows cover, by which suffixes that agree so
 Index family. Documents come in batches. A batch's entries are sorted into a suffix array (range-partitioned, so one order over
 all its files), equal ones counted; the array is merge-scanned with itself and with every level of the index for suffixes that
 agree in GRAM bytes, and becomes a level. Two levels of one rank merge to one of the next, so each entry is rewritten
-logarithmically often.
+logarithmically often, but for the last batch, after which nothing is added.
 
 Matches. From what agrees, matches are extended to both sides. Runs of equal bytes match whole. Where runs share the anchor but not all bytes, their windows are
 compared one by one: in sorted streams while an anchor has few distinct runs, and by an aggregation over
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import Scratch, as_bytes, chunks, mix, prefix_sums, read, row_key, signed, spans
 
 LENGTH, GRAM = 200, 40
+#: Bytes of text in which runs are found at a time: arrays of eight bytes for each stay in a processor's cache.
+CHUNK = 1 << 18
 #: Distinct runs of one anchor up to which a task compares them in one stream, and rows of a stream that it compares at a time.
 STREAM_RUNS, STREAM_ROWS = 512, 4096
 
@@ -77,7 +79,7 @@ def entries(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, starts in chunks(batch.column(2)):
+            for first, _, data, starts in chunks(batch.column(2), CHUNK):
                 r = runs(data, starts)
                 row = pa.array(r["row"] + first)
                 grams = data[r["at"][:, None] + np.arange(GRAM)] if len(r["at"]) else np.zeros(0, np.uint8)
@@ -96,23 +98,27 @@ class SuffixFamily:
     def _save(self, array: DataFrame) -> tuple[str, DataFrame]:
         self.made += 1
         name = f"level-{self.made}"
-        return name, self.scratch.save(array.repartitionByRange("suffix", "run").sortWithinPartitions("suffix", "run"), name)
+        return name, self.scratch.save(array.sortWithinPartitions("suffix", "run"), name)
+
+    def _merge(self) -> None:
+        """Merge levels of one rank. An entry stands once in each, so they are dealt out by ranges before equal ones are added up."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, name, level), (_, other, before) = self.levels.pop(), self.levels.pop()
+            both = before.unionAll(level).repartitionByRange("suffix", "run").groupBy("suffix", "run").agg(F.sum("n").alias("n"))
+            self.levels.append((rank + 1, *self._save(both)))
+            self.scratch.drop(other, name)
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Index a batch of entries. Returns the suffixes that match inside the batch or between it and earlier ones."""
-        name, array = self._save(batch.groupBy("suffix", "run").agg(F.count("*").alias("n")))
+    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
+        """Index a batch of entries. Returns the suffixes that match inside the batch or between it and earlier ones. After the `last` one levels stay as they are."""
+        name, array = self._save(batch.groupBy("suffix", "run").agg(F.count("*").alias("n")).repartitionByRange("suffix", "run"))
         own = array.groupBy("suffix").agg(F.sum("n").alias("n"))
         matches = own.filter("n > 1").select("suffix")
         for _, _, level in self.levels:  # both sides in order: a merge scan
             matches = matches.unionAll(level.select("suffix").join(own.select("suffix").hint("merge"), "suffix"))
         matches = self.scratch.save(matches.distinct(), f"matches-{self.made}")
-        rank = 0
-        while self.levels and self.levels[-1][0] == rank:
-            _, other, level = self.levels.pop()
-            merged = self._save(level.unionAll(array).groupBy("suffix", "run").agg(F.sum("n").alias("n")))
-            self.scratch.drop(other, name)
-            (name, array), rank = merged, rank + 1
-        self.levels.append((rank, name, array))
+        self.levels.append((0, name, array))
+        if not last:
+            self._merge()
         return matches
 
     def lookup(self, suffixes: DataFrame) -> DataFrame:
@@ -227,7 +233,7 @@ def repeated_spans(docs: DataFrame, batches: int, scratch: Scratch, stream_runs:
     all_entries = scratch.save(entries(docs.select("doc_id", "key", "text")), "entries")
     family, matches = SuffixFamily(scratch), None
     for k in range(batches):
-        found = family.add(all_entries.filter(part == k))
+        found = family.add(all_entries.filter(part == k), last=k == batches - 1)
         matches = found if matches is None else matches.unionAll(found)
     runs_found = family.lookup(matches.distinct())
     kinds = runs_found.groupBy("suffix").agg(F.count("*").alias("kinds"))

@@ -6,6 +6,8 @@ import collections
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,31 @@ def test_levels_are_geometric(spark):
     assert {(r.run, r.n) for r in family.lookup(spark.createDataFrame([(b"c",)], "suffix binary")).collect()} == {(k, 1) for k in range(7)}
 
 
+def test_last_batch_rewrites_nothing(spark):
+    """Nothing is added after the last batch, so no level is merged then; a lookup adds up what stands in several."""
+    family = suffix_dedup.SuffixFamily(Scratch(spark, "test"))
+    for k in range(4):
+        found = family.add(spark.createDataFrame([(bytes([k]), 0), (b"c", k % 2)], "suffix binary, run long"), last=k == 3)
+    assert {bytes(r.suffix) for r in found.collect()} == {b"c"}
+    assert [r for r, _, _ in family.levels] == [1, 0, 0] and family.made == 5
+    assert {(r.run, r.n) for r in family.lookup(spark.createDataFrame([(b"c",)], "suffix binary")).collect()} == {(0, 2), (1, 2)}
+
+
+@pytest.mark.parametrize("copies", [20, 40])
+def test_windows_grow_with_the_copies(documents, copies):
+    """A group of near copies gives no more rows of windows than its texts have windows."""
+    rng = random.Random(copies)
+    base = [f"word{rng.randrange(5000)}" for _ in range(120)]
+    texts = [" ".join(f"edit{rng.randrange(10**9)}" if rng.random() < 0.03 else w for w in base) for _ in range(copies)]
+    windows = sum(len(t) - suffix_dedup.LENGTH + 1 for t in texts)
+    made = []
+    for t in texts:
+        r = suffix_dedup.runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        contexts = [t.encode()[a : a + n + suffix_dedup.LENGTH - 1] for a, n in zip(r["first"], r["n"], strict=True)]
+        made.append(pa.RecordBatch.from_arrays([pa.array([b""] * len(contexts), pa.binary()), pa.array(r["run"]), pa.array(r["n"].astype(np.int32)), pa.array(r["anchor"].astype(np.int32)), pa.array(contexts, pa.binary())], ["suffix", "run", "n", "anchor", "context"]))
+    assert sum(b.num_rows for b in suffix_dedup._explode_windows(iter(made))) == windows
+
+
 def test_levels_are_suffix_arrays(spark, documents, corpus):
     """A level holds the suffixes at anchors in the order of their bytes, over all its files; each stands in a text, and every window has one."""
     docs = documents(corpus).selectExpr("doc_id", "doc_id as key", "text")
