@@ -1,4 +1,7 @@
-"""Which nodes of a pipeline share one materialization segment."""
+"""Which nodes of a pipeline share one materialization segment.
+
+Joins merge sorted rows, and none is broadcast: node tables have few bytes on disk, by which Spark judges them, but many rows.
+"""
 
 from __future__ import annotations
 
@@ -21,10 +24,10 @@ def edge_parents(nodes: DataFrame, edges: DataFrame, settings: list[str], pipeli
     children = data.groupBy(pipeline, "src").agg(F.count("*").alias("siblings"))
     own = nodes.select(pipeline, F.col("node_id").alias("dst"), F.struct(*settings).alias("own"))
     above = nodes.select(pipeline, F.col("node_id").alias("src"), F.struct(*settings).alias("above"))
-    e = data.join(parents, [pipeline, "dst"]).join(children, [pipeline, "src"]).join(own, [pipeline, "dst"]).join(above, [pipeline, "src"])
+    e = data.join(parents.hint("merge"), [pipeline, "dst"]).join(own.hint("merge"), [pipeline, "dst"]).join(children.hint("merge"), [pipeline, "src"]).join(above.hint("merge"), [pipeline, "src"])
     e = e.filter(~starts_segment(F.col("kind"), F.col("boundary"), F.col("parents"), F.col("siblings"), F.col("own").eqNullSafe(F.col("above"))))
     linked = e.select(pipeline, F.col("dst").alias("node_id"), F.col("src").alias("parent"))
-    return nodes.select(pipeline, "node_id").distinct().join(linked, [pipeline, "node_id"], "left").select(pipeline, F.col("node_id").alias("node"), "parent")
+    return nodes.select(pipeline, "node_id").distinct().join(linked.hint("merge"), [pipeline, "node_id"], "left").select(pipeline, F.col("node_id").alias("node"), "parent")
 
 
 def segments(links: DataFrame, pipeline: str = "pipeline_id") -> DataFrame:
@@ -40,7 +43,7 @@ def segments(links: DataFrame, pipeline: str = "pipeline_id") -> DataFrame:
         if at.filter("not done").isEmpty():
             break
         up = at.select(pipeline, F.col("node").alias("segment"), F.col("segment").alias("next"), F.col("done").alias("there"))
-        moved = at.join(up, [pipeline, "segment"], "left").select(pipeline, "node", F.coalesce("next", "segment").alias("segment"), F.coalesce("there", F.lit(True)).alias("done"))
+        moved = at.join(up.hint("merge"), [pipeline, "segment"], "left").select(pipeline, "node", F.coalesce("next", "segment").alias("segment"), F.coalesce("there", F.lit(True)).alias("done"))
         at = scratch.save(moved, f"round-{k}")
         scratch.drop(f"round-{k - 1}")
     return at.select(pipeline, "node", F.when(F.col("done"), F.col("segment")).alias("segment"))
@@ -50,4 +53,4 @@ def segment_edges(found: DataFrame, edges: DataFrame, pipeline: str = "pipeline_
     """(pipeline, before, after): which segments must end before which begin."""
     a = found.select(pipeline, F.col("node").alias("src"), F.col("segment").alias("before"))
     b = found.select(pipeline, F.col("node").alias("dst"), F.col("segment").alias("after"))
-    return edges.select(pipeline, "src", "dst").join(a, [pipeline, "src"]).join(b, [pipeline, "dst"]).filter("before <> after").select(pipeline, "before", "after").distinct()
+    return edges.select(pipeline, "src", "dst").join(a.hint("merge"), [pipeline, "src"]).join(b.hint("merge"), [pipeline, "dst"]).filter("before <> after").select(pipeline, "before", "after").distinct()

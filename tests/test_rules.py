@@ -22,6 +22,7 @@ from quern.history import audit, listings, retention
 from quern.operators import matching, reach, rollup, selection
 from quern.plans import catalogue, segments
 from quern.queries import history_q, rules_q
+from quern.sources.shared import Scratch
 from quern.streaming.latest import newest_snapshot, run_to_now, stream_latest_states, upsert_latest
 
 
@@ -438,6 +439,16 @@ def test_views_that_several_steps_read_are_computed_once(spark, sf, name):
     assert not [f for f in rules_q.R.queries[name](spark, sf).inputFiles() if "lineitem" in f]
 
 
+@pytest.mark.parametrize("name", ["d16_segments", "d16_segment_edges"])
+def test_segments_broadcast_no_table_of_nodes(spark, sf, name, monkeypatch):
+    """A table of nodes is a few bytes a row on disk, so it may lie under Spark's limit with more rows than the driver can hold."""
+    plans, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: plans.append(df) or save(self, df, name))
+    plans.append(rules_q.R.queries[name](spark, sf))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert sum("SortMergeJoin" in p for p in plans) >= 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_deletion_report_computes_owners_once(spark, sf):
     plan = history_q.R.queries["c26_deletion_report"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation [l_orderkey" in line for line in plan.splitlines()) <= 4  # 12 while each part of the report read the views
