@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -314,6 +316,41 @@ def test_prefixes_of_a_large_group(spark):
     assert len(links) > 100 and links <= met
 
 
+def test_texts_of_lines_go_by_parts(documents, corpus, monkeypatch):
+    """Disk: no shuffle takes the texts of all lines, only those of a part, and they are gone when pairs are looked for."""
+    seen = []
+    for kind in ("save", "append"):
+
+        def noted(self, df, name, *by, write=getattr(Scratch, kind)):
+            folder = Path(self.base.removeprefix("file://"))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            seen.append((name, re.findall(r"PartitionFilters: \[isnotnull\(part#\d+\), \(part#\d+ = (\d+)\)\]", plan), {p.name for p in folder.glob("*")}))
+            return write(self, df, name, *by)
+
+        monkeypatch.setattr(Scratch, kind, noted)
+    docs = documents([*corpus, (1000, "=" * 3000)])
+    assert line_dedup.line_report(docs).count() == len(corpus) + 1
+    for name in ("signatures", "signatures-again", "texts"):
+        assert [parts for n, parts, _ in seen if n == name] == [[str(k)] for k in range(line_dedup.PARTS)], name
+    later = [tables for name, _, tables in seen if re.match("pairs|placed|removed", name)]
+    assert len(later) > 2 and not any({"lines", "signatures", "signatures-again"} & tables for tables in later)
+
+
+def test_parities_keep_alike_lines(spark):
+    """Lines whose parities show too many shingles that aren't shared are not alike; few unlike ones are left."""
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300))
+    edited = lambda n: "".join(rng.choice("0123456789") if k in at else c for at in [rng.sample(range(300), n)] for k, c in enumerate(line))
+    texts = [edited(n) for n in (0, 1, 1, 2, 2, 3, 3, 4, 6, 8, 12, 20, 40) for _ in range(3)] + [line[:n] for n in (5, 12, 30, 260)] + [line[:260] + "x" * 1000, "x" * 1000]
+    odd = line_dedup.parities(spark.createDataFrame(list(enumerate(texts)), "id long, line string"))
+    sets = [line_shingles(x) for x in texts]
+    assert {r.id: r.n for r in odd.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    pairs = spark.createDataFrame([(i, j) for j in range(len(texts)) for i in range(j)], "a long, b long")
+    left = {(r.a, r.b) for r in line_dedup._may_be_alike(pairs, odd).collect()}
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert len(alike) > 50 and alike <= left and len(left - alike) < 0.1 * len(texts) ** 2 / 2
+
+
 def test_line_text_without_blanks(documents):
     rng = random.Random(3)
     text = "".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(200))
