@@ -228,10 +228,13 @@ def d16(spark, d):
 
 def saved_units(spark, d):
     """The columns that segments need, computed once: the view's window and aggregation run over all line items, and several steps read it."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # else the shuffles of all steps stay on disk together
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # as in `by_run`
     return Scratch(spark, "units").save(view(spark, d, "h_units").select("run_id", "unit_no", "depends_on", "cluster_profile"), "units")
 
 
 def unit_segments(units):
+    units = units.repartition("run_id")  # runs are small: joins on the run and a unit need no further shuffle
     nodes = units.select(F.col("run_id").alias("pipeline_id"), F.col("unit_no").alias("node_id"), "cluster_profile")
     edges = units.filter("depends_on is not null").select(F.col("run_id").alias("pipeline_id"), F.col("depends_on").alias("src"), F.col("unit_no").alias("dst"), F.lit("data").alias("kind"), F.lit("none").alias("boundary"))
     return segments.segments(segments.edge_parents(nodes, edges, ["cluster_profile"]))
